@@ -120,16 +120,16 @@ def near_copies(texts: DataFrame, similarity: float = 0.75, min_words: int = 12,
     def codes(side: str) -> DataFrame:
         return prints.select(F.col("rep").alias(f"{side}_rep"), F.slice("bits", 2, 4).alias(f"{side}_code"))
 
-    def texts_of(side: str) -> DataFrame:
-        return sets.select(F.col("rep").alias(f"{side}_rep"), F.col("words").alias(f"{side}_words"))
-
     apart = F.aggregate(F.zip_with("left_code", "right_code", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
     near = close.join(codes("left"), "left_rep").join(codes("right"), "right_rep").where(apart <= far_radius).select("left_rep", "right_rep")
+    # the words are fetched once for both ends of the pairs
+    ends = near.select("left_rep", "right_rep", F.explode(F.array("left_rep", "right_rep")).alias("rep"))
+    words = ends.join(sets.select("rep", "words"), "rep").groupBy("left_rep", "right_rep").agg(
+        F.max(F.when(F.col("rep") == F.col("left_rep"), F.col("words"))).alias("left_words"), F.max(F.when(F.col("rep") == F.col("right_rep"), F.col("words"))).alias("right_words")
+    )
     common = F.size(F.array_intersect("left_words", "right_words"))
     share = common / (F.size("left_words") + F.size("right_words") - common)
-    pairs = (
-        near.join(texts_of("left"), "left_rep").join(texts_of("right"), "right_rep").select("left_rep", "right_rep", share.alias("similarity")).where(F.col("similarity") >= similarity - 1e-12)
-    )
+    pairs = words.select("left_rep", "right_rep", share.alias("similarity")).where(F.col("similarity") >= similarity - 1e-12)
     same = sets.where("left_side and right_side").select(F.col("rep").alias("left_rep"), F.col("rep").alias("right_rep"), F.lit(1.0).alias("similarity"))
     pairs = written(pairs.union(same), "overlap-pairs")
     used = pairs.select(F.col("left_rep").alias("rep")).union(pairs.select("right_rep")).distinct()

@@ -74,7 +74,7 @@ FROM n LEFT JOIN root ON root.u = coalesce(n.c, n.a)
     "p5_found": r"""
 WITH q AS (
   SELECT DISTINCT query_id, lower(trim(split)) = 'train' AS tr,
-         list_distinct(list_filter(regexp_split_to_array(lower(clinical_context), '[^\p{L}\p{N}\p{M}]+'), w -> w <> '')) AS ws
+         list_distinct(list_filter(regexp_split_to_array(lower(clinical_context), '[^\p{L}\p{N}\p{M}]+'), lambda w: w <> '')) AS ws
   FROM eval_queries
   WHERE clinical_context IS NOT NULL AND lower(trim(split)) IN ('train', 'validation', 'test')),
 k AS (SELECT query_id, tr, len(ws) AS n, unnest(ws) AS w FROM q WHERE len(ws) >= 12)
