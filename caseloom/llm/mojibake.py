@@ -207,8 +207,9 @@ class Repairer:
                 continue
             for c, d in ((a, b), (a + 1, b), (a, b - 1)):  # a segment of pairs may take in one sound neighbour
                 if d > c and (best := self._best((left + run[:c])[-1:], run[c:d], (run[d:] + right)[:1])):
-                    if found is None or best[0] > found[0]:
-                        found = (best[0], run[:c] + best[1] + run[d:], best[2])
+                    rank = (best[2][0][1] == "utf-8", best[0])
+                    if found is None or rank > found[0]:
+                        found = (rank, run[:c] + best[1] + run[d:], best[2])
             if found:
                 break
         if len(self.known) > self.memory:
