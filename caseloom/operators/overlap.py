@@ -7,7 +7,6 @@ across the sides, kept within a Hamming radius, and verified on the words.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,6 @@ from pyspark.sql import functions as F
 from caseloom.session import written
 
 SEGMENTS, PER_SEGMENT = 44, 8
-_VOCABULARY_LIMIT = 40_000
 
 
 def words_of(text: Column) -> Column:
@@ -26,50 +24,35 @@ def words_of(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}\p{M}]+"), lambda w: w != "")))
 
 
-class _WordHashes:
-    """Rows of hashes per word, kept for the words seen last."""
-
-    def __init__(self, width: int):
-        steps = np.arange(1, width + 1, dtype=np.uint64)
-        self.salt = steps * np.uint64(0x9E3779B97F4A7C15)
-        self.rows = np.empty((1024, width), np.uint32)
-        self.at: dict[str, int] = {}
-
-    def _row(self, word: str) -> np.ndarray:
-        x = np.uint64(int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")) ^ self.salt
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return (x >> np.uint64(32)).astype(np.uint32)
-
-    def minima(self, words: list[str]) -> np.ndarray:
-        at, ids = self.at, []
-        if len(at) + len(words) > _VOCABULARY_LIMIT:
-            at.clear()
-        for w in words:
-            i = at.get(w)
-            if i is None:
-                i = at[w] = len(at)
-                if i >= len(self.rows):
-                    self.rows = np.vstack([self.rows, np.empty_like(self.rows)])
-                self.rows[i] = self._row(w)
-            ids.append(i)
-        return self.rows[ids].min(axis=0)
-
-
-def _fingerprints(segments: int, per_segment: int):
+def _mixed(words: np.ndarray, width: int) -> np.ndarray:
+    """``width`` independent 32-bit hashes of each word hash."""
+    x = words.astype(np.uint64)[:, None] * np.uint64(0xC2B2AE3D27D4EB4F) + np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x >> np.uint64(32)).astype(np.uint32)
+
+
+def _fingerprints(segments: int, per_segment: int, slice_rows: int = 2000):
+    """Adds ``keys``, one hash per segment, and ``bits``, five words of 64 low bits."""
+    width = segments * per_segment
+    weights = np.uint64(256) ** np.arange(per_segment, dtype=np.uint64)
+    salt = np.arange(segments, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _WordHashes(segments * per_segment)
-        number = np.arange(segments, dtype=np.uint64)
-        for batch in batches:
-            codes = np.empty((len(batch), segments * per_segment), np.uint8)
-            for i, words in enumerate(batch["words"]):
-                codes[i] = hashes.minima(list(words)).astype(np.uint8)
-            blocks = codes.reshape(len(batch), segments, per_segment)
-            weights = np.uint64(256) ** np.arange(per_segment, dtype=np.uint64)
-            keys = (blocks.astype(np.uint64) * weights).sum(axis=2, dtype=np.uint64)
-            keys = (keys ^ (number * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
-            bits = np.packbits((codes[:, :320] & 1), axis=1).view(">u8").astype(np.uint64).view(np.int64)
-            yield pd.DataFrame({"rep": batch["rep"], "left_side": batch["left_side"], "right_side": batch["right_side"], "keys": list(keys.view(np.int64)), "bits": list(bits)})
+        for whole in batches:
+            for start in range(0, len(whole), slice_rows):
+                batch = whole.iloc[start : start + slice_rows]
+                sizes = np.array([len(w) for w in batch["words"]])
+                known, at = np.unique(np.concatenate(list(batch["words"])).astype(np.uint32), return_inverse=True)
+                hashes = _mixed(known, width)
+                ends = np.cumsum(sizes)
+                codes = np.empty((len(batch), width), np.uint8)
+                for i, (a, b) in enumerate(zip(ends - sizes, ends)):
+                    codes[i] = hashes[at[a:b]].min(axis=0).astype(np.uint8)
+                keys = (codes.reshape(len(batch), segments, per_segment).astype(np.uint64) * weights).sum(axis=2, dtype=np.uint64)
+                keys = (keys ^ salt) * np.uint64(0x9E3779B97F4A7C15)
+                bits = np.packbits(codes[:, :320] & 1, axis=1).view(">u8").astype(np.uint64).view(np.int64)
+                yield batch.assign(keys=list(keys.view(np.int64)), bits=list(bits))
 
     return run
 
@@ -88,28 +71,23 @@ def near_copies(texts: DataFrame, similarity: float = 0.75, min_words: int = 12,
     is (1 - s**8)**44, one in a hundred at 0.75 and one in 10,000 at 0.82.
     ``radius`` of 64 bits and ``far_radius`` of 256 bits lie over four standard
     deviations beyond the expected distance at 0.75; what they let through is
-    verified exactly on the words. Rows with a null id, side or text and sets
+    verified on the words, as 32-bit hashes of all of them. Rows with a null id, side or text and sets
     below ``min_words`` have no part; repeated rows count once.
     """
-    # ids stay apart from the words: a set is carried once, by its hash
-    keyed = texts.where(F.col("id").isNotNull() & F.col("side").isin("left", "right")).select("id", "side", words_of(F.col("text")).alias("words"))
-    keyed = keyed.where(F.size("words") >= min_words).withColumn("set_key", F.unhex(F.md5(F.array_join("words", " "))))
-    keyed = written(keyed, "overlap-words")
+    words = texts.where(F.col("id").isNotNull() & F.col("side").isin("left", "right")).select("id", "side", words_of(F.col("text")).alias("words"))
+    words = words.where(F.size("words") >= min_words).select(
+        "id", "side", F.unhex(F.md5(F.array_join("words", " "))).alias("set_key"), F.transform("words", lambda w: F.hash(w)).alias("words")
+    )
+    schema = "id bigint, side string, set_key binary, words array<int>, keys array<bigint>, bits array<bigint>"
+    keyed = written(words.mapInPandas(_fingerprints(segments, per_segment), schema), "overlap-keyed")
     flags = keyed.groupBy("set_key").agg(
         F.min(F.struct("id", "side")).alias("first"),
         F.max(F.col("side") == "left").alias("left_side"),
         F.max(F.col("side") == "right").alias("right_side"),
-    ).withColumn("rep", F.col("first.id"))
-    sets = (
-        keyed.select("set_key", F.col("id").alias("rep"), "side", "words")
-        .join(flags.select("set_key", "rep", F.col("first.side").alias("side"), "left_side", "right_side"), ["set_key", "rep", "side"])
-        .dropDuplicates(["set_key"])
-        .select("rep", "words", "left_side", "right_side")
-    )
-    sets = written(sets, "overlap-sets")
-    prints = written(
-        sets.mapInPandas(_fingerprints(segments, per_segment), "rep bigint, left_side boolean, right_side boolean, keys array<bigint>, bits array<bigint>"), "overlap-prints"
-    )
+    ).select("set_key", F.col("first.id").alias("rep"), F.col("first.side").alias("side"), "left_side", "right_side")
+    flags = written(flags, "overlap-sets")
+    prints = keyed.select("set_key", F.col("id").alias("rep"), "side", "keys", "bits").join(flags, ["set_key", "rep", "side"])
+    prints = written(prints.dropDuplicates(["set_key"]).select("rep", "left_side", "right_side", "keys", "bits"), "overlap-prints")
 
     def blocks(side: str) -> DataFrame:
         return prints.where(f"{side}_side").select(F.explode("keys").alias("key"), F.col("rep").alias(f"{side}_rep"), F.element_at("bits", 1).alias(f"{side}_bits"))
@@ -121,8 +99,11 @@ def near_copies(texts: DataFrame, similarity: float = 0.75, min_words: int = 12,
         return prints.select(F.col("rep").alias(f"{side}_rep"), F.slice("bits", 2, 4).alias(f"{side}_code"))
 
     apart = F.aggregate(F.zip_with("left_code", "right_code", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    # words are fetched once, for the ends of the pairs that are left
     near = close.join(codes("left"), "left_rep").join(codes("right"), "right_rep").where(apart <= far_radius).select("left_rep", "right_rep")
-    # the words are fetched once for both ends of the pairs
+    near = written(near, "overlap-near")
+    used = near.select(F.explode(F.array("left_rep", "right_rep")).alias("rep")).distinct()
+    sets = keyed.select(F.col("id").alias("rep"), "set_key", "words").join(used, "rep").join(flags.select("set_key", "rep"), ["set_key", "rep"]).dropDuplicates(["rep"])
     ends = near.select("left_rep", "right_rep", F.explode(F.array("left_rep", "right_rep")).alias("rep"))
     words = ends.join(sets.select("rep", "words"), "rep").groupBy("left_rep", "right_rep").agg(
         F.max(F.when(F.col("rep") == F.col("left_rep"), F.col("words"))).alias("left_words"), F.max(F.when(F.col("rep") == F.col("right_rep"), F.col("words"))).alias("right_words")
@@ -130,7 +111,7 @@ def near_copies(texts: DataFrame, similarity: float = 0.75, min_words: int = 12,
     common = F.size(F.array_intersect("left_words", "right_words"))
     share = common / (F.size("left_words") + F.size("right_words") - common)
     pairs = words.select("left_rep", "right_rep", share.alias("similarity")).where(F.col("similarity") >= similarity - 1e-12)
-    same = sets.where("left_side and right_side").select(F.col("rep").alias("left_rep"), F.col("rep").alias("right_rep"), F.lit(1.0).alias("similarity"))
+    same = flags.where("left_side and right_side").select(F.col("rep").alias("left_rep"), F.col("rep").alias("right_rep"), F.lit(1.0).alias("similarity"))
     pairs = written(pairs.union(same), "overlap-pairs")
     used = pairs.select(F.col("left_rep").alias("rep")).union(pairs.select("right_rep")).distinct()
     members = keyed.select("set_key", "id", "side").distinct().join(flags.select("set_key", "rep").join(used, "rep"), "set_key").select("rep", "id", "side")
