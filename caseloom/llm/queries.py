@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import mojibake
+from caseloom.llm import mojibake, scans
 from caseloom.sources.tables import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.scan_traces(table(spark, sf_dir, "page_hits"))[1].select("doc_id", "page_index", "noise", "value").distinct()
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with an excerpt as continuous paragraphs."""
+    return scans.repair_pages(table(spark, sf_dir, "page_hits"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repair_encoding(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "recoverable").distinct()
 
@@ -17,6 +26,6 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repair_encoding(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p8_found, p8_restored)}
 
 SQL: dict[str, str] = {}
