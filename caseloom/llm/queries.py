@@ -3,11 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from caseloom.llm import mojibake, scans
+from caseloom.llm import mojibake, pairs, scans
 from caseloom.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.find_broken_pairs(table(spark, sf_dir, "answer_records")).distinct()
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective pairs by model and defect, beside all pairs of the model."""
+    records = table(spark, sf_dir, "answer_records")
+    found = pairs.find_broken_pairs(records).distinct()
+    models = records.select("answer_id", F.coalesce(F.regexp_replace(F.lower(F.trim("model_name")), r"[\s_]+", "-"), F.lit("")).alias("model")).distinct()
+    total = models.groupBy("model").agg(F.count_distinct("answer_id").alias("answers"))
+    return models.join(found, "answer_id").groupBy("model", "defect").agg(F.count_distinct("answer_id").alias("defective")).join(total, "model")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.scan_traces(table(spark, sf_dir, "page_hits"))[1].select("doc_id", "page_index", "noise", "value").distinct()
 
@@ -26,6 +40,6 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repair_encoding(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_repaired, p8_found, p8_restored)}
 
 SQL: dict[str, str] = {}
