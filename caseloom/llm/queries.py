@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import mojibake, pairs, scans
+from caseloom.llm import mixing, mojibake, packing, pairs, scans, tokens
 from caseloom.sources.tables import table
 
 
@@ -31,6 +31,22 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repair_pages(table(spark, sf_dir, "page_hits"))
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(tokens.token_sizes(table(spark, sf_dir, "documents")))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(p6_packed(spark, sf_dir))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(tokens.token_sizes(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(tokens.token_sizes(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repair_encoding(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "recoverable").distinct()
 
@@ -40,6 +56,6 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repair_encoding(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_repaired, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_repaired, p6_packed, p6_report, p7_mix, p7_report, p8_found, p8_restored)}
 
 SQL: dict[str, str] = {}
