@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from caseloom.plans import problems
+from caseloom.plans import lists, problems, relations, texts
 
 
 def modules() -> list:
-    return [problems]
+    return [problems, relations, lists, texts]
