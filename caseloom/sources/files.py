@@ -11,7 +11,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, mode: s
     """JSON lines under a schema. ``strict`` fails on a bad line, ``skip`` leaves it out, ``keep`` adds it as ``bad_line``."""
     if mode == "keep":
         full = StructType([*(StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields, StructField("bad_line", StringType())])
-        return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad_line").json(path)
+        lines = spark.read.text(path).where(F.trim("value") != "")
+        return lines.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad_line"}).alias("x")).select("x.*")
     return spark.read.schema(schema).option("mode", {"strict": "FAILFAST", "skip": "DROPMALFORMED"}[mode]).json(path)
 
 
