@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseloom.session import spread
+
 _CLUSTER = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+(?=([\x00-\x7f]?))")
 _LOST = "�"
 
@@ -80,7 +82,7 @@ def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def pair_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     """``(a, b, n)``: how often code point b follows a, over all texts whole."""
-    counted = documents.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInPandas(_count_pairs, "a bigint, b bigint, n bigint")
+    counted = spread(documents.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))).mapInPandas(_count_pairs, "a bigint, b bigint, n bigint")
     return counted.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
@@ -270,4 +272,4 @@ def repair_encoding(documents: DataFrame, id_col: str = "doc_id", text: str = "t
 
     kind = documents.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, recoverable int, garbled_runs bigint, mappings string" + ", restored string" * with_text
-    return documents.where(F.col(text).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, schema)
+    return spread(documents.where(F.col(text).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))).mapInPandas(run, schema)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.session import written
+from caseloom.session import spread, written
 
 TOKENIZER_FOLDER = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -59,4 +59,4 @@ def token_sizes(documents: DataFrame, tokenizer_path: str | None = None, pattern
     rows = documents.where(F.col(text).isNotNull() & (F.col(text) != "")).select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.lower(F.trim(F.col(source))), F.lit("")).alias("source"), F.col(text).alias("text")
     )
-    return written(rows.mapInPandas(run, "doc_id bigint, source string, cluster string, tokens bigint"), "token-sizes")
+    return written(spread(rows).mapInPandas(run, "doc_id bigint, source string, cluster string, tokens bigint"), "token-sizes")
