@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseloom.session import spread
+
 
 def dictionary_mentions(documents: DataFrame, id_col: str, text: str, dictionary: DataFrame, term: str, entity: str, longest: int = 6) -> DataFrame:
     """``(doc_id, entity, term, mentions)`` of whole-word terms of up to ``longest`` words.
@@ -14,7 +16,7 @@ def dictionary_mentions(documents: DataFrame, id_col: str, text: str, dictionary
     the document first.
     """
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    d = documents.select(F.col(id_col).alias("doc_id"), words.alias("_w")).where(F.size("_w") > 0)
+    d = spread(documents.select(id_col, text)).select(F.col(id_col).alias("doc_id"), words.alias("_w")).where(F.size("_w") > 0)
     sizes = dictionary.select(F.array_join(F.filter(F.split(F.lower(F.col(term)), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ").alias("term"), F.col(entity).alias("entity")).where("term <> ''").distinct()
     runs = F.flatten(
         F.transform(

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.session import written
+from caseloom.session import spread, written
 
 SEGMENTS, PER_SEGMENT = 44, 8
 
@@ -74,7 +74,7 @@ def near_copies(texts: DataFrame, similarity: float = 0.75, min_words: int = 12,
     verified on the words, as 32-bit hashes of all of them. Rows with a null id, side or text and sets
     below ``min_words`` have no part; repeated rows count once.
     """
-    words = texts.where(F.col("id").isNotNull() & F.col("side").isin("left", "right")).select("id", "side", words_of(F.col("text")).alias("words"))
+    words = spread(texts.where(F.col("id").isNotNull() & F.col("side").isin("left", "right"))).select("id", "side", words_of(F.col("text")).alias("words"))
     words = words.where(F.size("words") >= min_words).select(
         "id", "side", F.unhex(F.md5(F.array_join("words", " "))).alias("set_key"), F.transform("words", lambda w: F.hash(w)).alias("words")
     )

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import text as T
 from caseloom.operators.ranking import ranked
+from caseloom.session import spread
 
 
 def postings(documents: DataFrame, id_col: str, terms: Column) -> DataFrame:
     """``(term, doc_id, tf, dl)``: the inverted index with document lengths."""
-    d = documents.select(F.col(id_col).alias("doc_id"), terms.alias("_t")).withColumn("dl", F.size("_t"))
+    d = spread(documents).select(F.col(id_col).alias("doc_id"), terms.alias("_t")).withColumn("dl", F.size("_t"))
     return d.select("doc_id", "dl", F.explode("_t").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
 
 
