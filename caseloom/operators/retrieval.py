@@ -101,22 +101,30 @@ def fixed_chunks(documents: DataFrame, id_col: str, text: str, max_words: int =
     return at.select("doc_id", "chunk", F.size(part).alias("words"), F.array_join(part, " ").alias("chunk_text"))
 
 
-def sentence_chunks(documents: DataFrame, id_col: str, text: str, budget: int = 400) -> DataFrame:
-    """``(doc_id, chunk, sentences, tokens)``: sentences packed greedily to a token budget.
-
-    A sentence over the budget is a chunk of its own. The fold runs inside the
-    row, as an aggregate over its array of sentences.
-    """
-    s = documents.select(F.col(id_col).alias("doc_id"), T.sentences(F.col(text)).alias("_s")).where(F.size("_s") > 0)
-    start = F.expr("named_struct('done', cast(array() as array<struct<sentences:int,tokens:bigint>>), 'n', 0, 'sum', cast(0 as bigint))")
+def _packed_parts(documents: DataFrame, id_col: str, parts: Column, budget: int) -> DataFrame:
+    s = documents.select(F.col(id_col).alias("doc_id"), parts.alias("_s")).where(F.size("_s") > 0)
+    start = F.expr("named_struct('done', cast(array() as array<struct<parts:int,tokens:bigint>>), 'n', 0, 'sum', cast(0 as bigint))")
+    whole = lambda acc: F.concat(acc["done"], F.array(F.struct(acc["n"].alias("parts"), acc["sum"].alias("tokens"))))
 
     def step(acc: Column, x: Column) -> Column:
         t = T.token_estimate(x)
         full = (acc["n"] > 0) & (acc["sum"] + t > budget)
-        closed = F.concat(acc["done"], F.array(F.struct(acc["n"].alias("sentences"), acc["sum"].alias("tokens"))))
         return F.struct(
-            F.when(full, closed).otherwise(acc["done"]).alias("done"), F.when(full, F.lit(1)).otherwise(acc["n"] + 1).alias("n"), F.when(full, t).otherwise(acc["sum"] + t).alias("sum")
+            F.when(full, whole(acc)).otherwise(acc["done"]).alias("done"), F.when(full, F.lit(1)).otherwise(acc["n"] + 1).alias("n"), F.when(full, t).otherwise(acc["sum"] + t).alias("sum")
         )
 
-    folded = F.aggregate("_s", start, step, lambda acc: F.concat(acc["done"], F.array(F.struct(acc["n"].alias("sentences"), acc["sum"].alias("tokens")))))
-    return s.select("doc_id", F.posexplode(folded).alias("chunk", "_c")).select("doc_id", "chunk", "_c.sentences", "_c.tokens")
+    return s.select("doc_id", F.posexplode(F.aggregate("_s", start, step, whole)).alias("chunk", "_c")).select("doc_id", "chunk", "_c.parts", "_c.tokens")
+
+
+def sentence_chunks(documents: DataFrame, id_col: str, text: str, budget: int = 400) -> DataFrame:
+    """``(doc_id, chunk, parts, tokens)``: sentences packed greedily to a token budget.
+
+    A sentence over the budget is a chunk of its own. The fold runs inside the
+    row, as an aggregate over its array of sentences.
+    """
+    return _packed_parts(documents, id_col, T.sentences(F.col(text)), budget)
+
+
+def paragraph_chunks(documents: DataFrame, id_col: str, text: str, budget: int = 400) -> DataFrame:
+    """The same with paragraphs, which blank lines part; none is split."""
+    return _packed_parts(documents, id_col, F.filter(F.split(F.col(text), r"\n\s*\n"), lambda p: F.trim(p) != ""), budget)

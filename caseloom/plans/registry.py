@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from caseloom.plans import lists, problems, relations, texts
+from caseloom.plans import lists, problems, relations, reports, texts
 
 
 def modules() -> list:
-    return [problems, relations, lists, texts]
+    return [problems, relations, lists, texts, reports]

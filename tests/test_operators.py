@@ -42,7 +42,7 @@ def test_dense_blocks_match_one_block(spark):
 def test_sentence_chunks_keep_every_sentence(spark):
     d = spark.createDataFrame([(1, "a b c. " * 50), (2, ""), (3, None), (4, "one")], "doc_id int, text string")
     out = retrieval.sentence_chunks(d, "doc_id", "text", 12).collect()
-    assert sum(r["sentences"] for r in out if r["doc_id"] == 1) == 50 and {r["doc_id"] for r in out} == {1, 4}
+    assert sum(r["parts"] for r in out if r["doc_id"] == 1) == 50 and {r["doc_id"] for r in out} == {1, 4}
     assert all(r["tokens"] <= 12 for r in out)
 
 
