@@ -119,17 +119,19 @@ def map_values(values: DataFrame, catalog: DataFrame, threshold: float = 0.72, m
     values come out unmatched; ties between entries are unmatched; repeated
     values count once; an empty list leaves all values unmatched.
     """
-    index = reference_index(catalog)
-    v = values.select("list", "value").where(F.col("list").isNotNull() & F.col("value").isNotNull()).distinct().withColumn("form", _code(normalised("value")))
+    # values and index are used many times below, so each is computed once
+    index = written(reference_index(catalog), "reference-index")
+    v = values.select("list", "value").where(F.col("list").isNotNull() & F.col("value").isNotNull()).distinct()
+    v = written(v.withColumn("form", _code(normalised("value"))), "values")
     forms = v.select("list", "form").where(F.length("form") > 0).distinct()
     exact = forms.join(index.select("list", "form", "entry_id"), ["list", "form"]).select("list", "form", "entry_id", F.lit(1.0).alias("score"))
     open_ = _expanded(forms.join(exact, ["list", "form"], "left_anti"), _dictionary(index))
-    open_ = open_.where(F.length(F.replace("form", F.lit(" "), F.lit(""))) > 2)
+    open_ = written(open_.where(F.length(F.replace("form", F.lit(" "), F.lit(""))) > 2), "open-values")
 
     entries = index.select("list", "entry_id", F.col("form").alias("entry"), F.explode(_grams(F.col("form"))).alias("gram"))
     sizes = index.groupBy("list").agg(F.count("*").alias("forms"))
     weights = entries.groupBy("list", "gram").agg(F.count_distinct("entry").alias("df")).join(sizes, "list").select("list", "gram", F.log1p(F.col("forms") / F.col("df")).alias("w"))
-    posting = entries.join(weights, ["list", "gram"])
+    posting = written(entries.join(weights, ["list", "gram"]), "postings")
     norms = posting.groupBy("list", "entry").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("entry_norm"))
 
     asked = open_.select("list", "form", "long", F.explode(_grams(F.col("long"))).alias("gram")).join(sizes, "list").join(weights, ["list", "gram"], "left")
@@ -146,6 +148,7 @@ def map_values(values: DataFrame, catalog: DataFrame, threshold: float = 0.72, m
     apart = F.levenshtein(a, b)
     slips = F.when(_letters(a) == _letters(b), F.ceil(apart / 2).cast("int")).otherwise(apart)
     scored = scored.withColumn("near", (slips <= F.when(F.length(b) < 6, 1).otherwise(1 + F.floor(F.length(b) / 6))) & (F.length(b) > 3) & (F.col("score") >= floor)).withColumn("slips", F.when(F.col("near"), slips).otherwise(F.lit(FAR)))
+    scored = scored.select("list", "form", "entry_id", "score", "slips")
     best = scored.groupBy("list", "form", "entry_id").agg(F.max("score").alias("score"), F.min("slips").alias("slips"))
     order = Window.partitionBy("list", "form").orderBy("slips", F.desc("score"), "entry_id")
     first = (
