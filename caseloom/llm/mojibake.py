@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.session import spread
+from caseloom.session import spread, written
 
 _CLUSTER = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+(?=([\x00-\x7f]?))")
 _LOST = "�"
@@ -83,7 +83,7 @@ def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def pair_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     """``(a, b, n)``: how often code point b follows a, over all texts whole."""
     counted = spread(documents.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))).mapInPandas(_count_pairs, "a bigint, b bigint, n bigint")
-    return counted.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return written(counted.groupBy("a", "b").agg(F.sum("n").alias("n")), "char-pairs")
 
 
 class PairModel:
