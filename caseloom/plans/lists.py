@@ -28,14 +28,21 @@ def query(sql: str | None):
 
 # The stated query set of the searches is every row whose id is divisible by 20.
 _TERMS = "list_filter(regexp_split_to_array(trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g')), '\\s+'), lambda w: w <> '')"
-_BM25 = f"""WITH d AS (SELECT doc_id, {_TERMS.format('text')} AS t FROM documents),
+_INDEX = f"""WITH d AS (SELECT doc_id, {_TERMS.format('text')} AS t FROM documents),
 p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d) GROUP BY ALL),
+q AS (SELECT query_id AS qid, w AS term, count(*) AS qtf FROM (SELECT DISTINCT query_id, ground_truth.diagnosis AS g FROM eval_queries WHERE query_id % 20 = 0 AND ground_truth.diagnosis IS NOT NULL),
+  LATERAL (SELECT unnest({_TERMS.format('g')}) AS w) GROUP BY ALL)"""
+_BM25 = """,
 st AS (SELECT count(*) AS n, avg(dl) AS a FROM (SELECT doc_id, any_value(dl) AS dl FROM p GROUP BY 1)),
 i0 AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM p, st GROUP BY term, n),
 i AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM i0) ELSE idf END AS idf FROM i0),
-q AS (SELECT query_id AS qid, w AS term, count(*) AS qtf FROM (SELECT DISTINCT query_id, ground_truth.diagnosis AS g FROM eval_queries WHERE query_id % 20 = 0 AND ground_truth.diagnosis IS NOT NULL),
-  LATERAL (SELECT unnest({_TERMS.format('g')}) AS w) GROUP BY ALL),
-bm AS (SELECT qid, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))), 6) AS score FROM q JOIN i USING (term) JOIN p USING (term), st GROUP BY ALL HAVING sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) > 0)"""
+b AS (SELECT qid, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score FROM q JOIN i USING (term) JOIN p USING (term), st GROUP BY ALL),
+bm AS (SELECT qid, doc_id, round(score, 6) AS score FROM b WHERE score > 0)"""
+_TFIDF = """,
+w AS (SELECT term, ln((1.0 + (SELECT count(DISTINCT doc_id) FROM p)) / (1.0 + count(*))) + 1 AS idf FROM p GROUP BY term),
+dn AS (SELECT doc_id, sqrt(sum(tf * idf * tf * idf)) AS dn FROM p JOIN w USING (term) GROUP BY 1),
+qn AS (SELECT qid, sqrt(sum(qtf * idf * qtf * idf)) AS qn FROM q JOIN w USING (term) GROUP BY 1),
+tf AS (SELECT qid, doc_id, round(sum(qtf * idf * p.tf * idf) / (qn * dn), 6) AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN dn USING (doc_id) JOIN qn USING (qid) GROUP BY qid, doc_id, qn, dn)"""
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
@@ -51,30 +58,19 @@ def _bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
     return K.ranked(S.bm25(_index(spark, d), _queries(spark, d)).withColumn("score", F.round("score", 6)), k)
 
 
-@query(_BM25 + " SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 10")
+@query(_INDEX + _BM25 + " SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 10")
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     """RT7, RT8, TK5: BM25 top ten by a postings join."""
     return _bm25(spark, d, 10)
 
 
-_TFIDF = _BM25.split("st AS")[0] + f"""i AS (SELECT term, ln((1.0 + (SELECT count(DISTINCT doc_id) FROM p)) / (1.0 + count(*))) + 1 AS idf FROM p GROUP BY term),
-q AS (SELECT query_id AS qid, w AS term, count(*) AS qtf FROM (SELECT DISTINCT query_id, ground_truth.diagnosis AS g FROM eval_queries WHERE query_id % 20 = 0 AND ground_truth.diagnosis IS NOT NULL),
-  LATERAL (SELECT unnest({_TERMS.format('g')}) AS w) GROUP BY ALL),
-dn AS (SELECT doc_id, sqrt(sum(tf * idf * tf * idf)) AS dn FROM p JOIN i USING (term) GROUP BY 1),
-qn AS (SELECT qid, sqrt(sum(qtf * idf * qtf * idf)) AS qn FROM q JOIN i USING (term) GROUP BY 1),
-tf AS (SELECT qid, doc_id, round(sum(qtf * idf * p.tf * idf) / (qn * dn), 6) AS score FROM q JOIN i USING (term) JOIN p USING (term) JOIN dn USING (doc_id) JOIN qn USING (qid) GROUP BY qid, doc_id, qn, dn)"""
-
-
-@query(_TFIDF + " SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM tf QUALIFY rank <= 10")
+@query(_INDEX + _TFIDF + " SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM tf QUALIFY rank <= 10")
 def tfidf_search(spark: SparkSession, d: str) -> DataFrame:
     """RT21: tf-idf cosine top ten."""
     return K.ranked(S.tf_idf(_index(spark, d), _queries(spark, d)).withColumn("score", F.round("score", 6)), 10)
 
 
-@query(_BM25 + "," + _TFIDF.split("),\nq AS")[0].split("p AS")[-1].split("),\n", 1)[-1].replace("i AS", " i2 AS") + """),
-dn AS (SELECT doc_id, sqrt(sum(tf * idf * tf * idf)) AS dn FROM p JOIN i2 USING (term) GROUP BY 1),
-qn AS (SELECT qid, sqrt(sum(qtf * idf * qtf * idf)) AS qn FROM q JOIN i2 USING (term) GROUP BY 1),
-tf AS (SELECT qid, doc_id, round(sum(qtf * idf * p.tf * idf) / (qn * dn), 6) AS score FROM q JOIN i2 USING (term) JOIN p USING (term) JOIN dn USING (doc_id) JOIN qn USING (qid) GROUP BY qid, doc_id, qn, dn),
+@query(_INDEX + _BM25 + _TFIDF + """,
 l AS (SELECT qid, doc_id, 0.6 AS w, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM bm QUALIFY r <= 20
 UNION ALL SELECT qid, doc_id, 0.4, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM tf QUALIFY r <= 20),
 f AS (SELECT qid, doc_id, round(CAST(sum(w / (60.0 + r)) AS DOUBLE), 8) AS score FROM l GROUP BY ALL)
@@ -174,7 +170,7 @@ def min_k_threshold(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH h AS (SELECT question_id AS qid, doc_id || ':' || page_index AS doc_id, via, max(score) AS score FROM page_hits
 WHERE question_id IS NOT NULL AND doc_id IS NOT NULL AND page_index IS NOT NULL AND score IS NOT NULL GROUP BY ALL),
 u AS (SELECT qid, doc_id, score * CASE via WHEN 'dense' THEN 1.0 WHEN 'sparse' THEN 0.9 ELSE 1.3 END AS score, via FROM h WHERE via IN ('dense', 'sparse', 'seed_image'))
-SELECT qid, doc_id, max(score) AS score, max_by(via, (score, via)) AS via FROM u GROUP BY ALL""".replace("max_by(via, (score, via))", "max_by(via, struct_pack(a := score, b := via))"))
+SELECT qid, doc_id, max(score) AS score, max_by(via, struct_pack(a := score, b := via)) AS via FROM u GROUP BY ALL""")
 def weighted_merge(spark: SparkSession, d: str) -> DataFrame:
     """ST10, ST11, AG7: lanes merged to the best weighted score of a page."""
     h = table(spark, d, "page_hits").where("question_id is not null and doc_id is not null and page_index is not null and score is not null")
@@ -192,7 +188,7 @@ def diverse_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_RUN + """, n AS (SELECT qid, doc_id, rank, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, score DESC, doc_id) AS new_rank FROM run)
-SELECT qid, round(avg(abs(rank - new_rank)), 6) AS mean_move, count_if(rank <= 3 AND new_rank <= 3) / least(3, count(*)) AS overlap_3 FROM n GROUP BY qid""".replace("count_if(rank <= 3 AND new_rank <= 3) / least(3, count(*))", "round(count_if(rank <= 3 AND new_rank <= 3) / least(3, count(*)), 6)"))
+SELECT qid, round(avg(abs(rank - new_rank)), 6) AS mean_move, round(count_if(rank <= 3 AND new_rank <= 3) / least(3, count(*)), 6) AS overlap_3 FROM n GROUP BY qid""")
 def rank_move(spark: SparkSession, d: str) -> DataFrame:
     """WN20, WN21, RT16, RT17: what a second ordering changes."""
     new = Window.partitionBy("qid").orderBy(F.desc("grade"), F.desc("score"), "doc_id")
@@ -282,8 +278,8 @@ def rank_lines(spark: SparkSession, d: str) -> DataFrame:
     return a.select("answer_id", get(1), get(2), (~F.col("answer").rlike("(?i)rank 1:")).alias("missing_rank1_line"))
 
 
-@query("""SELECT answer_id, list_sort(list_filter([CASE WHEN regexp_replace(coalesce(answer, ''), '\\s', '', 'g') = '' THEN 'empty' END, CASE WHEN coalesce(prompt_context_count, 0) = 0 THEN 'no_context' END,
-CASE WHEN coalesce(top_score, 0) < 0.3 THEN 'weak_support' END, CASE WHEN format_retry_count > 1 THEN 'retried' END], lambda x: x IS NOT NULL)) AS l FROM answer_records""".replace("list_sort(", "array_to_string(list_sort(").replace("IS NOT NULL)) AS l", "IS NOT NULL)), ',') AS labels"))
+@query(r"""SELECT answer_id, array_to_string(list_sort(list_filter([CASE WHEN regexp_replace(coalesce(answer, ''), '\s', '', 'g') = '' THEN 'empty' END, CASE WHEN coalesce(prompt_context_count, 0) = 0 THEN 'no_context' END,
+CASE WHEN coalesce(top_score, 0) < 0.3 THEN 'weak_support' END, CASE WHEN format_retry_count > 1 THEN 'retried' END], lambda x: x IS NOT NULL)), ',') AS labels FROM answer_records""")
 def failure_labels(spark: SparkSession, d: str) -> DataFrame:
     """EV32, EV33, EV42, EV43, PF7, PF17, PF20: several labels per row by rules."""
     label = lambda c, n: F.when(c, F.lit(n))

@@ -196,10 +196,9 @@ def nested_totals(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""SELECT coalesce(CASE WHEN lower(rank1_diagnosis_type) LIKE 'non%' THEN 'nonleish' ELSE 'leish' END, 'x') AS b0,
-coalesce(bucket, 'all') AS bucket, n, round(valid, 6) AS valid_rate FROM (
+@query("""SELECT coalesce(bucket, 'all') AS bucket, n, round(valid, 6) AS valid_rate FROM (
 SELECT CASE WHEN lower(rank1_diagnosis_type) LIKE 'non%' THEN 'nonleish' ELSE 'leish' END AS bucket, count(*) AS n, avg(CAST(answer_format_valid AS INT)) AS valid
-FROM format_analyses GROUP BY GROUPING SETS ((bucket), ())) CROSS JOIN (SELECT NULL AS rank1_diagnosis_type)""".replace("coalesce(CASE WHEN lower(rank1_diagnosis_type) LIKE 'non%' THEN 'nonleish' ELSE 'leish' END, 'x') AS b0,\n", "").replace(" CROSS JOIN (SELECT NULL AS rank1_diagnosis_type)", ""))
+FROM format_analyses GROUP BY GROUPING SETS ((bucket), ()))""")
 def bucket_rollup(spark: SparkSession, d: str) -> DataFrame:
     """AG13, AG9, AG10: rates by bucket and over all, in one grouping-set pass."""
     x = table(spark, d, "format_analyses").withColumn("bucket", F.when(F.lower("rank1_diagnosis_type").like("non%"), "nonleish").otherwise("leish"))
@@ -315,7 +314,7 @@ def spearman(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, round((l_discount + l_tax) / 2, 6) AS mean,
-round(((l_discount - (l_discount + l_tax) / 2) ** 2 + (l_tax - (l_discount + l_tax) / 2) ** 2) / 2, 6) AS var FROM lineitem WHERE l_orderkey % 20 = 0""".replace(" WHERE l_orderkey % 20 = 0", ""))
+round(((l_discount - (l_discount + l_tax) / 2) ** 2 + (l_tax - (l_discount + l_tax) / 2) ** 2) / 2, 6) AS var FROM lineitem""")
 def row_mean_variance(spark: SparkSession, d: str) -> DataFrame:
     """AG35, AG49: mean and variance across columns of a row."""
     a, b = F.col("l_discount"), F.col("l_tax")
@@ -380,7 +379,8 @@ def dedup_last(spark: SparkSession, d: str) -> DataFrame:
     return R.keep_first(x, ["case_id"], [F.desc("label_id"), F.col("confidence").desc_nulls_last()])
 
 
-@query(_KEEP.format("(CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END), (error IS NOT NULL), label_id DESC, confidence NULLS FIRST").replace("confidence FROM diag", "confidence, error FROM diag"))
+@query("""SELECT case_id, label_id, confidence FROM (SELECT DISTINCT case_id, label_id, confidence, error FROM diagnosis_labels)
+QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY (CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END), (error IS NOT NULL), label_id DESC, confidence NULLS FIRST) = 1""")
 def priority_dedup(spark: SparkSession, d: str) -> DataFrame:
     """WN7, WN8, SM3: the best row of a key stays, the newest of the best."""
     x = table(spark, d, "diagnosis_labels").select("case_id", "label_id", "confidence", "error").distinct()

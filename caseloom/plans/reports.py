@@ -335,7 +335,7 @@ def template_questions(spark: SparkSession, d: str) -> DataFrame:
     return q.select("query_id", F.explode(t).alias("p"), "case_id").select("query_id", F.concat_ws(" ", "p", "case_id").alias("prompt"))
 
 
-@query(L._BM25.split("st AS")[0] + f"""q AS (SELECT DISTINCT query_id AS qid, w AS term FROM (SELECT DISTINCT query_id, ground_truth.diagnosis AS g FROM eval_queries WHERE query_id % 20 = 0 AND ground_truth.diagnosis IS NOT NULL), LATERAL (SELECT unnest({L._TERMS.format('g')}) AS w)),
+@query(L._INDEX + """,
 n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY 1), s AS (SELECT qid, doc_id, round(count(*) / sqrt(n), 6) AS score FROM q JOIN p USING (term) JOIN n USING (doc_id) GROUP BY qid, doc_id, n)
 SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 5""")
 def kb_overlap(spark: SparkSession, d: str) -> DataFrame:
