@@ -177,7 +177,7 @@ def test_pair_defects(spark):
 
 def test_ends_of_answers():
     names = {"lupus vulgaris", "yaws"}
-    for text, is_open in [("Rank 1: Yaws\nRank 2: Yaws\nRank 3: Yaws", False), ("Rank 1: Yaws\nRank 2: Yaws", True), ("Rank 1: Yaws\nRank 2: Yaws\nRank 3: Lupus vul", True), ("It is yaws.", False), ("It is", True), ("It is yaws. [PMC1_1]", False), ("It is ya…", True)]:
+    for text, is_open in [("Rank 1: Yaws\nRank 2: Yaws\nRank 3: Yaws", False), ("Rank 1: Yaws\nRank 2: Yaws", True), ("Rank 1: Yaws\nRank 2: Yaws\nRank 3: Lupus vul", True), ("Rank 1: Yaws\nRank 2: Yaws\nRank 3:", True), ("It is yaws.", False), ("It is", True), ("It is yaws. [PMC1_1]", False), ("It is ya…", True)]:
         assert pairs.is_open(text, names) == is_open, text
 
 
