@@ -375,3 +375,53 @@ def alias_infer(spark: SparkSession, d: str) -> DataFrame:
     m = N.dictionary_mentions(v.withColumn("text", F.col("value")), "value", "text", terms, "term", "entry_id")
     best = keep_first(m, ["doc_id"], [F.desc(F.length("term")), F.col("entity")])
     return best.join(c.select(F.col("entry_id").alias("entity"), "type_code"), "entity").select(F.col("doc_id").alias("value"), "type_code")
+
+
+@query("""SELECT DISTINCT label_id, confidence FROM diagnosis_labels WHERE regexp_matches(lower(concat_ws(' ', diagnosis, confirmation_method, evidence_span)), 'pcr|biopsy')
+AND coalesce(is_leishmaniasis, false) AND confidence IN ('high', 'medium')""")
+def concat_filter(spark: SparkSession, d: str) -> DataFrame:
+    """PF4, PF8, PF9: a pattern over joined fields, a flag and a set."""
+    x = table(spark, d, "diagnosis_labels").where(F.coalesce("is_leishmaniasis", F.lit(False)) & F.col("confidence").isin("high", "medium"))
+    return x.where(F.lower(F.concat_ws(" ", "diagnosis", "confirmation_method", "evidence_span")).rlike("pcr|biopsy")).select("label_id", "confidence").distinct()
+
+
+@query("""SELECT coalesce(model_name, '') AS model, count(*) AS n FROM answer_records GROUP BY 1
+HAVING greatest(abs(coalesce(avg(top_score), 0)), abs(coalesce(avg(format_retry_count), 0)), abs(coalesce(avg(prompt_context_count), 0))) > 0""")
+def nonzero_systems(spark: SparkSession, d: str) -> DataFrame:
+    """PF23: systems with any measure that is not zero."""
+    m = lambda c: F.abs(F.coalesce(F.avg(c), F.lit(0.0)))
+    x = table(spark, d, "answer_records").groupBy(F.coalesce("model_name", F.lit("")).alias("model")).agg(F.count("*").alias("n"), F.greatest(m("top_score"), m("format_retry_count"), m("prompt_context_count")).alias("top"))
+    return x.where("top > 0").select("model", "n")
+
+
+@query("""SELECT doc_id, page_index, count(DISTINCT image_path) AS images, string_agg(DISTINCT image_path, '|' ORDER BY image_path) AS paths FROM page_hits
+WHERE doc_id IS NOT NULL AND page_index IS NOT NULL AND image_path IS NOT NULL GROUP BY ALL""")
+def page_images(spark: SparkSession, d: str) -> DataFrame:
+    """JN26: the images of each page."""
+    h = table(spark, d, "page_hits").where("doc_id is not null and page_index is not null and image_path is not null")
+    return h.groupBy("doc_id", "page_index").agg(F.count_distinct("image_path").alias("images"), F.array_join(F.array_sort(F.collect_set("image_path")), "|").alias("paths"))
+
+
+@query("""WITH p AS (SELECT answer_id, any_value(prompt_context_doc_ids) AS ids FROM answer_records GROUP BY 1),
+x AS (SELECT answer_id, generate_subscripts(ids, 1) AS pos, unnest(ids) AS case_id FROM p)
+SELECT answer_id, pos, case_id, case_id IN (SELECT case_id FROM diagnosis_labels WHERE case_id IS NOT NULL) AS labelled FROM x WHERE case_id IS NOT NULL""")
+def plan_slices(spark: SparkSession, d: str) -> DataFrame:
+    """SG18, JN27: an ordered plan of keys joined with their source by position."""
+    p = table(spark, d, "answer_records").groupBy("answer_id").agg(F.first("prompt_context_doc_ids").alias("ids"))
+    x = p.select("answer_id", F.posexplode("ids").alias("p", "case_id")).where("case_id is not null").withColumn("pos", (F.col("p") + 1).cast("bigint"))
+    known = table(spark, d, "diagnosis_labels").where("case_id is not null").select("case_id").distinct().withColumn("k", F.lit(True))
+    return x.join(known, "case_id", "left").select("answer_id", "pos", "case_id", F.coalesce("k", F.lit(False)).alias("labelled"))
+
+
+@query("""SELECT DISTINCT query_id, concat_ws(' / ', ground_truth.diagnosis, ground_truth.diagnosis_type) AS term, split_part(ground_truth.diagnosis, ' ', 1) AS head FROM eval_queries WHERE ground_truth.diagnosis IS NOT NULL""")
+def pruned_struct(spark: SparkSession, d: str) -> DataFrame:
+    """SC24, SC52: a nested field dropped, the others as term and qualifier."""
+    q = table(spark, d, "eval_queries").select("query_id", F.col("ground_truth").dropFields("species").alias("g")).where("g.diagnosis is not null")
+    return q.select("query_id", F.concat_ws(" / ", "g.diagnosis", "g.diagnosis_type").alias("term"), F.split("g.diagnosis", " ")[0].alias("head")).distinct()
+
+
+@query("""SELECT question_id, round(count(DISTINCT rank) FILTER (rank BETWEEN 1 AND 5) / 5.0, 6)::DOUBLE AS recall FROM page_hits WHERE question_id IS NOT NULL GROUP BY 1""")
+def index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """EV31: distinct matched places within the expected ones."""
+    h = table(spark, d, "page_hits").where("question_id is not null").groupBy("question_id").agg(F.collect_set("rank").alias("r"))
+    return h.select("question_id", F.round(F.size(F.filter("r", lambda x: x.between(1, 5))) / 5.0, 6).alias("recall"))
