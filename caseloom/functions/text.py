@@ -51,8 +51,12 @@ def title_key(text: Column, words: int = 8) -> Column:
 
 
 def redacted(text: Column, terms: Sequence[str], mark: str = "[REDACTED]") -> Column:
-    """Every whole-word occurrence of ``terms`` replaced, whatever its letter case."""
-    return F.regexp_replace(text, r"(?i)\b(?:" + "|".join(terms) + r")\b", mark)
+    """Every whole-word occurrence of ``terms`` replaced, whatever its letter case.
+
+    A word ends where no ASCII letter, digit or underscore follows, so that a
+    term beside an accent, dash or garbled character is masked too.
+    """
+    return F.regexp_replace(text, r"(?i)(?<![A-Za-z0-9_])(?:" + "|".join(terms) + r")(?![A-Za-z0-9_])", mark)
 
 
 def head_tail(text: Column, head: int, tail: int, mark: str = "\n[...]\n") -> Column:

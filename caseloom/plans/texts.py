@@ -50,10 +50,19 @@ def keyword_extract(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "term"))).where("_r <= 5").drop("_r")
 
 
+_LEAKS = ["leishmaniasis", "leishmania", "miltefosine"]
+
+
 @query(r"SELECT doc_id, md5(regexp_replace(text, '(?i)\b(?:leishmaniasis|leishmania|miltefosine)\b', '[REDACTED]', 'g')) AS redacted FROM documents WHERE regexp_matches(text, '^[\x00-\x7f]*$')")
 def redact(spark: SparkSession, d: str) -> DataFrame:
-    """SC8: terms masked in ASCII texts (word edges mean the same on both engines there)."""
-    return table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7f]*$")).select("doc_id", F.md5(T.redacted(F.col("text"), ["leishmaniasis", "leishmania", "miltefosine"])).alias("redacted"))
+    """The ASCII texts of ``redact_whole``, to which the SQL is limited."""
+    return table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7f]*$")).select("doc_id", F.md5(T.redacted(F.col("text"), _LEAKS)).alias("redacted"))
+
+
+@query(None)
+def redact_whole(spark: SparkSession, d: str) -> DataFrame:
+    """SC8: terms masked in all texts."""
+    return table(spark, d, "documents").select("doc_id", F.md5(T.redacted(F.col("text"), _LEAKS)).alias("redacted"))
 
 
 @query(r"SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda s: trim(s)), lambda s: s <> '')) AS sentences FROM documents")
