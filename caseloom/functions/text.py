@@ -64,9 +64,9 @@ def head_tail(text: Column, head: int, tail: int, mark: str = "\n[...]\n") -> Co
 
 
 def clean_lines(text: Column, noise: Sequence[str]) -> Column:
-    """Without blank lines and those that match one of the patterns."""
+    """Without blank lines and those that match one of the patterns; lines may end in any of CR LF, LF and CR."""
     pattern = "|".join(f"(?:{p})" for p in noise)
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: (F.trim(x) != "") & ~x.rlike(pattern)), "\n")
+    return F.array_join(F.filter(F.split(text, r"\r\n|\n|\r"), lambda x: (F.trim(x) != "") & ~x.rlike(pattern)), "\n")
 
 
 def first_class(text: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:

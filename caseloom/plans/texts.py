@@ -83,11 +83,20 @@ def title_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.title_key(F.col("text")).alias("title_key"))
 
 
+_NOISE = [r"^\s*-? ?[0-9]+ ?-?\s*$", "^Page "]
+
+
 @query(r"""SELECT hit_id, array_to_string(list_filter(string_split(text_excerpt, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(x, '^\s*-? ?[0-9]+ ?-?\s*$|^Page ')), chr(10)) AS kept FROM page_hits WHERE text_excerpt IS NOT NULL AND text_excerpt NOT LIKE '%' || chr(13) || '%'""")
 def clean_lines(spark: SparkSession, d: str) -> DataFrame:
-    """PF21, PF22, SC32: lines without noise."""
+    """The excerpts of ``clean_lines_whole`` without carriage returns, to which the SQL is limited."""
     h = table(spark, d, "page_hits").where(F.col("text_excerpt").isNotNull() & ~F.col("text_excerpt").contains("\r"))
-    return h.select("hit_id", T.clean_lines(F.col("text_excerpt"), [r"^\s*-? ?[0-9]+ ?-?\s*$", "^Page "]).alias("kept"))
+    return h.select("hit_id", T.clean_lines(F.col("text_excerpt"), _NOISE).alias("kept"))
+
+
+@query(r"""SELECT hit_id, array_to_string(list_filter(regexp_split_to_array(text_excerpt, '\r\n|\n|\r'), lambda x: trim(x) <> '' AND NOT regexp_matches(x, '^\s*-? ?[0-9]+ ?-?\s*$|^Page ')), chr(10)) AS kept FROM page_hits WHERE text_excerpt IS NOT NULL""")
+def clean_lines_whole(spark: SparkSession, d: str) -> DataFrame:
+    """PF21, PF22, SC32: lines without noise in all excerpts, whatever their line ends."""
+    return table(spark, d, "page_hits").where("text_excerpt is not null").select("hit_id", T.clean_lines(F.col("text_excerpt"), _NOISE).alias("kept"))
 
 
 @query("""SELECT doc_id, CASE WHEN lower(text) LIKE '%case%' OR lower(text) LIKE '%patient%' THEN 'case' WHEN lower(text) LIKE '%treatment%' THEN 'therapy' WHEN lower(text) LIKE '%sensitivity%' THEN 'test' ELSE 'other' END AS kind,

@@ -29,3 +29,16 @@ def test_redact_covers_every_document(spark):
     out = {r["doc_id"]: r["redacted"] for r in texts.QUERIES["redact_whole"](spark, DATA).collect()}
     assert out == {i: t if t is None else hashlib.md5(LEAK.sub("[REDACTED]", t).encode()).hexdigest() for i, t in texts_of.items()}
     assert sum(t is not None and not t.isascii() for t in texts_of.values()) > 0
+
+
+def test_lines_end_in_any_way(spark):
+    t = "One\r\n- 3 -\r\n\r\nTwo\rPage 4\rThree\n\n12\r\nFour"
+    out = spark.createDataFrame([(t,)], "t string").select(T.clean_lines(F.col("t"), [r"^\s*-? ?[0-9]+ ?-?\s*$", "^Page "])).first()[0]
+    assert out == "One\nTwo\nThree\nFour"
+
+
+@needs_tables
+def test_clean_lines_covers_every_excerpt(spark):
+    h = table(spark, DATA, "page_hits").where("text_excerpt is not null")
+    out = texts.QUERIES["clean_lines_whole"](spark, DATA)
+    assert out.count() == h.count() and h.where(F.col("text_excerpt").contains("\r")).count() > 0 and out.where(F.col("kept").contains("\r")).count() == 0
