@@ -54,20 +54,48 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
     return q.select("qid", F.explode(T.tokens(F.col("g"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def _bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return K.ranked(S.bm25(_index(spark, d), _queries(spark, d)).withColumn("score", F.round("score", 6)), k)
+def _contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of the whole text of a query: its clinical context or, where that is blank, its formatted query."""
+    text = F.coalesce(*[F.when(F.col(c).rlike(r"\S"), F.col(c)) for c in ("clinical_context", "formatted_query")])
+    q = table(spark, d, "eval_queries").where("query_id % 20 = 0").select(F.col("query_id").alias("qid"), text.alias("g")).where("g is not null").distinct()
+    return q.select("qid", F.explode(T.tokens(F.col("g"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+
+
+def _bm25(spark: SparkSession, d: str, k: int, asked=_queries) -> DataFrame:
+    return K.ranked(S.bm25(_index(spark, d), asked(spark, d)).withColumn("score", F.round("score", 6)), k)
+
+
+def _tfidf(spark: SparkSession, d: str, k: int, asked=_queries) -> DataFrame:
+    return K.ranked(S.tf_idf(_index(spark, d), asked(spark, d)).withColumn("score", F.round("score", 6)), k)
+
+
+def _hybrid(spark: SparkSession, d: str, asked=_queries) -> DataFrame:
+    lanes = [(_bm25(spark, d, 20, asked), 0.6), (_tfidf(spark, d, 20, asked), 0.4)]
+    return K.ranked(K.reciprocal_rank_fusion(lanes).withColumn("score", F.round("score", 8)), 10)
 
 
 @query(_INDEX + _BM25 + " SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 10")
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
-    """RT7, RT8, TK5: BM25 top ten by a postings join."""
+    """``bm25_search_whole`` asked with short labels, as its SQL is."""
     return _bm25(spark, d, 10)
 
 
+@query(None)
+def bm25_search_whole(spark: SparkSession, d: str) -> DataFrame:
+    """RT7, RT8, TK5: BM25 top ten of the queries' whole texts by a postings join."""
+    return _bm25(spark, d, 10, _contexts)
+
+
 @query(_INDEX + _TFIDF + " SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM tf QUALIFY rank <= 10")
 def tfidf_search(spark: SparkSession, d: str) -> DataFrame:
-    """RT21: tf-idf cosine top ten."""
-    return K.ranked(S.tf_idf(_index(spark, d), _queries(spark, d)).withColumn("score", F.round("score", 6)), 10)
+    """``tfidf_search_whole`` asked with short labels, as its SQL is."""
+    return _tfidf(spark, d, 10)
+
+
+@query(None)
+def tfidf_search_whole(spark: SparkSession, d: str) -> DataFrame:
+    """RT21: tf-idf cosine top ten of the queries' whole texts."""
+    return _tfidf(spark, d, 10, _contexts)
 
 
 @query(_INDEX + _BM25 + _TFIDF + """,
@@ -76,10 +104,14 @@ UNION ALL SELECT qid, doc_id, 0.4, row_number() OVER (PARTITION BY qid ORDER BY
 f AS (SELECT qid, doc_id, round(CAST(sum(w / (60.0 + r)) AS DOUBLE), 8) AS score FROM l GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10""")
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    """RT10, RT11, RT13, RT14, RT15, AG8: two lanes fused by reciprocal rank."""
-    a = _bm25(spark, d, 20)
-    b = K.ranked(S.tf_idf(_index(spark, d), _queries(spark, d)).withColumn("score", F.round("score", 6)), 20)
-    return K.ranked(K.reciprocal_rank_fusion([(a, 0.6), (b, 0.4)]).withColumn("score", F.round("score", 8)), 10)
+    """``hybrid_rrf_whole`` asked with short labels, as its SQL is."""
+    return _hybrid(spark, d)
+
+
+@query(None)
+def hybrid_rrf_whole(spark: SparkSession, d: str) -> DataFrame:
+    """RT10, RT11, RT13, RT14, RT15, AG8: two lanes of the queries' whole texts fused by reciprocal rank."""
+    return _hybrid(spark, d, _contexts)
 
 
 _DENSE = """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),

@@ -339,8 +339,18 @@ def template_questions(spark: SparkSession, d: str) -> DataFrame:
 n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY 1), s AS (SELECT qid, doc_id, round(count(*) / sqrt(n), 6) AS score FROM q JOIN p USING (term) JOIN n USING (doc_id) GROUP BY qid, doc_id, n)
 SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 5""")
 def kb_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """RT24: shared terms over the root of a document's number of terms."""
-    index, q = L._index(spark, d), L._queries(spark, d).select("qid", "term")
+    """``kb_overlap_whole`` asked with short labels, as its SQL is."""
+    return _overlap(spark, d, L._queries)
+
+
+@query(None)
+def kb_overlap_whole(spark: SparkSession, d: str) -> DataFrame:
+    """RT24: terms shared with a query's whole text over the root of a document's number of terms."""
+    return _overlap(spark, d, L._contexts)
+
+
+def _overlap(spark: SparkSession, d: str, asked) -> DataFrame:
+    index, q = L._index(spark, d), asked(spark, d).select("qid", "term")
     n = index.groupBy("doc_id").agg(F.count("*").alias("n"))
     return K.ranked(q.join(index, "term").groupBy("qid", "doc_id").agg(F.count("*").alias("c")).join(n, "doc_id").select("qid", "doc_id", F.round(F.col("c") / F.sqrt("n"), 6).alias("score")), 5)
 
@@ -350,8 +360,8 @@ def alpha_fusion(spark: SparkSession, d: str) -> DataFrame:
     """RT18, RT19, RT22, RT25: two lanes blended by their standard scores."""
     w = Window.partitionBy("qid")
     lane = lambda df, n: K.ranked(df, 50).select("qid", "doc_id", K.z_score(F.col("score"), w).alias(n))
-    a = lane(S.bm25(L._index(spark, d), L._queries(spark, d)), "a")
-    b = lane(S.tf_idf(L._index(spark, d), L._queries(spark, d)), "b")
+    a = lane(S.bm25(L._index(spark, d), L._contexts(spark, d)), "a")
+    b = lane(S.tf_idf(L._index(spark, d), L._contexts(spark, d)), "b")
     both = a.join(b, ["qid", "doc_id"], "full").select("qid", "doc_id", (0.7 * F.coalesce("a", F.lit(0.0)) + 0.3 * F.coalesce("b", F.lit(0.0))).alias("score"))
     return K.ranked(both, 10)
 

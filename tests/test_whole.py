@@ -1,13 +1,15 @@
 """Queries over whole tables that no SQL limits, against brute force."""
 
 import hashlib
+import math
 import os
 import re
+from collections import Counter
 
 import pytest
 
 from caseloom.functions import text as T
-from caseloom.plans import texts
+from caseloom.plans import lists, reports, texts
 from caseloom.sources.tables import table
 from pyspark.sql import functions as F
 
@@ -42,3 +44,43 @@ def test_clean_lines_covers_every_excerpt(spark):
     h = table(spark, DATA, "page_hits").where("text_excerpt is not null")
     out = texts.QUERIES["clean_lines_whole"](spark, DATA)
     assert out.count() == h.count() and h.where(F.col("text_excerpt").contains("\r")).count() > 0 and out.where(F.col("kept").contains("\r")).count() == 0
+
+
+def words(text):
+    return re.sub(r"[^\w\s]", " ", text.lower()).split()
+
+
+def best(scores, k):
+    return {q: sorted(((d, s) for d, s in x.items() if s > 0), key=lambda r: (-r[1], r[0]))[:k] for q, x in scores.items()}
+
+
+@needs_tables
+def test_searches_ask_with_the_whole_text(spark):
+    docs = {r["doc_id"]: Counter(words(r["text"])) for r in table(spark, DATA, "documents").where("text is not null").collect()}
+    docs = {i: c for i, c in docs.items() if c}
+    asked = {}
+    for r in table(spark, DATA, "eval_queries").where("query_id % 20 = 0").collect():
+        text = next((t for t in (r["clinical_context"], r["formatted_query"]) if t and t.strip()), None)
+        asked |= {r["query_id"]: Counter(words(text))} if text else {}
+    n, mean = len(docs), sum(sum(c.values()) for c in docs.values()) / len(docs)
+    df = Counter(t for c in docs.values() for t in c)
+    idf = {t: math.log(n - x + 0.5) - math.log(x + 0.5) for t, x in df.items()}
+    low = sum(idf.values()) / len(idf) / 4
+    okapi = {t: low if x < 0 else x for t, x in idf.items()}
+    smooth = {t: math.log((1 + n) / (1 + x)) + 1 for t, x in df.items()}
+    norm = lambda c: math.sqrt(sum((f * smooth[t]) ** 2 for t, f in c.items() if t in smooth))
+    score = lambda f: {q: {i: f(a, c) for i, c in docs.items() if a.keys() & c.keys()} for q, a in asked.items()}
+    bm = best(score(lambda a, c: round(sum(x * okapi[t] * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * sum(c.values()) / mean)) for t, x in a.items() if t in c), 6)), 20)
+    tf = best(score(lambda a, c: round(sum(x * c[t] * smooth[t] ** 2 for t, x in a.items() if t in c) / norm(a) / norm(c), 6)), 20)
+    kb = best(score(lambda a, c: round(len(a.keys() & c.keys()) / math.sqrt(len(c)), 6)), 5)
+    fused = {q: Counter() for q in asked}
+    for lane, w in ((bm, 0.6), (tf, 0.4)):
+        for q, x in lane.items():
+            for r, (i, _) in enumerate(x, 1):
+                fused[q][i] += w / (60 + r)
+    fused = best({q: {i: round(s, 8) for i, s in x.items()} for q, x in fused.items()}, 10)
+    for name, want, k, many in (("bm25_search_whole", bm, 10, lists), ("tfidf_search_whole", tf, 10, lists), ("hybrid_rrf_whole", fused, 10, lists), ("kb_overlap_whole", kb, 5, reports)):
+        got = {(r["qid"], r["rank"]): r["score"] for r in many.QUERIES[name](spark, DATA).collect()}
+        want = {(q, r): s for q, x in want.items() for r, (_, s) in enumerate(x[:k], 1)}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 3e-6 for x in got), name
+    assert {r["qid"] for r in reports.QUERIES["alpha_fusion"](spark, DATA).collect()} == {q for q, x in bm.items() if x}
