@@ -142,13 +142,22 @@ CAST(sum(CASE WHEN g.sp = q.sp AND NOT coalesce(g.cm = q.cm, false) THEN n ELSE
 CAST(sum(CASE WHEN coalesce(g.sp = q.sp, false) THEN 0 ELSE n END) AS BIGINT) AS grade_1
 FROM q JOIN g ON q.dx = g.dx GROUP BY label_id, q.sp, q.cm""")
 def entity_grade_qrels(spark: SparkSession, d: str) -> DataFrame:
-    """JN7, EV1, EV3: graded relevance of every twentieth label against all, over entity groups."""
+    """The labels of ``entity_grade_qrels_whole`` whose id is divisible by 20, to which the SQL is limited."""
+    return entity_grade_qrels_whole(spark, d).where("label_id % 20 = 0")
+
+
+@query(SQL["entity_grade_qrels"].replace(" WHERE label_id % 20 = 0", ""))
+def entity_grade_qrels_whole(spark: SparkSession, d: str) -> DataFrame:
+    """JN7, EV1, EV3: graded relevance of every label against all, once per entity group and joined back."""
     rows = table(spark, d, "diagnosis_labels").where("diagnosis is not null").select("label_id", F.col("diagnosis").alias("dx"), F.col("species").alias("sp"), F.col("confirmation_method").alias("cm")).distinct()
     groups = rows.groupBy("dx", F.col("sp").alias("g_sp"), F.col("cm").alias("g_cm")).agg(F.count("*").alias("n"))
-    both = rows.where("label_id % 20 = 0").join(groups, "dx")
+    both = groups.select("dx", F.col("g_sp").alias("sp"), F.col("g_cm").alias("cm")).join(groups, "dx")
     same, confirmed = F.coalesce(F.col("sp") == F.col("g_sp"), F.lit(False)), F.coalesce(F.col("cm") == F.col("g_cm"), F.lit(False))
     n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    return both.groupBy("label_id", "sp", "cm").agg(n(same & confirmed).alias("grade_3"), n(same & ~confirmed).alias("grade_2"), n(~same).alias("grade_1")).drop("sp", "cm")
+    grades = both.groupBy("dx", "sp", "cm").agg(n(same & confirmed).alias("grade_3"), n(same & ~confirmed).alias("grade_2"), n(~same).alias("grade_1"))
+    g = grades.select(F.col("dx").alias("g_dx"), F.col("sp").alias("g_sp"), F.col("cm").alias("g_cm"), "grade_3", "grade_2", "grade_1")
+    of_label = (F.col("dx") == F.col("g_dx")) & F.col("sp").eqNullSafe(F.col("g_sp")) & F.col("cm").eqNullSafe(F.col("g_cm"))
+    return rows.join(g, of_label).select("label_id", "grade_3", "grade_2", "grade_1")
 
 
 @query("""SELECT count(*) AS documents, count_if(lower(text) LIKE '%leishmania%') AS mentions, count_if(lang IS NULL) AS no_language,

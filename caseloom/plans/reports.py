@@ -101,15 +101,25 @@ def containment_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return f.join(c, "type_code").select("answer_id", F.when(t == n, 1.0).when(F.contains(t, n) | ((F.length(t) > 0) & F.contains(n, t)), 0.5).otherwise(0.0).alias("accuracy"))
 
 
+def _shared_words(spark: SparkSession, d: str, queries: DataFrame) -> DataFrame:
+    words = lambda df, i, c: df.select(i, F.explode(F.split(F.lower(c), "[^a-z]+")).alias("w")).where("length(w) > 3").distinct()
+    q = words(queries, "query_id", F.col("clinical_context"))
+    c = words(table(spark, d, "diagnosis_catalog"), "entry_id", F.concat_ws(" ", "canonical_name", F.coalesce(F.array_join("aliases", " "), F.lit(""))))
+    return q.join(F.broadcast(c), "w").groupBy("query_id", "entry_id").agg(F.count("*").alias("common")).where("common >= 2")  # a fixed table of 56 rows
+
+
 @query("""WITH w AS (SELECT DISTINCT query_id, w FROM (SELECT query_id, unnest(regexp_split_to_array(lower(clinical_context), '[^a-z]+')) AS w FROM eval_queries WHERE query_id % 20 = 0) WHERE length(w) > 3),
 c AS (SELECT DISTINCT entry_id, w FROM (SELECT entry_id, unnest(regexp_split_to_array(lower(canonical_name || ' ' || coalesce(array_to_string(aliases, ' '), '')), '[^a-z]+')) AS w FROM diagnosis_catalog) WHERE length(w) > 3)
 SELECT query_id, entry_id, count(*) AS common FROM w JOIN c USING (w) GROUP BY ALL HAVING count(*) >= 2""")
 def shared_words(spark: SparkSession, d: str) -> DataFrame:
-    """JN28: pairs that share two words or more, by an equi-join on words."""
-    words = lambda df, i, c: df.select(i, F.explode(F.split(F.lower(c), "[^a-z]+")).alias("w")).where("length(w) > 3").distinct()
-    q = words(table(spark, d, "eval_queries").where("query_id % 20 = 0"), "query_id", F.col("clinical_context"))
-    c = words(table(spark, d, "diagnosis_catalog"), "entry_id", F.concat_ws(" ", "canonical_name", F.coalesce(F.array_join("aliases", " "), F.lit(""))))
-    return q.join(c, "w").groupBy("query_id", "entry_id").agg(F.count("*").alias("common")).where("common >= 2")
+    """The queries of ``shared_words_whole`` whose id is divisible by 20, to which the SQL is limited."""
+    return _shared_words(spark, d, table(spark, d, "eval_queries").where("query_id % 20 = 0"))
+
+
+@query(SQL["shared_words"].replace(" WHERE query_id % 20 = 0", ""))
+def shared_words_whole(spark: SparkSession, d: str) -> DataFrame:
+    """JN28: pairs of all queries and catalogue entries that share two words or more, by an equi-join on words."""
+    return _shared_words(spark, d, table(spark, d, "eval_queries"))
 
 
 @query("""SELECT coalesce(split_part(qid, '::', 1), '') AS case_id, count(DISTINCT answer_id) AS answers, round(avg(CASE WHEN top_score >= 0.2 THEN top_score END), 9) AS mean_score,

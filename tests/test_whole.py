@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 
 from caseloom.functions import text as T
-from caseloom.plans import lists, reports, texts
+from caseloom.plans import lists, relations, reports, texts
 from caseloom.sources.tables import table
 from pyspark.sql import functions as F
 
@@ -84,3 +84,12 @@ def test_searches_ask_with_the_whole_text(spark):
         want = {(q, r): s for q, x in want.items() for r, (_, s) in enumerate(x[:k], 1)}
         assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 3e-6 for x in got), name
     assert {r["qid"] for r in reports.QUERIES["alpha_fusion"](spark, DATA).collect()} == {q for q, x in bm.items() if x}
+
+
+@needs_tables
+def test_joins_cover_all_ids(spark):
+    ids = lambda m, name, i: {r[0] for r in m.QUERIES[name](spark, DATA).select(i).distinct().collect()}
+    labels = {r[0] for r in table(spark, DATA, "diagnosis_labels").where("diagnosis is not null").select("label_id").distinct().collect()}
+    assert ids(relations, "entity_grade_qrels_whole", "label_id") == labels
+    whole = ids(reports, "shared_words_whole", "query_id")
+    assert any(i % 20 for i in whole) and {i for i in whole if i % 20 == 0} == ids(reports, "shared_words", "query_id")
