@@ -8,15 +8,15 @@ their inclusion odds, and the first ones that fill the size are taken.
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.session import written
 
 
-def distinct_texts(sizes: DataFrame) -> DataFrame:
-    """One row of ``token_sizes`` per text: of copies, the one with the smallest id."""
-    first = sizes.groupBy("cluster").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("x"))
+def distinct_texts(sizes: DataFrame, last: Column) -> DataFrame:
+    """One row of ``token_sizes`` per text: of copies, the one with the smallest id, those that are ``last`` after all others."""
+    first = sizes.groupBy("cluster").agg(F.min(F.struct(last.alias("last"), "doc_id", "source", "tokens")).alias("x"))
     return first.select("x.doc_id", "x.source", "x.tokens")
 
 
@@ -41,7 +41,9 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, p
     ``total_tokens`` the mix is as large as the scarcest source allows.
     The inclusion probability of a text grows with ``tokens ** power``. Texts
     are counted once however many documents repeat them, so no text is used
-    more than ``max_repeats`` times. Draws depend on ``doc_id`` and ``seed``
+    more than ``max_repeats`` times; of copies in target sources the one with
+    the smallest id counts, with its source, those in a source with no share or
+    a cap of 0 after all others. Draws depend on ``doc_id`` and ``seed``
     only.
     """
     spark = sizes.sparkSession
@@ -49,7 +51,10 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, p
     goals = {r["source"]: (float(r["share"] or 0), int(r["cap"])) for r in goal.where("source is not null").limit(max_sources + 1).collect()}
     if len(goals) > max_sources:
         raise ValueError(f"more than {max_sources} sources with a target")
-    texts = written(distinct_texts(sizes).where(F.col("source").isin(list(goals)) if goals else F.lit(False)), "mix-texts")
+    # copies in other sources are left out before the choice: a text is lost only if no copy stands in a target source
+    targeted = sizes.where(F.col("source").isin(list(goals)) if goals else F.lit(False))
+    unusable = F.col("source").isin([s for s, (share, cap) in goals.items() if share <= 0 or cap <= 0])
+    texts = written(distinct_texts(targeted, unusable), "mix-texts")
     # three significant digits: at most 900 rows for each source and power of ten
     digits = F.greatest(F.lit(0), F.floor(F.log10("tokens")) - 2)
     coarse = F.round(F.col("tokens") / F.pow(F.lit(10.0), digits)) * F.pow(F.lit(10.0), digits)

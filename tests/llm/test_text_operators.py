@@ -232,6 +232,17 @@ def test_mix_reaches_the_shares(spark):
     assert mixing.mix(sizes.where("false"), targets)[0].count() == 0 and mixing.mix(sizes, targets.where("false"))[0].count() == 0
 
 
+def test_mix_keeps_texts_whose_first_copy_is_elsewhere(spark):
+    rows = [(i, "", f"k{i}", 100) for i in range(150)] + [(i, "unused", f"k{i}", 100) for i in range(150, 200)]
+    rows += [(1000 + i, "a", f"k{i}", 100) for i in range(200)] + [(2000 + i, "b", f"k{i}", 100) for i in range(200, 400)] + [(500 + i, "none", f"k{i}", 100) for i in range(200, 400)]
+    sizes = spark.createDataFrame(rows, "doc_id bigint, source string, cluster string, tokens bigint")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1), ("none", 0.0, 1)], "source string, target_share double, max_repeats int")
+    mixed, report = mixing.mix(sizes, targets)
+    r = {x["source"]: x for x in report.collect()}
+    assert r["a"]["texts"] == r["b"]["texts"] == 200 and r["a"]["tokens_used"] == r["b"]["tokens_used"] == 20_000
+    assert {x["doc_id"] for x in mixed.collect()} == {1000 + i for i in range(200)} | {2000 + i for i in range(200, 400)}
+
+
 def test_pareto_inclusion_follows_the_weights(spark):
     rows = [(i, "s", f"k{i}", 100 if i % 2 else 400) for i in range(20_000)]
     sizes = spark.createDataFrame(rows, "doc_id bigint, source string, cluster string, tokens bigint")
