@@ -247,7 +247,7 @@ b AS (SELECT model, i AS replicate, sum(-ln(greatest({_UNIT.format("concat_ws('|
 FROM a, range(40) t(i) WHERE s IS NOT NULL GROUP BY ALL), l AS (SELECT model, list_sort(list(m)) AS m FROM b GROUP BY 1)
 SELECT model, round(m[1 + CAST(floor(40 * 0.025) AS INT)], 6) AS low, round(m[1 + greatest(0, CAST(floor(40 * 0.975) AS INT) - 1)], 6) AS high FROM l""")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    """EV20, EV21, EV24, EV27: interval of a mean from hashed weights."""
+    """Interval of a mean from hashed weights, a Bayesian form of EV20."""
     a = table(spark, d, "answer_records").groupBy("answer_id", F.coalesce("model_name", F.lit("")).alias("model")).agg(F.max("top_score").alias("s"))
     ci = E.confidence_interval(E.bootstrap_means(a, "model", "answer_id", "s", 40), "model")
     return ci.select("model", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
@@ -326,7 +326,7 @@ def failure_labels(spark: SparkSession, d: str) -> DataFrame:
 v AS (SELECT label, avg(embedding[1]) AS a, avg(embedding[2]) AS c FROM embeddings GROUP BY 1)
 SELECT label, CAST(max_by(alpha, struct_pack(s := round(alpha * a + (1 - alpha) * c, 9), t := -alpha)) AS DOUBLE) AS best_alpha FROM b JOIN v USING (label) GROUP BY label""")
 def grid_search(spark: SparkSession, d: str) -> DataFrame:
-    """EV40, EV41, MV13: best blend of two scores over a grid."""
+    """Best linear blend of two label means over a grid, in part MV13; 0 or 1 but for ties."""
     v = table(spark, d, "embeddings").groupBy("label").agg(F.avg(F.element_at("embedding", 1).cast("double")).alias("a"), F.avg(F.element_at("embedding", 2).cast("double")).alias("c"))
     g = v.withColumn("alpha", F.explode(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: i / F.lit(10.0))))
     s = F.round(F.col("alpha") * F.col("a") + (1 - F.col("alpha")) * F.col("c"), 9)

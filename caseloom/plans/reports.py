@@ -246,7 +246,7 @@ s AS (SELECT qid, doc_id, rank, row_number() OVER (PARTITION BY qid ORDER BY gra
 f AS (SELECT qid, doc_id, round(CAST(1.0 / (60 + rank) + CASE WHEN refine THEN 1.0 / (60 + r2) ELSE 0 END AS DOUBLE), 9) AS score FROM s)
 SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS place FROM f""")
 def refine_two_pass(spark: SparkSession, d: str) -> DataFrame:
-    """RT20, RT26, RT27: a second ordering is fused in where the first is undecided."""
+    """RT26: a second ordering is fused in where the first is undecided."""
     run = K.ranked(L._hits(spark, d))
     flag = run.where("rank <= 3").groupBy("qid").agg((F.max("score") - F.min("score") < 0.2).alias("refine"))
     r2 = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("grade"), F.desc("score"), "doc_id"))
@@ -367,7 +367,7 @@ def _overlap(spark: SparkSession, d: str, asked) -> DataFrame:
 
 @query(None)
 def alpha_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """RT18, RT19, RT22, RT25: two lanes blended by their standard scores."""
+    """RT22: two lanes blended by their standard scores with fixed weights."""
     w = Window.partitionBy("qid")
     lane = lambda df, n: K.ranked(df, 50).select("qid", "doc_id", K.z_score(F.col("score"), w).alias(n))
     a = lane(S.bm25(L._index(spark, d), L._contexts(spark, d)), "a")
@@ -378,7 +378,7 @@ def alpha_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def chunk_section(spark: SparkSession, d: str) -> DataFrame:
-    """RT2, RT6: paragraphs packed to a token budget; a long paragraph stays whole."""
+    """Paragraphs packed to a token budget; a long paragraph stays whole."""
     return S.paragraph_chunks(table(spark, d, "documents"), "doc_id", "text")
 
 

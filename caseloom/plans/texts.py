@@ -153,11 +153,23 @@ def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT vec_id, label, exp(8.0 * embedding[1]) AS e FROM embeddings) SELECT vec_id, round(e / sum(e) OVER (PARTITION BY label), 6) AS weight FROM s""")
 def proto_vote(spark: SparkSession, d: str) -> DataFrame:
-    """MV11, MV12, MV14: softmax weights within a group."""
+    """Softmax weights of one coordinate within a group."""
     e = F.exp(8.0 * F.element_at("embedding", 1).cast("double"))
     return table(spark, d, "embeddings").select("vec_id", F.round(e / F.sum(e).over(Window.partitionBy("label")), 6).alias("weight"))
 
 
+@query(None)
+def proto_vote_whole(spark: SparkSession, d: str) -> DataFrame:
+    """MV12: exp(80 * cosine) of an item to the mean of each label, as shares over all labels."""
+    v = table(spark, d, "embeddings").where("label is not null").select("vec_id", "label", V.unit(F.col("embedding")).alias("u"))
+    mean = v.select("label", F.posexplode("u").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    p = mean.groupBy("label").agg(V.unit(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda r: r["x"])).alias("p"))
+    s = v.select("vec_id", "u").crossJoin(F.broadcast(p)).select("vec_id", "label", F.aggregate(F.zip_with("u", "p", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x).alias("s"))  # one row a label
+    w = Window.partitionBy("vec_id")
+    e = s.withColumn("e", F.exp(80.0 * (F.col("s") - F.max("s").over(w))))
+    return e.select("vec_id", "label", F.round(F.col("e") / F.sum("e").over(w), 6).alias("weight"))
+
+
 _U = "(CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) / 4294967296.0)"
 
 
@@ -180,7 +192,7 @@ def quota_sample(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH x AS (SELECT DISTINCT label_id, coalesce(confirmation_method, '') AS m FROM diagnosis_labels), n AS (SELECT m, greatest(1, round(count(*) * 100.0 / sum(count(*)) OVER ())) AS t FROM x GROUP BY 1)
 SELECT label_id, m AS method FROM x JOIN n USING (m) QUALIFY row_number() OVER (PARTITION BY m ORDER BY md5(concat_ws('|', '42', label_id)), label_id) <= t""")
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
-    """SG5, MV6: a sample by shares of the strata."""
+    """A sample by shares of the strata, in part SG5: no top-up."""
     x = table(spark, d, "diagnosis_labels").select("label_id", F.coalesce("confirmation_method", F.lit("")).alias("method")).distinct()
     return P.proportional_sample(x, "label_id", "method", 100).select("label_id", "method")
 

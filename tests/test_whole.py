@@ -6,6 +6,7 @@ import os
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from caseloom.functions import text as T
@@ -93,3 +94,16 @@ def test_joins_cover_all_ids(spark):
     assert ids(relations, "entity_grade_qrels_whole", "label_id") == labels
     whole = ids(reports, "shared_words_whole", "query_id")
     assert any(i % 20 for i in whole) and {i for i in whole if i % 20 == 0} == ids(reports, "shared_words", "query_id")
+
+
+@needs_tables
+def test_prototype_votes(spark):
+    rows = table(spark, DATA, "embeddings").where("label is not null").collect()
+    u = np.array([r["embedding"] for r in rows], float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    labels = sorted({r["label"] for r in rows})
+    p = np.array([u[[r["label"] == x for r in rows]].mean(0) for x in labels])
+    e = np.exp(80 * (u @ (p / np.linalg.norm(p, axis=1, keepdims=True)).T))
+    want = {(r["vec_id"], x): w for r, ws in zip(rows, e / e.sum(1, keepdims=True)) for x, w in zip(labels, ws)}
+    got = {(r["vec_id"], r["label"]): r["weight"] for r in texts.QUERIES["proto_vote_whole"](spark, DATA).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in want)
