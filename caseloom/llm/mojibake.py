@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from caseloom.session import spread, written
 
 _CLUSTER = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+(?=([\x00-\x7f]?))")
+_WIDE = re.compile(r"[^\x00-\x7f]+")
 _LOST = "�"
 
 # Fixed values: (read as, truly) pairs of encodings that are tried.
@@ -95,86 +96,143 @@ class PairModel:
     probable as small letters; ``cased`` heeds it.
     """
 
-    def __init__(self, counts: list[tuple[int, int, int]], smooth: float = 0.01):
-        self.exact = {(chr(a), chr(b)): n for a, b, n in counts}
-        self.pairs = Counter()
-        for (a, b), n in self.exact.items():
-            self.pairs[a.lower(), b.lower()] += n
-        self.total = max(1, sum(self.pairs.values()))
+    def __init__(self, counts: list[tuple[int, int, int]] | np.ndarray, smooth: float = 0.05):
+        table = np.asarray(counts, np.int64).reshape(-1, 3)
+        small = {int(c): ord(chr(c).lower()) if len(chr(c).lower()) == 1 else int(c) for c in np.unique(table[:, :2])}
+        lower = np.array([[small[int(a)], small[int(b)]] for a, b in table[:, :2]], np.int64).reshape(-1, 2)
+        self.exact, self.exact_n = self._sums(table[:, 0] << 21 | table[:, 1], table[:, 2])
+        self.folded, self.folded_n = self._sums(lower[:, 0] << 21 | lower[:, 1], table[:, 2])
+        self.total = max(1, int(table[:, 2].sum()))
         self.first, self.second = Counter(), Counter()
-        for (a, b), n in self.exact.items():
-            for x in {a, a.lower()}:
-                self.first[x] += n
-            for x in {b, b.lower()}:
-                self.second[x] += n
+        for (a, b), (low_a, low_b), n in zip(table[:, :2].tolist(), lower.tolist(), table[:, 2].tolist()):
+            for x in {a, low_a}:
+                self.first[chr(x)] += n
+            for x in {b, low_b}:
+                self.second[chr(x)] += n
         self.kappa = smooth * self.total
         self.floor = 0.02 * self.total / 1e6
+        self.memory: dict[tuple[str, str, bool], float] = {}
+        self.plain = np.array([[self.score(chr(a), chr(b)) for b in range(128)] for a in range(128)])
+
+    def improbable(self, share: float) -> float:
+        """The score below which the least probable ``share`` of all pairs lies."""
+        if not len(self.folded):
+            return 0.0
+        kinds = np.array([self._pmi(chr(k >> 21), chr(k & 0x1FFFFF), False) for k in self.folded.tolist()])
+        order = np.argsort(kinds, kind="stable")
+        return float(kinds[order][np.searchsorted(np.cumsum(self.folded_n[order]), share * self.total)])
+
+    @staticmethod
+    def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        distinct, at = np.unique(keys, return_inverse=True)
+        return distinct, np.bincount(at, n, len(distinct)) if len(distinct) else np.zeros(0)
+
+    def _count(self, keys: np.ndarray, n: np.ndarray, a: str, b: str) -> float:
+        key = ord(a) << 21 | ord(b)
+        at = int(np.searchsorted(keys, key))
+        return float(n[at]) if at < len(keys) and keys[at] == key else 0.0
+
+    def _pmi(self, a: str, b: str, cased: bool) -> float:
+        got = self.memory.get((a, b, cased))
+        if got is None:
+            if len(self.memory) > 500_000:
+                self.memory.clear()
+            n = self._count(self.exact, self.exact_n, a, b) if cased else self._count(self.folded, self.folded_n, a, b)
+            got = self.memory[a, b, cased] = math.log((n + self.floor) * self.total / ((self.first[a] + self.kappa) * (self.second[b] + self.kappa)))
+        return got
 
     def score(self, a: str, b: str) -> float:
-        a, b = a.lower(), b.lower()
-        n = self.pairs.get((a, b), 0) + self.floor
-        return math.log(n * self.total / ((self.first[a] + self.kappa) * (self.second[b] + self.kappa)))
+        a, b = (x if len(x) == 1 else y for x, y in ((a.lower(), a), (b.lower(), b)))
+        return self._pmi(a, b, False)
 
     def cased(self, a: str, b: str) -> float:
-        n = self.exact.get((a, b), 0) + self.floor
-        return math.log(n * self.total / ((self.first[a] + self.kappa) * (self.second[b] + self.kappa)))
+        return self._pmi(a, b, True)
 
-    def mean(self, text: str, cased: bool = False) -> float:
+    def total_score(self, text: str, cased: bool = False) -> float:
         score = self.cased if cased else self.score
-        return sum(score(a, b) for a, b in zip(text, text[1:])) / max(1, len(text) - 1)
+        return sum(map(score, text, text[1:]))
+
+    def scores(self, text: str) -> np.ndarray:
+        """``score`` of all adjacent pairs of ``text``."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        narrow = np.minimum(codes, 127)
+        out = self.plain[narrow[:-1], narrow[1:]]
+        wide = np.flatnonzero((codes[:-1] > 127) | (codes[1:] > 127))
+        if len(wide):
+            kinds, of = np.unique(codes[wide].astype(np.int64) << 21 | codes[wide + 1], return_inverse=True)
+            out[wide] = np.array([self.score(chr(k >> 21), chr(k & 0x1FFFFF)) for k in kinds.tolist()])[of]
+        return out
 
     def knows(self, c: str) -> bool:
         return c < "\x80" or self.first[c.lower()] + self.second[c.lower()] > 2e-7 * self.total
 
 
-def pair_model(counts: DataFrame, least_share: float = 2e-6) -> PairModel:
+def pair_model(counts: DataFrame, most_kinds: int = 4_000_000) -> PairModel:
     """The model of ``pair_counts``, on the driver.
 
-    Pairs below ``least_share`` of all pairs that touch a character outside
-    ASCII count as unseen, so at most 1/least_share pairs and the 128 x 128
-    pairs of ASCII are fetched, whatever the size of the corpus.
+    It holds every kind of pair that occurs, 24 bytes each; kinds are bounded
+    by the characters in use and not by the corpus. More than ``most_kinds``
+    of them are an error.
     """
-    wide = (F.col("a") > 127) | (F.col("b") > 127)
-    total = counts.agg(F.sum(F.when(wide, F.col("n"))).alias("n")).first()["n"] or 0
-    rows = counts.where(~wide | (F.col("n") >= least_share * total)).collect()
-    return PairModel([(r["a"], r["b"], r["n"]) for r in rows])
-
-
-def segments(scores: list[float]) -> list[tuple[int, int]]:
-    """All maximal scoring runs ``[start, end)`` of ``scores``, in one pass."""
-    found: list[list[float]] = []  # start, end, sum before, sum at the end
-    total = 0.0
-    for i, s in enumerate(scores):
-        before, total = total, total + s
-        if s <= 0:
-            continue
-        run = [i, i + 1, before, total]
+    rows = counts.select("a", "b", "n").limit(most_kinds + 1).toArrow()
+    if rows.num_rows > most_kinds:
+        raise ValueError(f"more than {most_kinds} kinds of character pairs")
+    return PairModel(np.column_stack([rows.column(c).to_numpy() for c in ("a", "b", "n")]))
+
+
+def segments(scores: np.ndarray) -> list[tuple[int, int]]:
+    """All maximal scoring runs ``[start, end)`` of ``scores``, in one pass over the positive ones."""
+    scores = np.asarray(scores, float)
+    sums = np.concatenate([[0.0], np.cumsum(scores)])
+    found: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum at the end
+    lowest = 0  # no run before this one begins below the runs to come
+    for i in np.flatnonzero(scores > 0).tolist():
+        run = (i, i + 1, sums[i], sums[i + 1])
         while True:
             j = len(found) - 1
-            while j >= 0 and found[j][2] >= run[2]:
+            while j >= lowest and found[j][2] >= run[2]:
                 j -= 1
-            if j < 0 or found[j][3] >= run[3]:
+            if j < lowest or found[j][3] >= run[3]:
+                lowest = len(found) if j < lowest else lowest
                 found.append(run)
                 break
-            run = [found[j][0], run[1], found[j][2], run[3]]
+            run = (found[j][0], run[1], found[j][2], run[3])
             del found[j:]
-    return [(int(a), int(b)) for a, b, *_ in found]
+    return [(a, b) for a, b, *_ in found]
+
+
+def _joined(runs: np.ndarray) -> np.ndarray:
+    """Segments of pairs whose characters touch, as one; ``[start, end)`` of pairs covers the characters start to end."""
+    if len(runs) < 2:
+        return runs
+    runs = runs[np.argsort(runs[:, 0])]
+    apart = np.flatnonzero(runs[1:, 0] > runs[:-1, 1] + 1)
+    return np.column_stack([runs[np.concatenate([[0], apart + 1]), 0], runs[np.concatenate([apart, [len(runs) - 1]]), 1]])
 
 
 class Repairer:
-    """Finds and undoes wrong readings; results are kept per distinct cluster."""
+    """Finds and undoes wrong readings; results are kept per distinct run.
+
+    The least probable ``improbable`` of all pairs of the corpus add to the
+    score of a segment and the others take from it; segments are the only
+    places where mappings are tried. A mapping must raise
+    the sum of the scores by ``gain_utf8``, or by ``gain_single`` per pair
+    where it maps a byte to a byte.
+    """
 
-    def __init__(self, model: PairModel, improbable: float = 3.0, gain_utf8: float = -6.0, gain_single: float = 1.2, memory: int = 200_000):
-        self.model, self.improbable, self.gain_utf8, self.gain_single, self.memory = model, improbable, gain_utf8, gain_single, memory
+    def __init__(self, model: PairModel, improbable: float = 0.08, loose: float = 0.3, gain_utf8: float = 1.0, gain_single: float = 1.2, memory: int = 200_000):
+        self.model, self.improbable, self.gain_utf8, self.gain_single, self.memory = model, model.improbable(improbable), gain_utf8, gain_single, memory
+        self.loose = model.improbable(loose)
         self.known: dict[tuple[str, str, str], tuple | None] = {}
 
     def _best(self, left: str, run: str, right: str, depth: int = 0) -> tuple[float, str, tuple] | None:
-        """(gain in mean score, restored run, mappings) of the best inverse mapping.
+        """(gain, restored run, mappings) of the best inverse mapping.
 
         Bytes that happen to form UTF-8 with characters the corpus knows are
-        evidence of their own, so that mapping may lose a little and goes first.
+        evidence of their own, so that mapping goes first.
         """
-        base, best = self.model.mean(left + run + right), None
+        before = left + run + right
+        base, base_cased, best = self.model.total_score(before), None, None
         for read_as, truly in [(e, "utf-8") for e in UTF8_READ_AS] + SINGLE_BYTE:
             out = _undo(run, read_as, truly)
             if out is None or out == run or not out or _LOST in out or any(0x80 <= ord(c) <= 0x9F and depth > 1 for c in out):
@@ -188,65 +246,86 @@ class Repairer:
                 continue
             if truly != "utf-8" and best and best[2][0][1] == "utf-8":
                 break
-            gain = self.model.mean(left + out + right) - base
+            gain, least = self.model.total_score(left + out + right) - base, self.gain_utf8
             if truly != "utf-8":
-                gain = min(gain, self.model.mean(left + out + right, True) - self.model.mean(left + run + right, True))
-            if gain >= (self.gain_utf8 if truly == "utf-8" else self.gain_single) and (best is None or (gain, len(how)) > (best[0], len(best[2]))):
+                if base_cased is None:
+                    base_cased = self.model.total_score(before, True)
+                gain, least = min(gain, self.model.total_score(left + out + right, True) - base_cased), self.gain_single * (len(before) - 1)
+            if gain >= least and (best is None or (gain, len(how)) > (best[0], len(best[2]))):
                 best = (gain, out, how)
         return best
 
-    def cluster(self, left: str, run: str, right: str) -> tuple | None:
-        """(restored, mappings) of a cluster with its neighbours, or None."""
+    def run(self, left: str, run: str, right: str) -> tuple[str, tuple] | None:
+        """(restored, mappings) of the characters outside ASCII in a segment, with their neighbours, or None."""
         key = (left, run, right)
         if key in self.known:
             return self.known[key]
-        padded = left + run + right
-        scores = [self.improbable - self.model.score(a, b) for a, b in zip(padded, padded[1:])]
-        found, shift = None, len(left)
-        spans = sorted({(max(0, a - shift), min(len(run), b + 1 - shift)) for a, b in segments(scores)} | {(0, len(run))} if any(s > 0 for s in scores) else set(), key=lambda x: x[0] - x[1])
-        for a, b in spans:
-            if b <= a:
-                continue
-            for c, d in ((a, b), (a + 1, b), (a, b - 1)):  # a segment of pairs may take in one sound neighbour
-                if d > c and (best := self._best((left + run[:c])[-1:], run[c:d], (run[d:] + right)[:1])):
-                    rank = (best[2][0][1] == "utf-8", best[0])
-                    if found is None or rank > found[0]:
-                        found = (rank, run[:c] + best[1] + run[d:], best[2])
-            if found:
-                break
+        found = None
+        for c, d in ((0, len(run)), (1, len(run)), (0, len(run) - 1)):  # a segment of pairs takes in one neighbour at either end, which may be sound
+            if d > c and (best := self._best((left + run[:c])[-1:], run[c:d], (run[d:] + right)[:1])):
+                rank = (best[2][0][1] == "utf-8", best[0])
+                if found is None or rank > found[0]:
+                    found = (rank, run[:c] + best[1] + run[d:], best[2])
         if len(self.known) > self.memory:
             self.known.clear()
         self.known[key] = found and (found[1], found[2])
         return self.known[key]
 
+    def _by(self, how: tuple, left: str, run: str, right: str) -> str | None:
+        """``run`` restored by the mappings ``how``, unless that makes it less probable."""
+        slack = 0.0 if how[0][1] == "utf-8" else 0.5 * (len(left + run + right) - 1)  # bytes to bytes, and most of the text was read so
+        for c, d in ((0, len(run)), *((c, len(run) - e) for c in range(4) for e in range(4) if 0 < c + e < len(run))):
+            out: str | None = run[c:d]
+            for step in how:
+                out = out and _undo(out, *step)
+            if out and all(self.model.knows(x) for x in out):
+                a, b = (left + run[:c])[-1:], (run[d:] + right)[:1]
+                if self.model.total_score(a + out + b) > self.model.total_score(a + run[c:d] + b) - slack:
+                    return run[:c] + out + run[d:]
+            if how[0][1] != "utf-8":
+                break
+        return None
+
+    def _mapped(self, text: str, threshold: float, how: tuple | None) -> tuple[Counter, int, str]:
+        """(mappings used, runs in segments, restored text) with segments below ``threshold``."""
+        parts, at, used, runs = [], 0, Counter(), 0
+        spans = _joined(np.array(segments(threshold - self.model.scores(text)), np.int64).reshape(-1, 2))
+        outside = np.concatenate([[0], np.cumsum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) > 127)])
+        for start, stop in spans[outside[spans[:, 1] + 1] > outside[spans[:, 0]]].tolist():  # ASCII reads the same in all the encodings
+            if how:  # a run is followed to its ends
+                while start > at and text[start - 1] > "\x7f":
+                    start -= 1
+                while stop + 1 < len(text) and text[stop + 1] > "\x7f":
+                    stop += 1
+            for m in _WIDE.finditer(text, max(start, at), stop + 1):
+                left, run, right = text[m.start() - 1 : m.start()] if m.start() else "", m.group(), text[m.end() : m.end() + 1]
+                own = self._by(how, left, run, right) if how else None
+                found = (own, how) if own else self.run(left, run, right)
+                runs += not found or found[1][0][1] != "utf-8"
+                if found:
+                    used[found[1]] += 1
+                    parts += [text[at : m.start()], found[0]]
+                    at = m.end()
+        return used, runs, "".join(parts) + text[at:]
+
     def text(self, text: str) -> tuple[int, int, str, str] | None:
-        """(garbled clusters, recoverable, restored text, mappings) or None for sound text."""
+        """(garbled runs, recoverable, restored text, mappings) or None for sound text.
+
+        In a garbled text the mapping that serves most runs is then tried in
+        the wider segments of a looser threshold; a mapping of bytes to bytes
+        only if it serves two fifths of all runs that are not UTF-8.
+        """
         if text.isascii():
             return None
-        lost, parts, at, used, kept = _LOST in text, [], 0, Counter(), []
-        for m in _CLUSTER.finditer(text):
-            whole = m.group()
-            left, run = (whole[0], whole[1:]) if whole[0] < "\x80" else ("", whole)
-            start = m.end() - len(run)
-            found = self.cluster(left, run, m.group(1))
-            parts.append(text[at:start])
-            at = m.end()
-            if found:
-                used[found[1]] += 1
-            if not found or found[1][0][1] != "utf-8":
-                kept.append((len(parts), left, run, m.group(1)))
-            parts.append(found[0] if found else run)
+        lost = _LOST in text
+        used, runs, out = self._mapped(text, self.improbable, None)
         if not used and not lost:
             return None
-        parts.append(text[at:])
         if used:
             how, n = used.most_common(1)[0]
-            if how[0][1] != "utf-8" and n >= 0.4 * len(kept):  # a text read wrongly as a whole
-                for i, left, run, right in kept:
-                    out = _undo(run, *how[0])
-                    if out and all(self.model.knows(c) for c in out) and self.model.mean(left + out + right) > self.model.mean(left + run + right) - 0.5:
-                        parts[i] = out
-        return sum(used.values()) + text.count(_LOST), int(not lost), "".join(parts), ", ".join(sorted({"+".join(f"{a}>{b}" for a, b in k) for k in used}))
+            if how[0][1] == "utf-8" or n >= 0.4 * runs:
+                used, _, out = self._mapped(text, self.loose, how)
+        return sum(used.values()) + text.count(_LOST), int(not lost), out, ", ".join(sorted({"+".join(f"{a}>{b}" for a, b in k) for k in used}))
 
 
 def repair_encoding(documents: DataFrame, id_col: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,6 +51,15 @@ def test_encoding_edge_cases(spark):
     assert mojibake.repair_encoding(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
 
 
+def test_mappings_are_tried_inside_segments_only(monkeypatch):
+    texts = ["un café très serré et une évolution"] * 50 + [garble("un café très serré", ("cp1252", "utf-8"))] * 3
+    counts = pd.concat(mojibake._count_pairs([pd.DataFrame({"text": texts})])).groupby(["a", "b"])["n"].sum().reset_index()
+    model = mojibake.PairModel(counts.to_numpy())
+    assert [bool(mojibake.Repairer(model).text(t)) for t in texts] == [False] * 50 + [True] * 3
+    monkeypatch.setattr(mojibake, "segments", lambda scores: [])
+    assert not any(mojibake.Repairer(model).text(t) for t in texts)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.floats(-5, 5), max_size=25))
 def test_segments_are_disjoint_and_hold_the_best(scores):
