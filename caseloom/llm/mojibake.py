@@ -152,15 +152,20 @@ class PairModel:
         score = self.cased if cased else self.score
         return sum(map(score, text, text[1:]))
 
-    def scores(self, text: str) -> np.ndarray:
-        """``score`` of all adjacent pairs of ``text``."""
+    def improbability(self, text: str, threshold: float) -> np.ndarray:
+        """How far the score of each adjacent pair of ``text`` lies below ``threshold``.
+
+        Pairs of ASCII read the same in all the encodings, so they never add
+        to a run: above zero they count as zero.
+        """
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        narrow = np.minimum(codes, 127)
-        out = self.plain[narrow[:-1], narrow[1:]]
-        wide = np.flatnonzero((codes[:-1] > 127) | (codes[1:] > 127))
-        if len(wide):
-            kinds, of = np.unique(codes[wide].astype(np.int64) << 21 | codes[wide + 1], return_inverse=True)
-            out[wide] = np.array([self.score(chr(k >> 21), chr(k & 0x1FFFFF)) for k in kinds.tolist()])[of]
+        narrow = np.minimum(codes, 127).astype(np.uint8)
+        out = np.minimum(threshold - self.plain, 0)[narrow[:-1], narrow[1:]]
+        wide = codes > 127
+        at = np.flatnonzero(wide[:-1] | wide[1:])
+        if len(at):
+            kinds, of = np.unique(codes[at].astype(np.int64) << 21 | codes[at + 1], return_inverse=True)
+            out[at] = threshold - np.array([self.score(chr(k >> 21), chr(k & 0x1FFFFF)) for k in kinds.tolist()])[of]
         return out
 
     def knows(self, c: str) -> bool:
@@ -201,13 +206,15 @@ def segments(scores: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b, *_ in found]
 
 
-def _joined(runs: np.ndarray) -> np.ndarray:
+def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Segments of pairs whose characters touch, as one; ``[start, end)`` of pairs covers the characters start to end."""
-    if len(runs) < 2:
-        return runs
-    runs = runs[np.argsort(runs[:, 0])]
-    apart = np.flatnonzero(runs[1:, 0] > runs[:-1, 1] + 1)
-    return np.column_stack([runs[np.concatenate([[0], apart + 1]), 0], runs[np.concatenate([apart, [len(runs) - 1]]), 1]])
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
 
 
 class Repairer:
@@ -289,9 +296,7 @@ class Repairer:
     def _mapped(self, text: str, threshold: float, how: tuple | None) -> tuple[Counter, int, str]:
         """(mappings used, runs in segments, restored text) with segments below ``threshold``."""
         parts, at, used, runs = [], 0, Counter(), 0
-        spans = _joined(np.array(segments(threshold - self.model.scores(text)), np.int64).reshape(-1, 2))
-        outside = np.concatenate([[0], np.cumsum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) > 127)])
-        for start, stop in spans[outside[spans[:, 1] + 1] > outside[spans[:, 0]]].tolist():  # ASCII reads the same in all the encodings
+        for start, stop in _joined(segments(self.model.improbability(text, threshold))):
             if how:  # a run is followed to its ends
                 while start > at and text[start - 1] > "\x7f":
                     start -= 1
