@@ -152,43 +152,75 @@ def test_field_decodes_like_brute_force():
         at += n
 
 
-def test_pair_defects(spark):
-    rnd = random.Random(4)
-    names = ["Cutaneous leishmaniasis", "Visceral leishmaniasis", "Lupus vulgaris", "Sporotrichosis"]
-    query = lambda: "What is the most likely diagnosis?\n\nClinical context: " + " ".join(sentence(rnd) for _ in range(5))
-    good = lambda: "\n".join(f"Rank {i}: {rnd.choice(names)}" for i in (1, 2, 3)) + "\nReasoning: The history makes this picture likely and the culture would settle the question."
-    refusals = ["I am not able to interpret these images.", "Request declined.", "Sorry, I won't give an opinion on this case.", "Devo recusar este pedido."]
-    spanish = "Razonamiento: La evolución de tres meses y la anemia apoyan este diagnóstico según el equipo del hospital.\nRank 1: Lupus vulgaris\nRank 2: Sporotrichosis\nRank 3: Visceral leishmaniasis"
-    rows, want = [], {}
-    for i in range(400):
-        q, kind = query(), rnd.choice([None] * 6 + ["empty", "truncated", "refusal", "copied_question", "other_language"])
-        a = good()
+NAMES = ["Cutaneous leishmaniasis", "Visceral leishmaniasis", "Lupus vulgaris", "Sporotrichosis", "Tertiary syphilis"]
+SPANISH = ["La evolución de tres meses y la anemia apoyan esta hipótesis según el equipo del hospital.", "El paciente presentaba una úlcera en la pierna desde hace varias semanas.", "La biopsia de la piel mostraría los parásitos dentro de las células.", "No había fiebre ni otros síntomas durante el invierno.", "Los análisis de la sangre fueron normales en el centro de salud."]
+FRENCH = ["Le patient avait une plaie de la jambe depuis plusieurs semaines.", "La biopsie de la peau montre des parasites dans les cellules.", "Il n'y avait pas de fièvre ni de douleur pendant les mois de l'hiver.", "Les analyses du sang sont restées normales dans le centre de santé."]
+# none of these wordings and languages is used for training
+DECLINES = ["It would be unwise of me to name any illness from this.", "I'm afraid that's not something I can do for you.", "You will have to ask someone else, I won't be giving any diagnosis.", "I cannot in good conscience offer a verdict here.", "My instructions forbid giving a medical opinion.", "I'm sorry, this is a question I must not answer.", "Sorry, no comment from me on patients.", "I am unable to form any opinion about this.", "We regret that we cannot take this question.", "I have to say no to this request."]
+FOREIGN = ["De patiënt had al enkele weken een zweer op het linkerbeen en geen koorts gehad. Het onderzoek past het best bij deze diagnose omdat de kweek positief was.", "Hastanın bacağında birkaç haftadır iyileşmeyen bir yara vardı ve ateşi yoktu. Bu bulgular en çok bu tanıyı desteklemektedir.", "Pacjent od kilku tygodni miał owrzodzenie na nodze i nie gorączkował. Te objawy najbardziej przemawiają za tym rozpoznaniem.", "Potilaan jalassa oli ollut useita viikkoja haavauma eikä kuumetta ollut. Löydökset sopivat parhaiten tähän tautiin.", "患者左腿上的溃疡已经持续了好几个星期没有发热这些表现最符合这种诊断因为培养结果为阳性。"]
+
+
+def made_pairs(seed, n):
+    """Pairs of a made-up table, most of them sound, and the defect of each."""
+    rnd = random.Random(seed)
+    out = []
+    for _ in range(n):
+        own, foreign = rnd.choice([(None, SPANISH), (None, SPANISH), (None, FRENCH), (SPANISH, None), (FRENCH, SPANISH)])
+        query = "What is the most likely diagnosis?\n\nClinical context: " + " ".join(rnd.choice(own) if own else sentence(rnd) for _ in range(5))
+        reasons, other = (" ".join(rnd.choice(of) if of else f"{sentence(rnd)[:-1]} and this favours {rnd.choice(NAMES).lower()}." for _ in range(2)) for of in (own, foreign))
+        ranks = "\n".join(f"Rank {i}: {rnd.choice(NAMES)}" for i in (1, 2, 3)) + "\nReasoning: "
+        kind, answer = rnd.choice([None] * 8 + ["empty", "truncated", "refusal", "copied_question", "other_language"]), ranks + reasons
         if kind == "empty":
-            a = rnd.choice([None, "", " \n", "N/A", "Rank 1:\nRank 2:\nRank 3:", "Reasoning:"])
+            answer = rnd.choice([None, "", " \n", "N/A", "Rank 1:\nRank 2:\nRank 3:", "Reasoning:"])
         elif kind == "truncated":
-            a = a[: rnd.randrange(a.index("Reasoning") + 20, len(a) - 3)].rstrip(".")
+            at = rnd.randrange(answer.index("Reasoning") + 30, len(answer) - 3)
+            answer = answer[:at].rstrip(". ") + ("x" if answer[at - 1] in ". " else "")
         elif kind == "refusal":
-            a = rnd.choice(refusals)
+            answer = rnd.choice(["I am not able to interpret these images.", "Request declined.", "Sorry, I won't give an opinion on this case.", "Devo recusar este pedido."])
         elif kind == "copied_question":
-            a = rnd.choice([q, q.upper(), q.replace("?", "")])
+            answer = rnd.choice([query, query.upper(), query.replace("?", "")])
         elif kind == "other_language":
-            a = spanish
-        rows.append((i, q, a, "clash", False))
-        if kind:
-            want[i] = kind
-    schema = "answer_id bigint, query string, answer string, defect string, answer_format_valid boolean"
-    got = {r["answer_id"]: r["defect"] for r in pairs.find_broken_pairs(spark.createDataFrame(rows, schema)).collect()}
-    right = sum(got.get(i) == k for i, k in want.items())
-    assert right >= 0.95 * len(want) and len(got) <= 1.05 * len(want)
-    assert pairs.find_broken_pairs(spark.createDataFrame([], schema)).count() == 0
-    odd = spark.createDataFrame([(1, None, None, None, None), (None, None, "word " * 50_000, None, None), (2, "", "Lupus.", None, None)], schema)
-    assert {(r["answer_id"], r["defect"]) for r in pairs.find_broken_pairs(odd).collect()} >= {(1, "empty")}
-
-
-def test_ends_of_answers():
-    names = {"lupus vulgaris", "yaws"}
-    for text, is_open in [("Rank 1: Yaws\nRank 2: Yaws\nRank 3: Yaws", False), ("Rank 1: Yaws\nRank 2: Yaws", True), ("Rank 1: Yaws\nRank 2: Yaws\nRank 3: Lupus vul", True), ("Rank 1: Yaws\nRank 2: Yaws\nRank 3:", True), ("It is yaws.", False), ("It is", True), ("It is yaws. [PMC1_1]", False), ("It is ya…", True)]:
-        assert pairs.is_open(text, names) == is_open, text
+            answer = ranks + other
+        out.append((query, answer, kind))
+    return out
+
+
+SCHEMA = "answer_id bigint, query string, answer string, defect string, answer_format_valid boolean"
+
+
+def test_pair_defects(spark):
+    made = made_pairs(4, 1500)
+    rows, want = [(i, q, a, "clash", False) for i, (q, a, _) in enumerate(made)], {i: k for i, (*_, k) in enumerate(made) if k}
+    got = {r["answer_id"]: r["defect"] for r in pairs.find_broken_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for kind in set(want.values()):
+        held = [i for i, k in want.items() if k == kind]
+        assert sum(got.get(i) == kind for i in held) >= 0.9 * len(held), kind
+    assert len(set(got) - set(want)) <= 0.01 * len(made)
+    assert pairs.find_broken_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+    odd = spark.createDataFrame([(1, None, None, None, None), (None, None, "word " * 50_000, None, None), (2, "", "Lupus.", None, None), (1, None, None, None, None)], SCHEMA)
+    assert sorted(r["answer_id"] or 0 for r in pairs.find_broken_pairs(odd).where("defect = 'empty'").collect()) == [1, 1]
+
+
+def test_wordings_and_languages_that_training_has_not_seen(spark):
+    made = made_pairs(5, 1500)
+    tagger = pairs.fit_tagger(spark.createDataFrame([(q, a) for q, a, _ in made], "query string, answer string"))
+    query = made_pairs(6, 40)[0][0]
+    ranks = "\n".join(f"Rank {i}: {n}" for i, n in enumerate(NAMES[:3], 1)) + "\nReasoning: "
+    english = next(q for q, *_ in made_pairs(6, 40) if "hospital" in q and "según" not in q and "santé" not in q)
+    assert sum(d == "refusal" for d in tagger.defects([english] * len(DECLINES), DECLINES)) >= 0.9 * len(DECLINES)
+    assert tagger.defects([english] * len(FOREIGN), [ranks + f for f in FOREIGN]) == ["other_language"] * len(FOREIGN)
+    sound = [ranks[: ranks.index("Reasoning")].strip(), "Lupus vulgaris.", "This is not medical advice. " + ranks + "The team recorded a shallow ulcer before treatment and this favours sporotrichosis."]
+    assert tagger.defects([english] * len(sound), sound) == [None] * len(sound)
+    # without the field every clause is an answer, and only the empty ones are left
+    tagger.tags = lambda x: __import__("numpy").zeros(len(x.sizes), int)
+    assert set(tagger.defects([q for q, *_ in made], [a for _, a, _ in made])) <= {None, "empty"} and query
+
+
+def test_answers_that_state_nothing():
+    for text in [None, "", " \n\t", "N/A", "null", "Rank 1:\nRank 2:", "Reasoning:", "**Rank 1:** none", "<answer></answer>"]:
+        assert pairs.states_nothing(text), text
+    for text in ["Yaws", "Rank 1: Yaws", "No.", "1"]:
+        assert not pairs.states_nothing(text), text
 
 
 # 6 and 7: sizes, packing and mixing
