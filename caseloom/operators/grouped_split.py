@@ -3,11 +3,13 @@
 Grouped iterative stratification: the connected components of the records'
 article ids are the units, each with a vector of label counts. The labels are
 taken by what is still outstanding, the rarest first, and all components that
-hold the label go to the splits that need it most.
+hold the label go to the splits that need it most. Components that hold as
+many records of the label as each other are dealt as one class.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,37 +55,51 @@ def record_groups(records: DataFrame, row_id: str = "row_id", article: str = "ar
     ).drop("_a", "_c", "_n", "node", "component")
 
 
-def _prefix_sums(units: DataFrame, size: str, buckets: int = 512) -> DataFrame:
-    """``units`` with ``before``: the sum of ``size`` ahead of each row in hash order.
+def _ranked(units: DataFrame, size: str, count: int, bucket_rows: int = 50_000) -> DataFrame:
+    """``units`` with ``rank``: how many units of the same ``size`` lie ahead of each in hash order.
 
-    Hash buckets are summed apart and then shifted by the sums of the buckets
-    ahead of them, so no task sorts more than one bucket.
+    Hash buckets of about ``bucket_rows`` units are ranked apart and then
+    shifted by the counts of the buckets ahead of them, so no task sorts a
+    whole class however large it is.
     """
-    spread = units.withColumn("_h", F.xxhash64("group_key")).withColumn("_b", F.pmod("_h", F.lit(buckets)))
-    inside = Window.partitionBy("_b").orderBy("_h", "group_key")
-    ahead = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over one row per bucket
-    shift = spread.groupBy("_b").agg(F.sum(size).alias("_s")).select("_b", F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_shift"))
-    return (
-        spread.withColumn("_in", F.sum(size).over(inside) - F.col(size))
-        .join(F.broadcast(shift), "_b")  # at most ``buckets`` rows
-        .withColumn("before", F.col("_in") + F.col("_shift"))
-        .drop("_h", "_b", "_in", "_shift")
-    )
+    spread = units.withColumn("_h", F.xxhash64("group_key")).withColumn("_b", F.pmod("_h", F.lit(max(1, count // bucket_rows))))
+    inside = Window.partitionBy(size, "_b").orderBy("_h", "group_key")
+    ahead = Window.partitionBy(size).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over one row per bucket
+    shift = spread.groupBy(size, "_b").agg(F.count("*").alias("_c")).select(size, "_b", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_shift"))
+    return spread.withColumn("_in", F.row_number().over(inside) - 1).join(shift, [size, "_b"]).withColumn("rank", F.col("_in") + F.col("_shift")).drop("_h", "_b", "_in", "_shift")
+
 
+def _deal(members: int, n: int, want: dict[str, float], order: list[str]) -> dict[str, int]:
+    """How many of ``members`` equal units of ``n`` records each split gets.
 
-def stratify_groups(groups: DataFrame, label: str, proportions: Mapping[str, float] = SPLITS, heavy: float = 0.002, max_labels: int = 500) -> DataFrame:
+    One unit after another goes to the split with the greatest need, the first
+    in ``order`` of equals. All but a few are dealt at once: down to the level
+    of need that lets the needs meet.
+    """
+    low, high = min(want.values()) - n * members, max(want.values())
+    for _ in range(100):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(max(0, math.floor((w - level) / n)) for w in want.values()) > members else (low, level)
+    got = {s: max(0, math.floor((want[s] - high) / n)) for s in order}
+    for _ in range(members - sum(got.values())):
+        s = max(order, key=lambda s: want[s] - n * got[s])
+        got[s] += 1
+    return got
+
+
+def stratify_groups(groups: DataFrame, label: str, proportions: Mapping[str, float] = SPLITS, max_labels: int = 10_000) -> DataFrame:
     """``(group_key, split)`` for the groups of ``groups(group_key, label)``.
 
-    Components with more than the share ``heavy`` of a label's outstanding
-    records (at most 1/heavy of them) are placed one by one, the largest
-    first, into the split with the greatest need. The others lie on a line in
-    hash order, cut in proportion to the needs that remain, which is the same
-    greedy rule up to one component for each cut. A null label is a label of
-    its own. More than ``max_labels`` distinct labels are an error, as each
-    takes a pass.
+    The labels are taken by their outstanding records, the rarest first.
+    Components with the same number of records of that label are a class; the
+    classes go from the largest number to the smallest, and the members of a
+    class go one by one into the split with the greatest need. How many each
+    split gets is counted on the driver from one row per class, of which there
+    are at most the square root of twice the records; which ones is read off
+    their rank in hash order. A null label is a label of its own. Each label
+    takes a pass; more than ``max_labels`` are an error.
     """
-    spark = groups.sparkSession
-    names = list(proportions)
+    names = sorted(proportions, key=lambda s: (-proportions[s], s))
     total_share = sum(proportions.values())
     vectors = cut(
         groups.select("group_key", F.coalesce(F.initcap(F.trim(F.col(label))), F.lit("")).alias("label")).groupBy("group_key", "label").agg(F.count("*").alias("n"))
@@ -97,39 +113,28 @@ def stratify_groups(groups: DataFrame, label: str, proportions: Mapping[str, flo
     while outstanding := {x: n for x, n in outstanding.items() if n > 0}:
         rarest = min(outstanding, key=lambda x: (outstanding[x], x))
         units = left.where(F.col("label") == rarest).select("group_key", "n")
-        bound = heavy * outstanding[rarest]
-        by_hand = {}
-        big = units.where(F.col("n") > bound).orderBy(F.desc("n"), "group_key").collect()  # at most 1/heavy rows
+        classes = sorted((r["n"], r["members"]) for r in units.groupBy("n").agg(F.count("*").alias("members")).collect())[::-1]
         want = {s: need[s][rarest] for s in names}
-        for r in big:
-            s = max(names, key=lambda s: (want[s], proportions[s]))
-            by_hand[r["group_key"]] = s
-            want[s] -= r["n"]
-        rest = units.where(F.col("n") <= bound)
-        open_need = {s: max(0.0, want[s]) for s in names}
-        scale = sum(open_need.values())
-        shares = {s: (open_need[s] / scale if scale else proportions[s] / total_share) for s in names}
-        light = sum(want.values())  # what the small components hold of this label
-        where, at = F.lit(names[-1]), 0.0
-        cuts = []
-        for s in names[:-1]:
-            at += shares[s]
-            cuts.append((s, at * light))
-        for s, stop in reversed(cuts):
-            where = F.when(F.col("before") + F.col("n") / 2 < stop, F.lit(s)).otherwise(where)
-        chosen = _prefix_sums(rest, "n").select("group_key", where.alias("split"))
-        if by_hand:
-            chosen = chosen.union(spark.createDataFrame(list(by_hand.items()), "group_key string, split string"))
-        chosen = cut(chosen)
+        bounds = []
+        for n, members in classes:
+            got = _deal(members, n, want, names)
+            at = 0
+            for s in names:
+                want[s] -= n * got[s]
+                if got[s]:
+                    bounds.append((n, at, at + got[s], s))
+                at += got[s]
+        shares = vectors.sparkSession.createDataFrame(bounds, "n bigint, first bigint, stop bigint, split string")
+        ranked = _ranked(units, "n", sum(m for _, m in classes))
+        chosen = cut(ranked.join(shares, "n").where("rank >= first and rank < stop").select("group_key", "split"))
         placed.append(chosen)
-        got = left.join(chosen, "group_key").groupBy("split", "label").agg(F.sum("n").alias("n")).collect()  # splits times labels
-        for r in got:
+        for r in left.join(chosen, "group_key").groupBy("split", "label").agg(F.sum("n").alias("n")).collect():  # splits times labels
             need[r["split"]][r["label"]] -= r["n"]
             outstanding[r["label"]] -= r["n"]
         left = left.join(chosen, "group_key", "left_anti")
         if len(placed) % 4 == 0:
             left = cut(left)
-    out = spark.createDataFrame([], "group_key string, split string")
+    out = vectors.sparkSession.createDataFrame([], "group_key string, split string")
     for x in placed:
         out = out.union(x)
     return out
@@ -150,8 +155,10 @@ def grouped_split(records: DataFrame, row_id: str = "row_id", article: str = "ar
     return groups.join(splits, "group_key").select("row_id", "group_article", "split").distinct()
 
 
-def split_report(assigned: DataFrame, records: DataFrame, row_id: str = "row_id", label: str = "leish_type") -> DataFrame:
-    """Records, groups and reached share of each split and label."""
+def split_report(assigned: DataFrame, records: DataFrame, row_id: str = "row_id", label: str = "leish_type", proportions: Mapping[str, float] = SPLITS) -> DataFrame:
+    """Records, groups, reached share and its distance from the target, of each split and label."""
     labelled = records.select(F.col(row_id).alias("row_id"), F.coalesce(F.initcap(F.trim(F.col(label))), F.lit("")).alias("label")).distinct()
     per = assigned.join(labelled, "row_id").groupBy("label", "split").agg(F.count("*").alias("records"), F.count_distinct("group_article").alias("groups"))
-    return per.withColumn("share", F.col("records") / F.sum("records").over(Window.partitionBy("label")))
+    share = F.col("records") / F.sum("records").over(Window.partitionBy("label"))
+    target = F.element_at(F.create_map(*[F.lit(x) for s, p in proportions.items() for x in (s, p / sum(proportions.values()))]), F.col("split"))
+    return per.withColumn("share", share).withColumn("deviation", F.col("share") - target)

@@ -34,7 +34,9 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _split(spark, sf_dir)[1].select("row_id", "group_article").distinct()
+    """The groups that the split keeps together; the split itself is ``p4_split``."""
+    records = table(spark, sf_dir, "leishmaniasis_matched_cases").select("row_id", "article_id", "case_id").distinct()
+    return grouped_split.record_groups(records).select("row_id", "group_article").distinct()
 
 
 def p4_split(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,30 @@ def test_split_keeps_groups_and_shares(spark):
     assert grouped_split.grouped_split(spark.createDataFrame([], SPLIT_SCHEMA)).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 300), st.integers(1, 7), st.lists(st.integers(-50, 300), min_size=3, max_size=3))
+def test_units_are_dealt_as_one_by_one(members, n, needs):
+    want = dict(zip(["train", "validation", "test"], map(float, needs)))
+    left, one = dict(want), Counter()
+    for _ in range(members):
+        s = max(want, key=lambda s: left[s])
+        left[s] -= n
+        one[s] += 1
+    got = grouped_split._deal(members, n, want, list(want))
+    assert sum(got.values()) == members and all(abs(got[s] - one[s]) <= 1 for s in want)
+
+
+def test_split_balances_every_label(spark):
+    rnd = random.Random(9)
+    rows = [(f"g{g}", rnd.choice(["a"] * 60 + ["b"] * 8 + ["c"] * 2 + [None])) for g in range(900) for _ in range(1 + (g % 7 == 0) * 4 + (g == 1) * 200)]
+    groups = spark.createDataFrame(rows, "group_key string, label string")
+    split = {r["group_key"]: r["split"] for r in grouped_split.stratify_groups(groups, "label").collect()}
+    assert set(split) == {g for g, _ in rows}
+    for label in ("a", "b", "c", None):
+        held = Counter(split[g] for g, x in rows if x == label)
+        assert all(abs(held[s] - p * sum(held.values())) <= 0.02 * sum(held.values()) + 2 for s, p in grouped_split.SPLITS.items()), (label, held)
+
+
 def _catalog(spark):
     return spark.createDataFrame(
         [
