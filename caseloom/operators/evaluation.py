@@ -64,6 +64,31 @@ def bootstrap_means(values: DataFrame, group: str, unit: str, value: str, replic
     return r.withColumn("_w", w).groupBy(group, "replicate").agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("mean"))
 
 
+def hierarchical_means(values: DataFrame, group: str, case: str, run: str, value: str, replicates: int, seed: int = 42, draw: int = 7) -> DataFrame:
+    """``(group, replicate, mean)``: in each replicate one run of each case is drawn and the cases are weighted.
+
+    The draw takes the run with the smallest hash of replicate, case, group
+    and run; the weights are those of ``bootstrap_means``.
+    """
+    r = values.where(F.col(value).isNotNull()).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    u = hash_unit(F.lit(draw), F.col("replicate"), F.col(case), F.col(group), F.col(run))
+    one = r.groupBy(group, case, "replicate").agg(F.min_by(value, F.struct(u, F.col(run))).alias("_x"))
+    w = -F.log(F.greatest(hash_unit(F.lit(seed), F.col("replicate"), F.col(case)), F.lit(1e-12)))
+    return one.withColumn("_w", w).groupBy(group, "replicate").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("mean"))
+
+
+def recall_of_indices(df: DataFrame, points: str, indices: str) -> DataFrame:
+    """``df`` with ``total``, ``matched``, ``recall`` and the ``unmatched`` points.
+
+    ``indices`` number the points from 1. Numbers outside the list, nulls and
+    repeats do not count; without points the recall is 0.
+    """
+    p, i = F.coalesce(F.col(points), F.array().cast(df.schema[points].dataType)), F.coalesce(F.col(indices), F.array().cast(df.schema[indices].dataType))
+    valid = F.array_distinct(F.filter(i, lambda x: x.between(1, F.size(p))))
+    missed = F.filter(F.transform(p, lambda x, k: F.when(~F.array_contains(valid, (k + 1).cast(df.schema[indices].dataType.elementType)), x)), lambda x: x.isNotNull())
+    return df.withColumn("total", F.size(p)).withColumn("matched", F.size(valid)).withColumn("recall", F.coalesce(F.try_divide(F.size(valid), F.size(p)), F.lit(0.0))).withColumn("unmatched", missed)
+
+
 def confidence_interval(means: DataFrame, group: str, confidence: float = 0.95) -> DataFrame:
     """Bounds by the index rule: ``int(alpha * n)`` and ``int((1 - alpha) * n) - 1``."""
     alpha = (1 - confidence) / 2

@@ -44,3 +44,18 @@ def leak_repair(df: DataFrame, group: str, split: str) -> DataFrame:
 def signature(df: DataFrame, key: str, value: str) -> DataFrame:
     """``(key, signature)``: the sorted distinct values of a key as one text."""
     return df.where(F.col(value).isNotNull()).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(value)), "|").alias("signature"))
+
+
+def stratified_folds(rows: DataFrame, key: str, stratum: str, folds: int, least: int, salt: str = "f") -> DataFrame:
+    """``(key, stratum, fold)``: every stratum is shared out evenly over the folds.
+
+    Strata of fewer than ``least`` rows become one, ``merged``. A stratum is
+    dealt in hash order within sixteen parts, each beginning at the fold that
+    its hash names, so that a large one is never sorted in one task and the
+    folds of a stratum differ by at most one row per part.
+    """
+    counts = rows.groupBy(stratum).agg(F.count("*").alias("_n"))
+    m = rows.join(counts, stratum).select(key, F.when(F.col("_n") < least, "merged").otherwise(F.col(stratum)).alias("stratum"))
+    h = F.md5(F.concat(F.lit(salt), F.col(key).cast("string")))
+    part = Window.partitionBy("stratum", F.substring(h, 1, 1)).orderBy(h, key)
+    return m.select(key, "stratum", ((F.row_number().over(part) - 1 + F.ascii(h)) % folds).cast("int").alias("fold"))
