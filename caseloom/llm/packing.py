@@ -25,7 +25,10 @@ def best_fit(items: list[tuple[int, str, str]], capacity: int) -> list[int]:
 
     Items of one cluster never share a container. Of equally tight containers
     one without the item's source is taken first. Larger items go first; ties
-    keep the order given.
+    keep the order given. Clusters of more than twice the square root of all
+    items go before the others: for each the containers that are free of it
+    are one list, from which the tightest that fits is taken out, so a search
+    never walks over containers that hold a copy already.
     """
     counts: dict[str, int] = {}
     for _, cluster, _ in items:
@@ -35,8 +38,30 @@ def best_fit(items: list[tuple[int, str, str]], capacity: int) -> list[int]:
     clusters, sources = [], []  # bitmaps per container
     rooms: list[tuple[int, int]] = []  # (free room, container), in order
     placed = [0] * len(items)
-    for i in sorted(range(len(items)), key=lambda i: -items[i][0]):
+    order = sorted(range(len(items)), key=lambda i: -items[i][0])
+    hot = {c: [] for c, n in counts.items() if n > 2 * math.sqrt(len(items)) + 8}
+    for i in order:
+        if items[i][1] in hot:
+            hot[items[i][1]].append(i)
+    for cluster, members in sorted(hot.items(), key=lambda x: (-len(x[1]), x[0])):
+        free, room_of = list(rooms), {b: room for room, b in rooms}
+        for i in members:
+            size, _, source = items[i]
+            at = bisect_left(free, (size, -1))
+            if at < len(free):
+                room, b = free.pop(at)
+            else:
+                b, room = len(clusters), capacity
+                clusters.append(0)
+                sources.append(0)
+            clusters[b] |= cluster_bit[cluster]
+            sources[b] |= source_bit.setdefault(source, 1 << len(source_bit))
+            placed[i], room_of[b] = b, room - size
+        rooms = sorted((room, b) for b, room in room_of.items() if room > 0)
+    for i in order:
         size, cluster, source = items[i]
+        if cluster in hot:
+            continue
         bit, own = cluster_bit.get(cluster, 0), source_bit.setdefault(source, 1 << len(source_bit))
         found, at = -1, bisect_left(rooms, (size, -1))
         while at < len(rooms):

@@ -237,6 +237,17 @@ def test_best_fit_keeps_capacity_and_conflicts(items):
     assert all(sum(s for s, _ in x) <= 50 and len({c for _, c in x}) == len(x) for x in held.values())
 
 
+def test_hot_clusters_pack_in_near_linear_time():
+    import time
+
+    rnd = random.Random(1)
+    items = [(rnd.randrange(1, 60), "copies" if i % 3 == 0 else f"k{i // 7}", "s") for i in range(60_000)]
+    began = time.time()
+    bins = packing.best_fit(items, 600)
+    assert time.time() - began < 20
+    assert len({b for b, (_, c, _) in zip(bins, items) if c == "copies"}) == 20_000
+
+
 def test_packing_holds_every_token_once(spark):
     rnd = random.Random(6)
     rows = [(i, rnd.choice(["a", "b"]), f"c{rnd.randrange(400)}", rnd.choice([1, 7, 40, 99, 100, 101, 350])) for i in range(900)]
@@ -285,6 +296,17 @@ def test_mix_keeps_texts_whose_first_copy_is_elsewhere(spark):
     assert {x["doc_id"] for x in mixed.collect()} == {1000 + i for i in range(200)} | {2000 + i for i in range(200, 400)}
 
 
+def test_a_long_text_at_the_edge_does_not_stop_the_fill(spark):
+    rows = [(i, "a", f"a{i}", 100) for i in range(50)] + [(1000 + i, "b", f"b{i}", 3000 if i % 4 == 0 else 30) for i in range(400)]
+    sizes = spark.createDataFrame(rows, "doc_id bigint, source string, cluster string, tokens bigint")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    for edge_texts in (50_000, 5):
+        mixed, report = mixing.mix(sizes, targets, edge_texts=edge_texts, buckets=16)
+        used = {r["source"]: (r["tokens_used"], r["deviation"]) for r in report.collect()}
+        assert used["a"][0] == 5000 and 4970 <= used["b"][0] <= 5000 and abs(used["b"][1]) < 0.01
+        assert mixed.groupBy("doc_id").count().where("count > 1").count() == 0
+
+
 def test_pareto_inclusion_follows_the_weights(spark):
     rows = [(i, "s", f"k{i}", 100 if i % 2 else 400) for i in range(20_000)]
     sizes = spark.createDataFrame(rows, "doc_id bigint, source string, cluster string, tokens bigint")
