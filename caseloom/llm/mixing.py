@@ -32,13 +32,18 @@ def _inclusion_scale(histogram: list[tuple[float, float]], size: float, power: f
     return high
 
 
-def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, power: float = 0.5, seed: int = 17, buckets: int = 1024, max_sources: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, power: float = 0.5, seed: int = 17, buckets: int = 1024, edge_texts: int = 50_000, max_sources: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, source, tokens, copies)`` of the mix, and the report per source.
 
     ``targets(source, target_share, max_repeats)``; a null repeat cap counts as
     one, sources without a target are not used, those without texts reach a
     share of 0, and the shares of the others are scaled to 1. Without
     ``total_tokens`` the mix is as large as the scarcest source allows.
+    The texts are taken in Pareto order as long as they fit the size; then
+    later ones that fit what is missing, so that a source ends short of its
+    size by less than the texts that are left. The report compares the share
+    reached with the target and with the target scaled to the sources that
+    have texts.
     The inclusion probability of a text grows with ``tokens ** power``. Texts
     are counted once however many documents repeat them, so no text is used
     more than ``max_repeats`` times; of copies in target sources the one with
@@ -79,25 +84,50 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, p
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(2.0**53)
     p = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-12), F.col("c") * F.pow(F.col("tokens").cast("double"), F.lit(power))))
     odds = (u / (1 - u)) / (p / (1 - p))
-    ranked = texts.join(F.broadcast(rows), "source").withColumn("q", odds).withColumn("b", F.floor(F.col("q") / (1 + F.col("q")) * buckets).cast("int"))
+    ranked = texts.join(F.broadcast(rows), "source").withColumn("q", odds).withColumn("place", F.col("q") / (1 + F.col("q")))
     ranked = written(ranked, "mix-ranked")
-    # the order is summed by bucket; only the bucket in which a source's size is reached is sorted
-    filled = {s: 0.0 for s, *_ in plan}
-    last = {s: -1 for s, *_ in plan}
-    rest = {s: r for s, _, r, _ in plan}
-    for r in sorted(ranked.groupBy("source", "b").agg(F.sum("tokens").alias("n")).collect(), key=lambda r: r["b"]):  # buckets times sources
-        s = r["source"]
-        if last[s] < 0:
-            if filled[s] + r["n"] > rest[s]:
-                last[s] = r["b"]
-            else:
-                filled[s] += r["n"]
-    edge = spark.createDataFrame([(s, last[s] if last[s] >= 0 else buckets + 1, filled[s]) for s in filled], "source string, edge int, filled double")
+    # the order is summed by bucket, and the bucket in which a source's size is reached is parted again until it is small enough to sort
+    rest = {s: r for s, _, r, _ in plan if r > 0}
+    span = {s: (0.0, 1.0, 0.0) for s in rest}  # first place, end, tokens ahead
+    open_ = set(rest)
+    while open_:
+        bounds = spark.createDataFrame([(s, *span[s][:2]) for s in sorted(open_)], "source string, low double, high double")
+        inside = ranked.join(F.broadcast(bounds), "source").where("place >= low and place < high")
+        step = F.least(F.lit(buckets - 1), F.floor((F.col("place") - F.col("low")) / (F.col("high") - F.col("low")) * buckets)).cast("int")
+        got: dict[str, list] = {}
+        for r in inside.groupBy("source", step.alias("b")).agg(F.sum("tokens").alias("n"), F.count("*").alias("texts")).collect():  # buckets times sources
+            got.setdefault(r["source"], []).append((r["b"], r["n"], r["texts"]))
+        for s in list(open_):
+            low, high, ahead = span[s]
+            for b, n, count in sorted(got.get(s, [])):
+                if ahead + n > rest[s]:
+                    wide = (high - low) / buckets
+                    span[s] = (low + b * wide, high if b == buckets - 1 else low + (b + 1) * wide, ahead)
+                    if count <= edge_texts or wide < 1e-13:
+                        open_.discard(s)
+                    break
+                ahead += n
+            else:  # all texts of the source fit
+                span[s] = (high, high, ahead)
+                open_.discard(s)
+    edge = spark.createDataFrame([(s, *x) for s, x in span.items()], "source string, low double, high double, filled double")
     cut_at = ranked.join(F.broadcast(edge), "source")
     order = Window.partitionBy("source").orderBy("q", "doc_id")
-    at_edge = cut_at.where("b = edge").withColumn("sum", F.sum("tokens").over(order))
-    drawn = at_edge.where(F.col("filled") + F.col("sum") - F.col("tokens") / 2 <= F.col("rest")).select("doc_id", "source").withColumn("extra", F.lit(1))
-    drawn = drawn.union(cut_at.where("b < edge and rest > 0").select("doc_id", "source", F.lit(1)))
+    at_edge = cut_at.where("place >= low and place < high").withColumn("sum", F.sum("tokens").over(order))
+    first = written(
+        at_edge.where(F.col("filled") + F.col("sum") <= F.col("rest")).select("doc_id", "source", "tokens").union(cut_at.where("place < low").select("doc_id", "source", "tokens")), "mix-drawn"
+    )
+    # what is still missing is less than the next text: the nearest later ones that fit are taken in their order
+    missing = {s: rest[s] - n for s, n in {**{s: 0 for s in rest}, **{r["source"]: r["n"] for r in first.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}}.items()}
+    gaps = spark.createDataFrame([(s, float(n)) for s, n in missing.items()], "source string, gap double")
+    later = ranked.join(F.broadcast(gaps), "source").where(F.col("tokens") <= F.col("gap")).join(first.select("doc_id"), "doc_id", "left_anti")
+    near = later.withColumn("k", F.row_number().over(order)).where(F.col("k") <= 500).select("source", "k", "doc_id", "tokens").collect()  # at most 500 a source
+    more = []
+    for r in sorted(near, key=lambda r: (r["source"], r["k"])):
+        if r["tokens"] <= missing[r["source"]]:
+            missing[r["source"]] -= r["tokens"]
+            more.append((r["doc_id"], r["source"]))
+    drawn = first.select("doc_id", "source").union(spark.createDataFrame(more, "doc_id bigint, source string")).withColumn("extra", F.lit(1))
     chosen = ranked.select("doc_id", "source", "tokens", "whole").join(drawn, ["doc_id", "source"], "left").withColumn("copies", F.col("whole") + F.coalesce("extra", F.lit(0)))
     mixed = written(chosen.where("copies > 0").select("doc_id", "source", "tokens", "copies"), "mixed")
     used = mixed.groupBy("source").agg(F.count("*").alias("texts_used"), F.max("copies").alias("most_copies"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens_used"))
@@ -110,5 +140,8 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, p
             F.coalesce("texts_used", F.lit(0)).alias("texts_used"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"),
             F.coalesce(F.col("tokens_used") / F.col("all_tokens"), F.lit(0.0)).alias("reached_share"),
         )
+        .join(F.broadcast(spark.createDataFrame([(s, x) for s, x in shares.items()], "source string, scaled_share double")), "source", "left")  # one row per target source
+        .withColumn("scaled_share", F.coalesce("scaled_share", F.lit(0.0)))
+        .withColumn("deviation", F.col("reached_share") - F.col("scaled_share"))
     )
     return mixed, report
