@@ -18,7 +18,6 @@ QUALIFIERS = [
     "low confidence", "moderate confidence", "see image", "see images", "rule out", "possibly", "possible", "probably", "probable", "presumed",
     "suspected", "likely", "confirmed", "recurrent", "query", "rank 1", "dx", "ddx", "r/o", "diagnosis of", "diagnosis",
 ]
-FAR = 1 << 20
 
 
 def normalised(raw: Column) -> Column:
@@ -108,14 +107,15 @@ def _letters(c: Column) -> Column:
     return F.array_join(F.array_sort(F.split(c, "")), "")
 
 
-def map_values(values: DataFrame, catalog: DataFrame, threshold: float = 0.72, margin: float = 0.02, floor: float = 0.3) -> DataFrame:
+def map_values(values: DataFrame, catalog: DataFrame, threshold: float = 0.35, margin: float = 0.02, sure: float = 0.72) -> DataFrame:
     """``(list, value, entry_id, score)`` per distinct ``values(list, value)``.
 
     ``entry_id`` is 0 when no entry passes. A normalised value that equals a
-    form of the list is accepted outright. Otherwise the best entry must reach
-    ``threshold`` and be ``margin`` ahead of the next entry; one that only
-    reaches ``floor`` is accepted if the exact check of its spelling finds at
-    most one slip and one more per six letters (a swap counts as one). Null, blank and bare qualifier
+    form of the list is accepted outright. Otherwise the entry with the best
+    cosine must reach ``threshold`` and be ``margin`` ahead of the next entry.
+    Below ``sure`` an exact check of the spelling follows, which can only
+    refuse: it allows one slip and one more per six letters (a swap counts as
+    one). Null, blank and bare qualifier
     values come out unmatched; ties between entries are unmatched; repeated
     values count once; an empty list leaves all values unmatched.
     """
@@ -147,15 +147,12 @@ def map_values(values: DataFrame, catalog: DataFrame, threshold: float = 0.72, m
     a, b = F.replace("long", F.lit(" "), F.lit("")), F.replace("entry", F.lit(" "), F.lit(""))
     apart = F.levenshtein(a, b)
     slips = F.when(_letters(a) == _letters(b), F.ceil(apart / 2).cast("int")).otherwise(apart)
-    scored = scored.withColumn("near", (slips <= F.when(F.length(b) < 6, 1).otherwise(1 + F.floor(F.length(b) / 6))) & (F.length(b) > 3) & (F.col("score") >= floor)).withColumn("slips", F.when(F.col("near"), slips).otherwise(F.lit(FAR)))
-    scored = scored.select("list", "form", "entry_id", "score", "slips")
-    best = scored.groupBy("list", "form", "entry_id").agg(F.max("score").alias("score"), F.min("slips").alias("slips"))
-    order = Window.partitionBy("list", "form").orderBy("slips", F.desc("score"), "entry_id")
-    first = (
-        best.withColumn("r", F.row_number().over(order)).withColumn("next_slips", F.lead("slips").over(order)).withColumn("next", F.lead("score").over(order)).where("r = 1")
-    )
-    clear = F.coalesce(F.col("score") - F.col("next") >= margin, F.lit(True)) | F.coalesce(F.col("slips") < F.col("next_slips"), F.lit(False))
-    accepted = first.where(((F.col("slips") < FAR) | (F.col("score") >= threshold)) & clear).select("list", "form", "entry_id", "score")
+    scored = scored.withColumn("near", (slips <= F.when(F.length(b) < 6, 1).otherwise(1 + F.floor(F.length(b) / 6))) & (F.length(b) > 3))
+    best = scored.groupBy("list", "form", "entry_id").agg(F.max("score").alias("score"), F.max("near").alias("near"))
+    order = Window.partitionBy("list", "form").orderBy(F.desc("score"), "entry_id")
+    first = best.withColumn("r", F.row_number().over(order)).withColumn("next", F.lead("score").over(order)).where("r = 1")
+    clear = F.coalesce(F.col("score") - F.col("next") >= margin, F.lit(True))
+    accepted = first.where((F.col("score") >= threshold) & clear & ((F.col("score") >= sure) | F.col("near"))).select("list", "form", "entry_id", "score")
     return v.join(exact.union(accepted), ["list", "form"], "left").select("list", "value", F.coalesce("entry_id", F.lit(0).cast("bigint")).alias("entry_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
