@@ -63,3 +63,23 @@ def diverse_selection(df: DataFrame, k: int, per_group: int, group: str) -> Data
     first = df.withColumn("_over", (F.row_number().over(inside) > per_group).cast("int"))
     order = Window.partitionBy("qid").orderBy("_over", F.desc("score"), "doc_id")
     return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_over")
+
+
+def diverse_texts(df: DataFrame, k: int, bound: float, pool: int = 64) -> DataFrame:
+    """``(qid, doc_id, score, place)``: the first ``k`` of the ``pool`` best of each list whose words differ.
+
+    In order of the score an item is taken unless the Jaccard similarity of
+    its words with an item taken before is above ``bound``; the places that
+    are left go to the others in order. Items without words are never alike.
+    Only the head of a list meets in one task, as neighbours in one array.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    head = ranked(df, pool).select("qid", "rank", "doc_id", "score", words.alias("w"))
+    lists = head.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score", "w"))).alias("l"))
+    empty = F.array().cast(lists.schema["l"].dataType)
+    like = lambda a, b: F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
+    free = lambda taken, x: (F.size(taken) < k) & ~F.exists(taken, lambda y: like(x["w"], y["w"]) > bound)
+    taken = F.aggregate("l", empty, lambda taken, x: F.when(free(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
+    rest = F.filter("l", lambda x: ~F.exists("t", lambda y: y["rank"] == x["rank"]))
+    both = lists.withColumn("t", taken).select("qid", F.posexplode(F.slice(F.concat("t", rest), 1, k)).alias("p", "x"))
+    return both.select("qid", "x.doc_id", "x.score", (F.col("p") + 1).alias("place"))

@@ -127,7 +127,7 @@ def _dense(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
 
 @query(_DENSE + " SELECT qid, doc_id, round(score, 6) AS score, rank FROM r")
 def dense_search(spark: SparkSession, d: str) -> DataFrame:
-    """RT9, RT12, TK3, MV1, MV3, IO23: exact cosine top ten in matrix blocks."""
+    """RT9, RT12, TK3, MV1, MV3: exact cosine top ten in matrix blocks."""
     return _dense(spark, d).withColumn("score", F.round("score", 6))
 
 
@@ -214,7 +214,7 @@ def weighted_merge(spark: SparkSession, d: str) -> DataFrame:
 @query(_RUN + """, g AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid, split_part(doc_id, ':', 1) ORDER BY score DESC, doc_id) AS k FROM run)
 SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY (k > 1), score DESC, doc_id) AS rank FROM g QUALIFY rank <= 4""")
 def diverse_selection(spark: SparkSession, d: str) -> DataFrame:
-    """TK8, TK12, WN18, WN19, RT34: one page per document first, then filled up."""
+    """WN18, WN19: one page per document first, then filled up."""
     h = _hits(spark, d).withColumn("scan", F.split("doc_id", ":")[0])
     return K.diverse_selection(h, 4, 1, "scan").select("qid", "doc_id", "score", "rank")
 
@@ -222,7 +222,7 @@ def diverse_selection(spark: SparkSession, d: str) -> DataFrame:
 @query(_RUN + """, n AS (SELECT qid, doc_id, rank, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, score DESC, doc_id) AS new_rank FROM run)
 SELECT qid, round(avg(abs(rank - new_rank)), 6) AS mean_move, round(count_if(rank <= 3 AND new_rank <= 3) / least(3, count(*)), 6) AS overlap_3 FROM n GROUP BY qid""")
 def rank_move(spark: SparkSession, d: str) -> DataFrame:
-    """WN20, WN21, RT16, RT17: what a second ordering changes."""
+    """WN20, WN21: what a second ordering changes."""
     new = Window.partitionBy("qid").orderBy(F.desc("grade"), F.desc("score"), "doc_id")
     n = K.ranked(_hits(spark, d)).withColumn("new_rank", F.row_number().over(new))
     both = F.count_if((F.col("rank") <= 3) & (F.col("new_rank") <= 3)) / F.least(F.lit(3), F.count("*"))
@@ -232,7 +232,7 @@ def rank_move(spark: SparkSession, d: str) -> DataFrame:
 @query(_RUN + """ SELECT qid, count(*) AS n, round(1 - count(DISTINCT split_part(doc_id, ':', 1)) / count(*), 6) AS duplicate_ratio,
 CASE WHEN max(score) < 0.5 THEN 'abstain' WHEN max(score) - min(score) < 0.05 THEN 'flat' WHEN count_if(grade > 0) = 0 THEN 'unsupported' ELSE 'supported' END AS support FROM run WHERE rank <= 5 GROUP BY qid""")
 def support_class(spark: SparkSession, d: str) -> DataFrame:
-    """RT30, RT31, RT32, RT33, EV13, EV14: what a list can carry, by aggregates of its head."""
+    """What a list can carry, by aggregates of its head."""
     r = K.ranked(_hits(spark, d), 5).groupBy("qid").agg(
         F.count("*").alias("n"), F.round(1 - F.count_distinct(F.split("doc_id", ":")[0]) / F.count("*"), 6).alias("duplicate_ratio"), F.max("score").alias("hi"), F.min("score").alias("lo"), F.count_if(F.col("grade") > 0).alias("rel")
     )
@@ -260,7 +260,7 @@ m AS (SELECT test, i, abs(avg(CASE WHEN {_UNIT.format("concat_ws('|', 42, i, ans
 o AS (SELECT test, avg(dl) AS md FROM d GROUP BY 1)
 SELECT test, round(md, 6) AS mean_delta, round((count_if(m >= abs(md) - 1e-12) + 1) / (count(*) + 1), 6) AS p FROM m JOIN o USING (test) GROUP BY test, md""")
 def permutation_p(spark: SparkSession, d: str) -> DataFrame:
-    """EV22, EV23, EV25, AG14: paired deltas with a sign-flip test."""
+    """EV22, EV23, AG14: paired deltas with a sign-flip test."""
     v = lambda t, n: table(spark, d, t).groupBy("answer_id").agg(F.max(F.coalesce("answer_format_valid", F.lit(False)).cast("int")).alias(n))
     delta = v("answer_records", "x").join(v("format_analyses", "y"), "answer_id").select(F.lit("valid").alias("test"), "answer_id", (F.col("x") - F.col("y")).cast("double").alias("dl"))
     return E.sign_flip_p(delta, "test", "answer_id", "dl", 30).select("test", F.round("mean_delta", 6).alias("mean_delta"), F.round("p", 6).alias("p"))
@@ -304,7 +304,7 @@ def set_prf(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH a AS (SELECT DISTINCT answer_id, answer FROM answer_records WHERE answer IS NOT NULL)
 SELECT answer_id, regexp_extract(answer, '(?i)rank 1: *([^\\n]*)', 1) AS rank_1, regexp_extract(answer, '(?i)rank 2: *([^\\n]*)', 1) AS rank_2, NOT regexp_matches(answer, '(?i)rank 1:') AS missing_rank1_line FROM a""")
 def rank_lines(spark: SparkSession, d: str) -> DataFrame:
-    """SC14, SC17, EV28, EV29: ranked diagnoses written in answers."""
+    """SC14, SC17, EV28: ranked diagnoses written in answers."""
     a = table(spark, d, "answer_records").where("answer is not null").select("answer_id", "answer").distinct()
     get = lambda n: F.regexp_extract("answer", rf"(?i)rank {n}: *([^\n]*)", 1).alias(f"rank_{n}")
     return a.select("answer_id", get(1), get(2), (~F.col("answer").rlike("(?i)rank 1:")).alias("missing_rank1_line"))
@@ -313,7 +313,7 @@ def rank_lines(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""SELECT answer_id, array_to_string(list_sort(list_filter([CASE WHEN regexp_replace(coalesce(answer, ''), '\s', '', 'g') = '' THEN 'empty' END, CASE WHEN coalesce(prompt_context_count, 0) = 0 THEN 'no_context' END,
 CASE WHEN coalesce(top_score, 0) < 0.3 THEN 'weak_support' END, CASE WHEN format_retry_count > 1 THEN 'retried' END], lambda x: x IS NOT NULL)), ',') AS labels FROM answer_records""")
 def failure_labels(spark: SparkSession, d: str) -> DataFrame:
-    """EV32, EV33, EV42, EV43, PF7, PF17, PF20: several labels per row by rules."""
+    """EV32, PF17: several labels per row by rules."""
     label = lambda c, n: F.when(c, F.lit(n))
     labels = F.array_compact(F.array(
         label(F.regexp_replace(F.coalesce("answer", F.lit("")), r"\s", "") == "", "empty"), label(F.coalesce("prompt_context_count", F.lit(0)) == 0, "no_context"),

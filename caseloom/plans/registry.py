@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from caseloom.plans import lanes, lists, problems, relations, reports, texts
+from caseloom.plans import lanes, lists, passages, problems, relations, reports, texts
 
 
 def modules() -> list:
-    return [problems, relations, lists, texts, reports, lanes]
+    return [problems, relations, lists, texts, reports, lanes, passages]

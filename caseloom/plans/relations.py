@@ -111,7 +111,7 @@ def prefer_nonempty(spark: SparkSession, d: str) -> DataFrame:
 b AS (SELECT answer_id, max(diagnosis_family) AS f, bool_or(answer_format_valid) AS v FROM format_analyses GROUP BY 1)
 SELECT answer_id, m AS model_name, s AS top_score, f AS family, v AS valid FROM a JOIN b USING (answer_id)""")
 def phase_merge(spark: SparkSession, d: str) -> DataFrame:
-    """JN20, JN8: keyed merge of two phases; only keys of both stay."""
+    """JN8: keyed merge of two phases; only keys of both stay."""
     a = table(spark, d, "answer_records").groupBy("answer_id").agg(F.max("model_name").alias("model_name"), F.max("top_score").alias("top_score"))
     b = table(spark, d, "format_analyses").groupBy("answer_id").agg(F.max("diagnosis_family").alias("family"), F.max("answer_format_valid").alias("valid"))
     return a.join(b, "answer_id")
@@ -130,24 +130,18 @@ def source_priority_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT label AS label, count(*) AS members, sum(count(*)) OVER () - count(*) AS others, count(*) - 1 AS relevant_per_query FROM embeddings GROUP BY label""")
 def label_qrels(spark: SparkSession, d: str) -> DataFrame:
-    """JN10, EV4, AG24: how many judgements each label gives; pairs are not listed."""
+    """JN10, EV4: how many judgements each label gives; pairs are not listed."""
     n = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("members"))
     return n.select("label", "members", (F.sum("members").over(Window.partitionBy()) - F.col("members")).alias("others"), (F.col("members") - 1).alias("relevant_per_query"))
 
 
 @query("""WITH l AS (SELECT DISTINCT label_id, diagnosis AS dx, species AS sp, confirmation_method AS cm FROM diagnosis_labels WHERE diagnosis IS NOT NULL),
-q AS (SELECT * FROM l WHERE label_id % 20 = 0), g AS (SELECT dx, sp, cm, count(*) AS n FROM l GROUP BY ALL)
+q AS (SELECT * FROM l), g AS (SELECT dx, sp, cm, count(*) AS n FROM l GROUP BY ALL)
 SELECT label_id, CAST(sum(CASE WHEN g.sp = q.sp AND g.cm = q.cm THEN n ELSE 0 END) AS BIGINT) AS grade_3,
 CAST(sum(CASE WHEN g.sp = q.sp AND NOT coalesce(g.cm = q.cm, false) THEN n ELSE 0 END) AS BIGINT) AS grade_2,
 CAST(sum(CASE WHEN coalesce(g.sp = q.sp, false) THEN 0 ELSE n END) AS BIGINT) AS grade_1
 FROM q JOIN g ON q.dx = g.dx GROUP BY label_id, q.sp, q.cm""")
 def entity_grade_qrels(spark: SparkSession, d: str) -> DataFrame:
-    """The labels of ``entity_grade_qrels_whole`` whose id is divisible by 20, to which the SQL is limited."""
-    return entity_grade_qrels_whole(spark, d).where("label_id % 20 = 0")
-
-
-@query(SQL["entity_grade_qrels"].replace(" WHERE label_id % 20 = 0", ""))
-def entity_grade_qrels_whole(spark: SparkSession, d: str) -> DataFrame:
     """JN7, EV1, EV3: graded relevance of every label against all, once per entity group and joined back."""
     rows = table(spark, d, "diagnosis_labels").where("diagnosis is not null").select("label_id", F.col("diagnosis").alias("dx"), F.col("species").alias("sp"), F.col("confirmation_method").alias("cm")).distinct()
     groups = rows.groupBy("dx", F.col("sp").alias("g_sp"), F.col("cm").alias("g_cm")).agg(F.count("*").alias("n"))
@@ -179,7 +173,7 @@ def missing_bucket(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT event_type, count_if(value < 5) AS low, count_if(value >= 5 AND value < 15) AS mid, count_if(value >= 15) AS high FROM events GROUP BY event_type""")
 def crosstab(spark: SparkSession, d: str) -> DataFrame:
-    """AG4, AG29: cross-tabulation with known columns, so one pass."""
+    """AG4: cross-tabulation with known columns, so one pass."""
     x = table(spark, d, "events").withColumn("level", F.when(F.col("value") < 5, "low").when(F.col("value") < 15, "mid").otherwise("high"))
     return x.groupBy("event_type").pivot("level", ["low", "mid", "high"]).agg(F.count(F.lit(1))).fillna(0)
 
@@ -209,7 +203,7 @@ def nested_totals(spark: SparkSession, d: str) -> DataFrame:
 SELECT CASE WHEN lower(rank1_diagnosis_type) LIKE 'non%' THEN 'nonleish' ELSE 'leish' END AS bucket, count(*) AS n, avg(CAST(answer_format_valid AS INT)) AS valid
 FROM format_analyses GROUP BY GROUPING SETS ((bucket), ()))""")
 def bucket_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """AG13, AG9, AG10: rates by bucket and over all, in one grouping-set pass."""
+    """AG10: rates by bucket and over all, in one grouping-set pass."""
     x = table(spark, d, "format_analyses").withColumn("bucket", F.when(F.lower("rank1_diagnosis_type").like("non%"), "nonleish").otherwise("leish"))
     r = x.rollup("bucket").agg(F.count("*").alias("n"), F.round(F.avg(F.col("answer_format_valid").cast("int")), 6).alias("valid_rate"))
     return r.select(F.coalesce("bucket", F.lit("all")).alias("bucket"), "n", "valid_rate")
@@ -242,7 +236,7 @@ FROM answer_records WHERE top_score IS NOT NULL GROUP BY 1) """
 
 @query(_HIST + "SELECT bin, n, round(valid, 6) AS valid_rate FROM h")
 def score_histogram(spark: SparkSession, d: str) -> DataFrame:
-    """AG19, AG22, AG18: half-open bins of a score with a rate."""
+    """AG19: half-open bins of a score with a rate."""
     x = table(spark, d, "answer_records").where("top_score is not null")
     b = F.least(F.lit(9), F.floor(F.col("top_score") * 10)).cast("int")
     return x.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("answer_format_valid", F.lit(False)).cast("int")), 6).alias("valid_rate"))
@@ -250,7 +244,7 @@ def score_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_HIST + "SELECT min(bin) AS bin FROM h WHERE valid > (SELECT avg(CAST(coalesce(answer_format_valid, false) AS INT)) FROM answer_records WHERE top_score IS NOT NULL) AND n >= 3")
 def threshold_search(spark: SparkSession, d: str) -> DataFrame:
-    """AG20, AG43: the first bin that does better than the mean."""
+    """AG20: the first bin that does better than the mean."""
     x = table(spark, d, "answer_records").where("top_score is not null").select(F.least(F.lit(9), F.floor(F.col("top_score") * 10)).cast("int").alias("bin"), F.coalesce("answer_format_valid", F.lit(False)).cast("int").alias("v"))
     h = x.groupBy("bin").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
     w = Window.partitionBy()  # ten rows
@@ -267,14 +261,14 @@ def list_size_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT answer_id, count(*) AS copies, count(DISTINCT ingested_at) AS arrivals FROM answer_records GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_audit(spark: SparkSession, d: str) -> DataFrame:
-    """AG23, IO8: keys that occur repeatedly."""
+    """IO8: keys that occur repeatedly."""
     return table(spark, d, "answer_records").groupBy("answer_id").agg(F.count("*").alias("copies"), F.count_distinct("ingested_at").alias("arrivals")).where("copies > 1")
 
 
 @query("""WITH c AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(keywords) AS k FROM page_hits) GROUP BY 1)
 SELECT count(*) AS docs, round(avg(n), 6) AS mean, min(n) AS lo, max(n) AS hi FROM c""")
 def density(spark: SparkSession, d: str) -> DataFrame:
-    """AG26, SG10: keywords per document, in two levels."""
+    """AG26: keywords per document, in two levels."""
     c = table(spark, d, "page_hits").select("doc_id", F.explode("keywords").alias("k")).groupBy("doc_id").agg(F.count_distinct("k").alias("n"))
     return c.agg(F.count("*").alias("docs"), F.round(F.avg("n"), 6).alias("mean"), F.min("n").alias("lo"), F.max("n").alias("hi"))
 
@@ -316,7 +310,7 @@ def _average_rank(rows: DataFrame, value: str, name: str) -> DataFrame:
 (rank() OVER (ORDER BY l_discount)) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2.0 AS b FROM lineitem)
 SELECT round(corr(a, b), 6) AS rho FROM r""")
 def spearman(spark: SparkSession, d: str) -> DataFrame:
-    """AG34, WN2: rank correlation; ranks come from value counts, so no row is sorted with all others."""
+    """AG34: rank correlation; ranks come from value counts, so no row is sorted with all others."""
     x = table(spark, d, "lineitem").select("l_quantity", "l_discount")
     r = x.join(_average_rank(x, "l_quantity", "a"), "l_quantity").join(_average_rank(x, "l_discount", "b"), "l_discount")
     return r.agg(F.round(F.corr("a", "b"), 6).alias("rho"))
@@ -376,7 +370,7 @@ _KEEP = "SELECT case_id, label_id, confidence FROM (SELECT DISTINCT case_id, lab
 
 @query(_KEEP.format("label_id, confidence NULLS FIRST"))
 def dedup_first(spark: SparkSession, d: str) -> DataFrame:
-    """WN4, SG22: the first row of a key stays."""
+    """WN4: the first row of a key stays."""
     x = table(spark, d, "diagnosis_labels").select("case_id", "label_id", "confidence").distinct()
     return R.keep_first(x, ["case_id"], [F.col("label_id"), F.col("confidence").asc_nulls_first()])
 
@@ -423,7 +417,7 @@ def intersect_keys(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT coalesce(split, '') AS split, count(DISTINCT case_id) AS cases, count(DISTINCT case_id) FILTER (case_id IN (SELECT case_id FROM eval_queries WHERE split = 'train')) AS also_in_train
 FROM eval_queries GROUP BY 1""")
 def disjointness(spark: SparkSession, d: str) -> DataFrame:
-    """EV44, AG27: cases of each split that are in train as well."""
+    """Cases of each split that are in train as well."""
     q = table(spark, d, "eval_queries").select(F.coalesce("split", F.lit("")).alias("split"), "case_id").distinct()
     train = q.where("split = 'train' and case_id is not null").select("case_id").distinct().withColumn("t", F.lit(1))
     return q.join(train, "case_id", "left").groupBy("split").agg(F.count("case_id").alias("cases"), F.count("t").alias("also_in_train"))
@@ -431,7 +425,7 @@ def disjointness(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT query_id, CAST(len(list_intersect(regexp_split_to_array(lower(question), '[^a-z]+'), ['diagnosis', 'rank', 'reasons'])) AS INT) AS common, question LIKE '%three%' AS three FROM eval_queries""")
 def array_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """ST6, ST8, PF13: intersections of arrays in a row."""
+    """ST6, ST8: intersections of arrays in a row."""
     words = F.split(F.lower("question"), "[^a-z]+")
     want = F.array(F.lit("diagnosis"), F.lit("rank"), F.lit("reasons"))
     return table(spark, d, "eval_queries").select("query_id", F.size(F.array_intersect(words, want)).alias("common"), F.col("question").contains("three").alias("three"))

@@ -60,7 +60,7 @@ m AS (SELECT v, n, entry_id, 1 AS tier FROM v JOIN c ON v = c UNION ALL SELECT v
 UNION ALL SELECT v, n, entry_id, 3 FROM v JOIN c ON regexp_replace(lower(v), '[^a-z]', '', 'g') = regexp_replace(lower(c), '[^a-z]', '', 'g'))
 SELECT v AS value, n AS records, entry_id, tier FROM m QUALIFY row_number() OVER (PARTITION BY v ORDER BY tier, entry_id) = 1""")
 def tiered_keys(spark: SparkSession, d: str) -> DataFrame:
-    """JN14, JN18, SC30: keys resolved exactly, else folded, else by letters only."""
+    """SC30: keys resolved exactly, else folded, else by letters only."""
     v = table(spark, d, "diagnosis_labels").where("diagnosis is not null").groupBy(F.col("diagnosis").alias("value")).agg(F.count("*").alias("records"))
     c = table(spark, d, "diagnosis_catalog").where("list_name = 'diagnosis'").select("entry_id", F.col("canonical_name").alias("c"))
     forms = [lambda x: x, lambda x: F.lower(F.trim(x)), lambda x: F.regexp_replace(F.lower(x), "[^a-z]", "")]
@@ -79,13 +79,13 @@ def merge_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT case_id, max(diagnosis) AS dx FROM diagnosis_labels WHERE case_id IS NOT NULL GROUP BY 1),
-x AS (SELECT answer_id, unnest(ids) AS case_id FROM (SELECT answer_id, any_value(prompt_context_doc_ids) AS ids FROM answer_records GROUP BY 1)),
+x AS (SELECT answer_id, unnest(ids) AS case_id FROM (SELECT answer_id, max(prompt_context_doc_ids) AS ids FROM answer_records GROUP BY 1)),
 n AS (SELECT answer_id, coalesce(dx, 'unknown') AS dx, count(*) AS n FROM x LEFT JOIN c USING (case_id) GROUP BY ALL)
 SELECT answer_id, CAST(sum(n) AS BIGINT) AS contexts, count(*) AS labels, max(n) * 2 > sum(n) AS dominated FROM n GROUP BY answer_id""")
 def label_dominance(spark: SparkSession, d: str) -> DataFrame:
     """JN23: labels of the contexts of an answer and whether one dominates."""
     c = table(spark, d, "diagnosis_labels").where("case_id is not null").groupBy("case_id").agg(F.max("diagnosis").alias("dx"))
-    x = table(spark, d, "answer_records").groupBy("answer_id").agg(F.first("prompt_context_doc_ids").alias("ids")).select("answer_id", F.explode("ids").alias("case_id"))
+    x = table(spark, d, "answer_records").groupBy("answer_id").agg(F.max("prompt_context_doc_ids").alias("ids")).select("answer_id", F.explode("ids").alias("case_id"))
     n = x.join(c, "case_id", "left").groupBy("answer_id", F.coalesce("dx", F.lit("unknown")).alias("dx")).agg(F.count("*").alias("n"))
     return n.groupBy("answer_id").agg(F.sum("n").alias("contexts"), F.count("*").alias("labels"), (F.max("n") * 2 > F.sum("n")).alias("dominated"))
 
@@ -101,31 +101,21 @@ def containment_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return f.join(c, "type_code").select("answer_id", F.when(t == n, 1.0).when(F.contains(t, n) | ((F.length(t) > 0) & F.contains(n, t)), 0.5).otherwise(0.0).alias("accuracy"))
 
 
-def _shared_words(spark: SparkSession, d: str, queries: DataFrame) -> DataFrame:
-    words = lambda df, i, c: df.select(i, F.explode(F.split(F.lower(c), "[^a-z]+")).alias("w")).where("length(w) > 3").distinct()
-    q = words(queries, "query_id", F.col("clinical_context"))
-    c = words(table(spark, d, "diagnosis_catalog"), "entry_id", F.concat_ws(" ", "canonical_name", F.coalesce(F.array_join("aliases", " "), F.lit(""))))
-    return q.join(F.broadcast(c), "w").groupBy("query_id", "entry_id").agg(F.count("*").alias("common")).where("common >= 2")  # a fixed table of 56 rows
-
-
-@query("""WITH w AS (SELECT DISTINCT query_id, w FROM (SELECT query_id, unnest(regexp_split_to_array(lower(clinical_context), '[^a-z]+')) AS w FROM eval_queries WHERE query_id % 20 = 0) WHERE length(w) > 3),
+@query("""WITH w AS (SELECT DISTINCT query_id, w FROM (SELECT query_id, unnest(regexp_split_to_array(lower(clinical_context), '[^a-z]+')) AS w FROM eval_queries) WHERE length(w) > 3),
 c AS (SELECT DISTINCT entry_id, w FROM (SELECT entry_id, unnest(regexp_split_to_array(lower(canonical_name || ' ' || coalesce(array_to_string(aliases, ' '), '')), '[^a-z]+')) AS w FROM diagnosis_catalog) WHERE length(w) > 3)
 SELECT query_id, entry_id, count(*) AS common FROM w JOIN c USING (w) GROUP BY ALL HAVING count(*) >= 2""")
 def shared_words(spark: SparkSession, d: str) -> DataFrame:
-    """The queries of ``shared_words_whole`` whose id is divisible by 20, to which the SQL is limited."""
-    return _shared_words(spark, d, table(spark, d, "eval_queries").where("query_id % 20 = 0"))
-
-
-@query(SQL["shared_words"].replace(" WHERE query_id % 20 = 0", ""))
-def shared_words_whole(spark: SparkSession, d: str) -> DataFrame:
-    """JN28: pairs of all queries and catalogue entries that share two words or more, by an equi-join on words."""
-    return _shared_words(spark, d, table(spark, d, "eval_queries"))
+    """JN28: pairs of queries and catalogue entries that share two words or more, by an equi-join on words."""
+    words = lambda df, i, c: df.select(i, F.explode(F.split(F.lower(c), "[^a-z]+")).alias("w")).where("length(w) > 3").distinct()
+    q = words(table(spark, d, "eval_queries"), "query_id", F.col("clinical_context"))
+    c = words(table(spark, d, "diagnosis_catalog"), "entry_id", F.concat_ws(" ", "canonical_name", F.coalesce(F.array_join("aliases", " "), F.lit(""))))
+    return q.join(F.broadcast(c), "w").groupBy("query_id", "entry_id").agg(F.count("*").alias("common")).where("common >= 2")  # a fixed table of 56 rows
 
 
 @query("""SELECT coalesce(split_part(qid, '::', 1), '') AS case_id, count(DISTINCT answer_id) AS answers, round(avg(CASE WHEN top_score >= 0.2 THEN top_score END), 9) AS mean_score,
 round(avg(CAST(answer_format_valid AS INT)), 6) AS success, round(count(top_score) / count(*), 6) AS coverage FROM answer_records GROUP BY 1""")
 def case_summary(spark: SparkSession, d: str) -> DataFrame:
-    """AG11, AG38, AG39, AG47: rates and coverage per case, leaving out marked values."""
+    """AG11: rates and coverage per case, leaving out marked values."""
     s = F.col("top_score")
     return table(spark, d, "answer_records").groupBy(F.coalesce(F.split("qid", "::")[0], F.lit("")).alias("case_id")).agg(
         F.count_distinct("answer_id").alias("answers"), F.round(F.avg(F.when(s >= 0.2, s)), 9).alias("mean_score"), F.round(F.avg(F.col("answer_format_valid").cast("int")), 6).alias("success"), F.round(F.count(s) / F.count("*"), 6).alias("coverage"),
@@ -134,7 +124,7 @@ def case_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT regexp_extract(image_path, '([^/.]+)[^/]*$', 1) = '' AS no_name, regexp_extract(image_path, '\\.([a-z]+)$', 1) AS kind, count(*) AS n, count(DISTINCT doc_id) AS docs FROM page_hits WHERE image_path IS NOT NULL GROUP BY ALL""")
 def file_categories(spark: SparkSession, d: str) -> DataFrame:
-    """AG40, SC48, SC56, IO33: kinds of files by their path."""
+    """AG40, SC48, SC56: kinds of files by their path."""
     p = "image_path"
     return table(spark, d, "page_hits").where(F.col(p).isNotNull()).groupBy((F.regexp_extract(p, r"([^/.]+)[^/]*$", 1) == "").alias("no_name"), F.regexp_extract(p, r"\.([a-z]+)$", 1).alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
@@ -162,7 +152,7 @@ def _sentences(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_SENT + " SELECT doc_id, i, v FROM v QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY v DESC, i) <= 3")
 def extractive_spans(spark: SparkSession, d: str) -> DataFrame:
-    """SC12, SC43, SC44, SC46, SC47, WN16: the three sentences that say most, with a bonus for the end."""
+    """WN16: the three sentences that say most, with a bonus for the end."""
     w = Window.partitionBy("doc_id").orderBy(F.desc("v"), "i")
     return _sentences(spark, d).withColumn("r", F.row_number().over(w)).where("r <= 3").select("doc_id", "i", "v")
 
@@ -176,14 +166,14 @@ def sentence_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_SENT + ", r AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM v) SELECT doc_id, count(*) AS kept, CAST(sum(c) AS BIGINT) AS chars FROM r WHERE s <= 600 GROUP BY 1")
 def sentence_budget(spark: SparkSession, d: str) -> DataFrame:
-    """SC10, SC35, SC36: leading sentences within a budget."""
+    """SC35, SC36: leading sentences within a budget."""
     run = F.sum("c").over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     return _sentences(spark, d).withColumn("s", run).where("s <= 600").groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum("c").alias("chars"))
 
 
 @query("""SELECT qid, count(DISTINCT model_name) AS models, bool_and(coalesce(answer_format_valid, false)) AS all_valid, bool_or(coalesce(answer_format_valid, false)) AS any_valid FROM answer_records WHERE qid IS NOT NULL GROUP BY 1""")
 def watch_list(spark: SparkSession, d: str) -> DataFrame:
-    """WN22: all or any over the runs of a question."""
+    """All or any over the runs of a question."""
     v = F.coalesce("answer_format_valid", F.lit(False))
     return table(spark, d, "answer_records").where("qid is not null").groupBy("qid").agg(F.count_distinct("model_name").alias("models"), F.bool_and(v).alias("all_valid"), F.bool_or(v).alias("any_valid"))
 
@@ -192,7 +182,7 @@ def watch_list(spark: SparkSession, d: str) -> DataFrame:
 u AS (SELECT model, 'score' AS metric, score AS v FROM m UNION ALL SELECT model, 'retries', retries FROM m UNION ALL SELECT model, 'contexts', contexts FROM m)
 SELECT metric, model, round(v, 6) AS value, row_number() OVER (PARTITION BY metric ORDER BY v DESC, model) AS place FROM u QUALIFY place <= 3""")
 def top_per_metric(spark: SparkSession, d: str) -> DataFrame:
-    """TK7, AG30, EV18, EV19: the three best models of each measure, from an unpivoted table."""
+    """TK7: the three best models of each measure, from an unpivoted table."""
     m = table(spark, d, "answer_records").groupBy(F.coalesce("model_name", F.lit("")).alias("model")).agg(F.avg("top_score").alias("score"), F.avg("format_retry_count").alias("retries"), F.avg("prompt_context_count").alias("contexts"))
     u = m.unpivot("model", ["score", "retries", "contexts"], "metric", "v")
     return u.withColumn("place", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("v"), "model"))).where("place <= 3").select("metric", "model", F.round("v", 6).alias("value"), "place")
@@ -214,7 +204,7 @@ _PARTS = "[CAST(embedding[1:16] AS DOUBLE[]), CAST(embedding[17:32] AS DOUBLE[])
 b AS (SELECT r.qid, r.doc_id, q.i, max(list_dot_product(q.x, k.x)) AS m FROM r JOIN t q ON q.vec_id = r.qid JOIN t k ON k.vec_id = r.doc_id GROUP BY ALL),
 f AS (SELECT qid, doc_id, round(sum(m), 6) AS score FROM b GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 5""")
 def maxsim(spark: SparkSession, d: str) -> DataFrame:
-    """TK14, TK4, TK11: late interaction over the 64 nearest, each vector taken as four parts."""
+    """TK14: late interaction over the 64 nearest, each vector taken as four parts."""
     t = table(spark, d, "embeddings").select("vec_id", F.expr("transform(sequence(0, 3), i -> cast(slice(embedding, i * 16 + 1, 16) as array<double>))").alias("p"))
     near = L._dense(spark, d, 64).select("qid", "doc_id")
     x = near.join(t.select(F.col("vec_id").alias("qid"), F.col("p").alias("q")), "qid").join(t.select(F.col("vec_id").alias("doc_id"), F.col("p").alias("k")), "doc_id")
@@ -226,7 +216,7 @@ def maxsim(spark: SparkSession, d: str) -> DataFrame:
 @query(L._RUN.replace("grade\nFROM", "grade, bool_or(coalesce(micrograph_like, false)) AS domain\nFROM") + """, g AS (SELECT qid, doc_id, score, domain FROM run)
 SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY domain DESC, score DESC, doc_id) AS place FROM g QUALIFY place <= 5""")
 def domain_first(spark: SparkSession, d: str) -> DataFrame:
-    """TK15, TK16, IO24: hits of the domain first, then others up to five."""
+    """TK15, TK16: hits of the domain first, then others up to five."""
     h = table(spark, d, "page_hits").where("question_id is not null and doc_id is not null and page_index is not null and score is not null")
     g = h.groupBy(F.col("question_id").alias("qid"), F.concat("doc_id", F.lit(":"), F.col("page_index").cast("string")).alias("doc_id")).agg(F.max("score").alias("score"), F.max(F.coalesce("micrograph_like", F.lit(False))).alias("domain"))
     return g.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("domain"), F.desc("score"), "doc_id"))).where("place <= 5").select("qid", "doc_id", "score", "place")
@@ -235,7 +225,7 @@ def domain_first(spark: SparkSession, d: str) -> DataFrame:
 @query(L._RUN + """, p AS (SELECT qid, doc_id, rank, row_number() OVER (PARTITION BY qid ORDER BY round(grade * 10 + score - 0.05 * rank, 9) DESC, doc_id) AS k FROM run)
 SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM p WHERE k <= 3""")
 def prune_contexts(spark: SparkSession, d: str) -> DataFrame:
-    """RT29, PF24: the three most useful contexts, in their first order."""
+    """RT29: the three most useful contexts, in their first order."""
     use = F.round(F.col("grade") * 10 + F.col("score") - 0.05 * F.col("rank"), 9)
     p = K.ranked(L._hits(spark, d)).withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy(use.desc(), "doc_id"))).where("k <= 3")
     return p.select("qid", "doc_id", F.row_number().over(Window.partitionBy("qid").orderBy("rank")).alias("place"))
@@ -258,7 +248,7 @@ def refine_two_pass(spark: SparkSession, d: str) -> DataFrame:
 @query(L._DENSE + """ SELECT label, count(DISTINCT qid) AS queries, round(count(DISTINCT qid) FILTER (rank = 1 AND rel) / count(DISTINCT qid), 6) AS hit_1, round(count(DISTINCT qid) FILTER (rank <= 5 AND rel) / count(DISTINCT qid), 6) AS hit_5
 FROM r JOIN v ON v.vec_id = qid GROUP BY label""")
 def hit_at_k(spark: SparkSession, d: str) -> DataFrame:
-    """EV39, RT23: hits among the first one and five, by label."""
+    """EV39: hits among the first one and five, by label."""
     lab = table(spark, d, "embeddings").select("vec_id", "label")
     r = L._dense(spark, d, 5).join(lab.select(F.col("vec_id").alias("qid"), "label"), "qid").join(lab.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("dl")), "doc_id")
     per = r.groupBy("qid", "label").agg(F.max((F.col("rank") == 1) & (F.col("dl") == F.col("label"))).cast("int").alias("a"), F.max(F.col("dl") == F.col("label")).cast("int").alias("b"))
@@ -268,7 +258,7 @@ def hit_at_k(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH m AS (SELECT qid, avg(top_score) FILTER (lower(model_name) = 'mgen-4b') AS a, avg(top_score) FILTER (lower(model_name) = 'mgen-27b') AS b, max(coalesce(nullif(trim(query_type), ''), '-')) AS bucket FROM answer_records WHERE qid IS NOT NULL GROUP BY 1)
 SELECT bucket, count_if(b > a) AS improved, count_if(b < a) AS degraded, count_if(b = a) AS same, round(avg(b - a), 6) AS mean_delta FROM m WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY bucket""")
 def loser_sets(spark: SparkSession, d: str) -> DataFrame:
-    """EV34, EV35, EV36, EV38, JN9, MV17: two runs compared question by question."""
+    """EV34, EV35, EV38: two runs compared question by question."""
     s = lambda m: F.avg(F.when(F.lower("model_name") == m, F.col("top_score")))
     m = table(spark, d, "answer_records").where("qid is not null").groupBy("qid").agg(s("mgen-4b").alias("a"), s("mgen-27b").alias("b"), F.max(F.coalesce(F.nullif(F.trim("query_type"), F.lit("")), F.lit("-"))).alias("bucket"))
     a, b = F.col("a"), F.col("b")
@@ -286,7 +276,7 @@ def arm_matrix(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT question_id, coalesce(string_agg(DISTINCT page_index::VARCHAR, ',' ORDER BY page_index::VARCHAR) FILTER (micrograph_like), string_agg(DISTINCT page_index::VARCHAR, ',' ORDER BY page_index::VARCHAR) FILTER (via = 'seed_image'), '0,1,2') AS gold
 FROM page_hits WHERE question_id IS NOT NULL GROUP BY 1""")
 def gold_pages(spark: SparkSession, d: str) -> DataFrame:
-    """EV15: gold pages from the first source that knows any."""
+    """Gold pages from the first source that knows any."""
     pages = lambda c: F.nullif(F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("page_index").cast("string")))), ","), F.lit(""))
     return table(spark, d, "page_hits").where("question_id is not null").groupBy("question_id").agg(F.coalesce(pages(F.col("micrograph_like")), pages(F.col("via") == "seed_image"), F.lit("0,1,2")).alias("gold"))
 
@@ -321,25 +311,25 @@ def list_literals(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""WITH a AS (SELECT DISTINCT answer_id, answer FROM answer_records WHERE answer IS NOT NULL), s AS (SELECT answer_id, list_filter(list_transform(regexp_split_to_array(lower(answer), '[.!?\n]'), lambda x: trim(x)), lambda x: regexp_matches(x, '[a-z0-9]')) AS s FROM a)
 SELECT answer_id, len(s) AS sentences, len(list_distinct(s)) AS distinct_sentences, len(list_filter(s, lambda x: regexp_matches(x, '^\W*rank [0-9]'))) AS points FROM s""")
 def answer_points(spark: SparkSession, d: str) -> DataFrame:
-    """SC38, SC39: sentences, their repeats, and numbered points of an answer."""
+    """SC38: sentences, their repeats, and numbered points of an answer."""
     a = table(spark, d, "answer_records").where("answer is not null").select("answer_id", "answer").distinct()
     s = F.filter(F.transform(F.split(F.lower("answer"), r"[.!?\n]"), lambda x: F.trim(x)), lambda x: x.rlike("[a-z0-9]"))
     return a.select("answer_id", F.size(s).cast("bigint").alias("sentences"), F.size(F.array_distinct(s)).cast("bigint").alias("distinct_sentences"), F.size(F.filter(s, lambda x: x.rlike(r"^\W*rank [0-9]"))).cast("bigint").alias("points"))
 
 
 @query("""SELECT doc_id, round(least(1, length(text) / 2000.0) * 0.5 + CASE WHEN lower(text) LIKE '%biopsy%' THEN 0.3 ELSE 0 END + CASE WHEN article_id IS NOT NULL THEN 0.2 ELSE 0 END, 6)::DOUBLE AS quality,
-CASE WHEN length(text) < 100 THEN 'review' WHEN length(text) < 20 THEN 'quarantine' ELSE 'index' END AS action, round(try_cast(n_chars AS DOUBLE) / length(text) - 1, 6) AS change FROM documents""")
+CASE WHEN length(text) < 20 THEN 'quarantine' WHEN length(text) < 100 THEN 'review' ELSE 'index' END AS action, round(try_cast(n_chars AS DOUBLE) / length(text) - 1, 6) AS change FROM documents""")
 def quality_score(spark: SparkSession, d: str) -> DataFrame:
-    """MV10, MV15, MV17, PF17, SC1, SC2, SC51, IO36: weighted quality, an action, and a relative change."""
+    """MV15, PF17, SC1: weighted quality, an action, and a relative change."""
     n = F.length("text")
     q = F.least(F.lit(1.0), n / 2000.0) * 0.5 + F.when(F.lower("text").contains("biopsy"), 0.3).otherwise(0.0) + F.when(F.col("article_id").isNotNull(), 0.2).otherwise(0.0)
-    return table(spark, d, "documents").select("doc_id", F.round(q, 6).alias("quality"), F.when(n < 100, "review").when(n < 20, "quarantine").otherwise("index").alias("action"), F.round(T.number_or_null(F.col("n_chars")) / n - 1, 6).alias("change"))
+    return table(spark, d, "documents").select("doc_id", F.round(q, 6).alias("quality"), F.when(n < 20, "quarantine").when(n < 100, "review").otherwise("index").alias("action"), F.round(T.number_or_null(F.col("n_chars")) / n - 1, 6).alias("change"))
 
 
 @query("""WITH q AS (SELECT DISTINCT query_id, query_type, case_id FROM eval_queries WHERE case_id IS NOT NULL)
 SELECT query_id, array_to_string([p || ' ' || case_id], '') AS prompt FROM q, LATERAL (SELECT unnest(CASE WHEN query_type LIKE '%exposure%' THEN ['Where was the exposure of', 'Which vector fits'] ELSE ['Which diagnosis fits'] END) AS p)""")
 def template_questions(spark: SparkSession, d: str) -> DataFrame:
-    """SC45, SC49, SC50, SG16, SG17: questions from the templates of their type."""
+    """SC49, SC50, SG16: questions from the templates of their type."""
     q = table(spark, d, "eval_queries").where("case_id is not null").select("query_id", "query_type", "case_id").distinct()
     t = F.when(F.col("query_type").like("%exposure%"), F.array(F.lit("Where was the exposure of"), F.lit("Which vector fits"))).otherwise(F.array(F.lit("Which diagnosis fits")))
     return q.select("query_id", F.explode(t).alias("p"), "case_id").select("query_id", F.concat_ws(" ", "p", "case_id").alias("prompt"))
@@ -355,7 +345,7 @@ def kb_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def kb_overlap_whole(spark: SparkSession, d: str) -> DataFrame:
-    """RT24: terms shared with a query's whole text over the root of a document's number of terms."""
+    """Terms shared with a query's whole text over the root of a document's number of terms."""
     return _overlap(spark, d, L._contexts)
 
 
@@ -422,12 +412,12 @@ def page_images(spark: SparkSession, d: str) -> DataFrame:
     return h.groupBy("doc_id", "page_index").agg(F.count_distinct("image_path").alias("images"), F.array_join(F.array_sort(F.collect_set("image_path")), "|").alias("paths"))
 
 
-@query("""WITH p AS (SELECT answer_id, any_value(prompt_context_doc_ids) AS ids FROM answer_records GROUP BY 1),
+@query("""WITH p AS (SELECT answer_id, max(prompt_context_doc_ids) AS ids FROM answer_records GROUP BY 1),
 x AS (SELECT answer_id, generate_subscripts(ids, 1) AS pos, unnest(ids) AS case_id FROM p)
 SELECT answer_id, pos, case_id, case_id IN (SELECT case_id FROM diagnosis_labels WHERE case_id IS NOT NULL) AS labelled FROM x WHERE case_id IS NOT NULL""")
 def plan_slices(spark: SparkSession, d: str) -> DataFrame:
-    """SG18, JN27: an ordered plan of keys joined with their source by position."""
-    p = table(spark, d, "answer_records").groupBy("answer_id").agg(F.first("prompt_context_doc_ids").alias("ids"))
+    """An ordered plan of keys joined with their source by position."""
+    p = table(spark, d, "answer_records").groupBy("answer_id").agg(F.max("prompt_context_doc_ids").alias("ids"))
     x = p.select("answer_id", F.posexplode("ids").alias("p", "case_id")).where("case_id is not null").withColumn("pos", (F.col("p") + 1).cast("bigint"))
     known = table(spark, d, "diagnosis_labels").where("case_id is not null").select("case_id").distinct().withColumn("k", F.lit(True))
     return x.join(known, "case_id", "left").select("answer_id", "pos", "case_id", F.coalesce("k", F.lit(False)).alias("labelled"))
@@ -442,6 +432,6 @@ def pruned_struct(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT question_id, round(count(DISTINCT rank) FILTER (rank BETWEEN 1 AND 5) / 5.0, 6)::DOUBLE AS recall FROM page_hits WHERE question_id IS NOT NULL GROUP BY 1""")
 def index_recall(spark: SparkSession, d: str) -> DataFrame:
-    """EV31: distinct matched places within the expected ones."""
+    """Distinct matched places within the expected ones."""
     h = table(spark, d, "page_hits").where("question_id is not null").groupBy("question_id").agg(F.collect_set("rank").alias("r"))
     return h.select("question_id", F.round(F.size(F.filter("r", lambda x: x.between(1, 5))) / 5.0, 6).alias("recall"))

@@ -53,15 +53,9 @@ def keyword_extract(spark: SparkSession, d: str) -> DataFrame:
 _LEAKS = ["leishmaniasis", "leishmania", "miltefosine"]
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(text, '(?i)\b(?:leishmaniasis|leishmania|miltefosine)\b', '[REDACTED]', 'g')) AS redacted FROM documents WHERE regexp_matches(text, '^[\x00-\x7f]*$')")
+@query(r"SELECT doc_id, md5(regexp_replace(text, '(?i)\b(?:leishmaniasis|leishmania|miltefosine)\b', '[REDACTED]', 'g')) AS redacted FROM documents")
 def redact(spark: SparkSession, d: str) -> DataFrame:
-    """The ASCII texts of ``redact_whole``, to which the SQL is limited."""
-    return table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7f]*$")).select("doc_id", F.md5(T.redacted(F.col("text"), _LEAKS)).alias("redacted"))
-
-
-@query(None)
-def redact_whole(spark: SparkSession, d: str) -> DataFrame:
-    """SC8: terms masked in all texts."""
+    """SC8: terms masked in all texts; word edges go by ASCII letters in both engines."""
     return table(spark, d, "documents").select("doc_id", F.md5(T.redacted(F.col("text"), _LEAKS)).alias("redacted"))
 
 
@@ -86,15 +80,8 @@ def title_key(spark: SparkSession, d: str) -> DataFrame:
 _NOISE = [r"^\s*-? ?[0-9]+ ?-?\s*$", "^Page "]
 
 
-@query(r"""SELECT hit_id, array_to_string(list_filter(string_split(text_excerpt, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(x, '^\s*-? ?[0-9]+ ?-?\s*$|^Page ')), chr(10)) AS kept FROM page_hits WHERE text_excerpt IS NOT NULL AND text_excerpt NOT LIKE '%' || chr(13) || '%'""")
-def clean_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The excerpts of ``clean_lines_whole`` without carriage returns, to which the SQL is limited."""
-    h = table(spark, d, "page_hits").where(F.col("text_excerpt").isNotNull() & ~F.col("text_excerpt").contains("\r"))
-    return h.select("hit_id", T.clean_lines(F.col("text_excerpt"), _NOISE).alias("kept"))
-
-
 @query(r"""SELECT hit_id, array_to_string(list_filter(regexp_split_to_array(text_excerpt, '\r\n|\n|\r'), lambda x: trim(x) <> '' AND NOT regexp_matches(x, '^\s*-? ?[0-9]+ ?-?\s*$|^Page ')), chr(10)) AS kept FROM page_hits WHERE text_excerpt IS NOT NULL""")
-def clean_lines_whole(spark: SparkSession, d: str) -> DataFrame:
+def clean_lines(spark: SparkSession, d: str) -> DataFrame:
     """PF21, PF22, SC32: lines without noise in all excerpts, whatever their line ends."""
     return table(spark, d, "page_hits").where("text_excerpt is not null").select("hit_id", T.clean_lines(F.col("text_excerpt"), _NOISE).alias("kept"))
 
@@ -102,7 +89,7 @@ def clean_lines_whole(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT doc_id, CASE WHEN lower(text) LIKE '%case%' OR lower(text) LIKE '%patient%' THEN 'case' WHEN lower(text) LIKE '%treatment%' THEN 'therapy' WHEN lower(text) LIKE '%sensitivity%' THEN 'test' ELSE 'other' END AS kind,
 CAST(lower(text) LIKE '%biopsy%' AS DOUBLE) + CAST(lower(text) LIKE '%amastigote%' AS DOUBLE) - 0.75 * CAST(lower(text) LIKE '%no organisms%' AS DOUBLE) AS support FROM documents""")
 def classify_chain(spark: SparkSession, d: str) -> DataFrame:
-    """SC19, SC20, SC21, SC22, SC40, SC41, SC53, PF5, PF6: ordered rules and a signal score."""
+    """SC19, SC21, PF5, PF6: ordered rules and a signal score."""
     low = F.lower("text")
     kind = T.first_class(low, [("case", "case|patient"), ("therapy", "treatment"), ("test", "sensitivity")], "other")
     return table(spark, d, "documents").select("doc_id", kind.alias("kind"), T.signal_score(low, ["biopsy", "amastigote"], ["no organisms"]).alias("support"))
@@ -110,7 +97,7 @@ def classify_chain(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT doc_id, md5(CASE WHEN length(text) > 1000 THEN left(text, 500) || chr(10) || '[...]' || chr(10) || right(text, 500) ELSE text END) AS cut FROM documents""")
 def head_tail(spark: SparkSession, d: str) -> DataFrame:
-    """SC33, SC34, SC35: head and tail of long texts."""
+    """SC34, SC35: head and tail of long texts."""
     return table(spark, d, "documents").select("doc_id", F.md5(T.head_tail(F.col("text"), 500, 500)).alias("cut"))
 
 
@@ -146,7 +133,7 @@ def chunk_sentence(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS first FROM embeddings""")
 def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """MV1 to MV4: lengths and unit vectors."""
+    """MV1 to : lengths and unit vectors."""
     e = F.col("embedding")
     return table(spark, d, "embeddings").select("vec_id", F.round(V.norm(e), 6).alias("norm"), F.round(F.element_at(V.unit(e), 1), 6).alias("first"))
 
@@ -176,7 +163,7 @@ _U = "(CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) / 4294967296.0)"
 @query(f"""WITH x AS (SELECT DISTINCT label_id, coalesce(confidence, '') AS c FROM diagnosis_labels), n AS (SELECT c, count(DISTINCT label_id) AS n FROM x GROUP BY 1)
 SELECT label_id, c AS confidence, CASE WHEN {_U.format("concat_ws('|', '42', label_id)")} < 0.2 AND n > 1 THEN 'test' ELSE 'train' END AS split FROM x JOIN n USING (c)""")
 def stratified_split(spark: SparkSession, d: str) -> DataFrame:
-    """SG2, SG4, SG21: split by hash within strata."""
+    """SG2: split by hash within strata."""
     x = table(spark, d, "diagnosis_labels").select("label_id", F.coalesce("confidence", F.lit("")).alias("confidence")).distinct()
     return P.stratified_split(x, "label_id", "confidence", 0.2).select("label_id", "confidence", "split")
 
@@ -184,7 +171,7 @@ def stratified_split(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH x AS (SELECT DISTINCT label_id, coalesce(confirmation_method, '') AS m FROM diagnosis_labels)
 SELECT label_id, m AS method FROM x QUALIFY row_number() OVER (PARTITION BY m ORDER BY md5(concat_ws('|', '42', label_id)), label_id) <= 10""")
 def quota_sample(spark: SparkSession, d: str) -> DataFrame:
-    """SG7, SG19, SG20, TK10: at most ten of each kind, in hash order."""
+    """SG19, TK10: at most ten of each kind, in hash order."""
     x = table(spark, d, "diagnosis_labels").select("label_id", F.coalesce("confirmation_method", F.lit("")).alias("method")).distinct()
     return P.quota_sample(x, "label_id", "method", 10)
 
@@ -206,7 +193,7 @@ def leak_repair(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT case_id, string_agg(DISTINCT diagnosis, '|' ORDER BY diagnosis) AS signature FROM diagnosis_labels WHERE diagnosis IS NOT NULL GROUP BY 1) SELECT signature, count(*) AS cases FROM s GROUP BY 1""")
 def signature_split(spark: SparkSession, d: str) -> DataFrame:
-    """SG3, SG14, AG46: cases by the set of their diagnoses."""
+    """AG46: cases by the set of their diagnoses."""
     return P.signature(table(spark, d, "diagnosis_labels"), "case_id", "diagnosis").groupBy("signature").agg(F.count("*").alias("cases"))
 
 
@@ -243,14 +230,14 @@ def kg_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_NER + "SELECT DISTINCT doc_id, entity, 'doc/' || doc_id || ' names entity/' || entity AS triple FROM m")
 def kg_edges(spark: SparkSession, d: str) -> DataFrame:
-    """SG12, SG13, IO29: document-entity edges."""
+    """SG12: document-entity edges."""
     return N.edges(_mentions(spark, d)).withColumn("triple", F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(" names entity/"), F.col("entity").cast("string")))
 
 
 @query("""WITH c AS (SELECT case_id, max(coalesce(len(query_images), 0)) AS n FROM eval_queries WHERE case_id IS NOT NULL GROUP BY 1)
 SELECT case_id || '::' || t AS qid FROM c, LATERAL (SELECT unnest(CASE WHEN n > 0 THEN ['Q1', 'Q2', 'Q1_Q3'] ELSE ['Q1', 'Q2'] END) AS t)""")
 def query_set(spark: SparkSession, d: str) -> DataFrame:
-    """SG15, SG16, JN11, SC49, SC50: the queries of a case, an image query only where there are images."""
+    """SG15, JN11, SC49, SC50: the queries of a case, an image query only where there are images."""
     c = table(spark, d, "eval_queries").where("case_id is not null").groupBy("case_id").agg(F.max(F.coalesce(F.size("query_images"), F.lit(0))).alias("n"))
     kinds = F.array_compact(F.array(F.lit("Q1"), F.lit("Q2"), F.when(F.col("n") > 0, F.lit("Q1_Q3"))))
     return c.select(F.explode(kinds).alias("t"), "case_id").select(F.concat("case_id", F.lit("::"), "t").alias("qid"))

@@ -94,3 +94,56 @@ def test_stream_compaction_matches_batch(spark, tmp_path):
     q.stop()
     batch = incremental.compact(spark.createDataFrame(rows, schema), "key", [F.desc("ok"), F.desc("at"), F.desc("value")]).collect()
     assert got == {r["key"]: (r["ok"], r["at"], r["value"]) for r in batch}
+
+
+def test_files_found_described_and_compared(spark, tmp_path):
+    for name, text in (("r1/summary.json", '{"a": 1,\n "b": "x"}'), ("r2/summary.json", 'no\n{"a": 2}\n{"a": 3}\n'), ("r3/summary.json", "nothing"), ("r3/other.txt", "t")):
+        p = tmp_path / name
+        p.parent.mkdir(exist_ok=True)
+        p.write_text(text)
+    runs = {r["run"]: (r["a"], r["b"]) for r in files.read_run_catalog(spark, f"{tmp_path}/*/summary.json", "a int, b string").collect()}
+    assert runs == {"r1": (1, "x"), "r2": (2, None)}
+    assert sorted(r["name"] for r in files.discover(spark, str(tmp_path), "*.json").collect()) == ["summary.json"] * 3
+    before = spark.createDataFrame(files.fingerprints(spark, str(tmp_path)).collect(), files.fingerprints(spark, str(tmp_path)).schema)
+    (tmp_path / "r3/other.txt").write_text("u")
+    (tmp_path / "r4.txt").write_text("new")
+    (tmp_path / "r1/summary.json").unlink()
+    change = {r["path"].rsplit("/", 1)[1]: r["change"] for r in files.changed_files(before, files.fingerprints(spark, str(tmp_path))).collect()}
+    assert change == {"other.txt": "changed", "r4.txt": "added", "summary.json": "removed"}
+    assert files.first_existing(spark, [f"{tmp_path}/none", f"{tmp_path}/r4.txt"]) == f"{tmp_path}/r4.txt" and files.first_existing(spark, [f"{tmp_path}/none"], False) is None
+    with pytest.raises(FileNotFoundError):
+        files.first_existing(spark, [f"{tmp_path}/none"])
+    about, head = files.describe(spark.createDataFrame([(1, "a"), (2, None)], "k int, v string"), 1)
+    assert {r["column"]: (r["type"], r["filled"]) for r in about.collect()} == {"k": ("int", 2), "v": ("string", 1)} and head.count() == 1
+
+
+def test_index_is_saved_and_loaded(spark, tmp_path):
+    from caseloom.functions import text as T
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c")], "doc_id int, text string")
+    p = retrieval.postings(docs, "doc_id", T.tokens(F.col("text")))
+    files.save_index(p, f"{tmp_path}/index")
+    assert sorted(map(tuple, files.load_index(spark, f"{tmp_path}/index").select(*p.columns).collect())) == sorted(map(tuple, p.collect()))
+
+
+def test_recall_of_given_indices(spark):
+    rows = [(["A", "B", "C"], [1, 3, 99]), (["A"], [1, 1, None, 0]), ([], [1]), (None, None)]
+    out = evaluation.recall_of_indices(spark.createDataFrame(rows, "p array<string>, i array<int>"), "p", "i").collect()
+    assert [(r["matched"], r["total"], r["unmatched"]) for r in out] == [(2, 3, ["B"]), (1, 1, []), (0, 0, []), (0, 0, [])]
+    assert out[0]["recall"] == pytest.approx(2 / 3) and out[2]["recall"] == 0
+
+
+def test_diverse_texts_like_brute_force(spark):
+    rows = [("q", f"d{i}", 1.0 - i / 100, t) for i, t in enumerate(["a b c d e", "A b c d e", "a b c d e f", "x y", None, "x y z", ""])]
+    got = [(r["doc_id"], r["place"]) for r in ranking.diverse_texts(spark.createDataFrame(rows, "qid string, doc_id string, score double, text string"), 5, 0.8).orderBy("place").collect()]
+    assert got == [("d0", 1), ("d3", 2), ("d4", 3), ("d5", 4), ("d6", 5)]
+    few = ranking.diverse_texts(spark.createDataFrame(rows[:3], "qid string, doc_id string, score double, text string"), 3, 0.5).orderBy("place").collect()
+    assert [r["doc_id"] for r in few] == ["d0", "d1", "d2"]
+
+
+def test_folds_share_out_every_stratum(spark):
+    from caseloom.operators import sampling
+
+    rows = spark.createDataFrame([(i, "a" if i < 900 else "b" if i < 960 else "rare") for i in range(965)], "k int, s string")
+    n = {(r["stratum"], r["fold"]): r["count"] for r in sampling.stratified_folds(rows, "k", "s", 5, 30).groupBy("stratum", "fold").count().collect()}
+    assert all(abs(n["a", f] - 180) <= 16 for f in range(5)) and sum(v for (s, _), v in n.items() if s == "merged") == 5
