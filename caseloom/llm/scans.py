@@ -61,42 +61,41 @@ def text_lines(text: str) -> list[str]:
     return _LINE.split(text)
 
 
-EDGE = 2
-_LINE_FEATURES = ["outermost", "lone", "repeats", "agreement", "stops", "small_start", "capitals", "shortness", "numbered", "spread", "alone_number", "has_number"]
+EDGE = 3
+_LINE_FEATURES = ["outermost", "second", "lone", "repeats", "agreement", "stops", "small_start", "capitals", "shortness", "numbered", "spread", "alone_number", "has_number"]
 
 
 def _edge_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
+        rows, inside = [], Counter()
         for doc, page, text in zip(batch["doc_id"], batch["page_index"], batch["text"]):
             lines = text_lines(text)
             full = [i for i, x in enumerate(lines) if x.strip()]
             width = max((len(lines[i]) for i in full), default=1)
             for k, i in enumerate(full):
                 depth = min(k, len(full) - 1 - k)
-                inner = depth >= EDGE
-                if inner and depth > EDGE + 2:
-                    continue
                 line = lines[i].strip()
+                if depth >= EDGE:
+                    inside[" ".join(line.lower().split())] += 1
+                    continue
                 core, number = split_number(line)
-                if inner:
-                    core, number = " ".join(line.lower().split()), ""
                 value = number_value(number) if number else -1
                 letters = [c for c in line if c.isalpha()]
                 rows.append((
-                    doc, page, i, core, number, value - page if value >= 0 else None, not inner, float(depth == 0),
+                    doc, page, i, core, number, value - page if value >= 0 else None, 0, float(depth == 0), float(depth == 1),
                     float((i == 0 or not lines[i - 1].strip()) and (i + 1 >= len(lines) or not lines[i + 1].strip())),
                     float(line[-1] in ".;,:" + HYPHENS), float(line[0].islower() and not number), sum(c.isupper() for c in letters) / max(1, len(letters)),
                     1 - min(1.0, len(line) / width), float(bool(re.match(r"\d+(\.\d+)*\.? +[^\W\d]", line))), float(not core), float(bool(number)),
                 ))
-        names = ["doc_id", "page_index", "line_no", "core", "number", "offset", "edge", "outermost", "lone", "stops", "small_start", "capitals", "shortness", "numbered", "alone_number", "has_number"]
+        names = ["doc_id", "page_index", "line_no", "core", "number", "offset", "inside", "outermost", "second", "lone", "stops", "small_start", "capitals", "shortness", "numbered", "alone_number", "has_number"]
         frame = pd.DataFrame(rows, columns=names)
         frame["offset"] = frame["offset"].astype("Int64")
         yield frame
+        yield pd.DataFrame([(None, 0, 0, core, "", None, n, *[0.0] * 10) for core, n in inside.items()], columns=names).astype({"offset": "Int64"})
 
 
 _EDGE_SCHEMA = (
-    "doc_id string, page_index int, line_no int, core string, number string, offset bigint, edge boolean, outermost double, lone double, stops double, "
+    "doc_id string, page_index int, line_no int, core string, number string, offset bigint, inside bigint, outermost double, second double, lone double, stops double, "
     "small_start double, capitals double, shortness double, numbered double, alone_number double, has_number double"
 )
 
@@ -110,18 +109,19 @@ def scanned_pages(hits: DataFrame) -> DataFrame:
 def page_furniture(pages: DataFrame, training_rows: int = 20_000) -> DataFrame:
     """``(doc_id, page_index, line_no, core, number)`` of running lines and page numbers.
 
-    Lines among the outermost two at either edge are classified by their form,
-    by how many pages of the document repeat the line, over how many documents
+    Lines among the outermost three at either edge are classified by their
+    form, by how many pages of the document repeat the line, how often it
+    stands further inside on any page, over how many documents
     it is spread, and by how many pages agree on the distance between printed
     and counted page number. The logistic model is fitted on at most
     ``training_rows`` lines whose label is beyond doubt.
     """
     lines = written(pages.mapInPandas(_edge_lines, _EDGE_SCHEMA), "scan-lines")
-    edge = lines.where("edge")
+    edge = lines.where("inside = 0").drop("inside")
     same = edge.where("core <> ''").groupBy("doc_id", "core").agg(F.count_distinct("page_index").alias("same_pages"))
     spread = same.groupBy("core").agg(F.count("*").alias("docs"), F.sum("same_pages").alias("all_pages"))
     offsets = edge.where("offset is not null").groupBy("doc_id", "offset").agg(F.count_distinct("page_index").alias("agree"))
-    interior = lines.where("not edge").groupBy("core").agg(F.count("*").alias("inside"))
+    interior = lines.where("inside > 0").groupBy("core").agg(F.sum("inside").alias("inside"))
     x = (
         edge.join(same, ["doc_id", "core"], "left").join(offsets, ["doc_id", "offset"], "left").join(spread, "core", "left").join(interior, "core", "left")
         .withColumn("repeats", F.log1p(F.coalesce("same_pages", F.lit(0))) - F.log1p(F.coalesce("inside", F.lit(0))))
@@ -255,22 +255,25 @@ def _gram_rows(words: DataFrame, name: str) -> DataFrame:
     return words.withColumn("gram", F.explode(F.array_distinct(both)))
 
 
-_RANK_FEATURES = ["ratio", "cand_log", "word_log", "support", "chunks", "pre", "post", "length", "shared"]
+SPOILT = 12
+_RANK_FEATURES = ["others", "ratio", "cand_log", "word_log", "support", "chunks", "pre", "post", "length", "shared"]
 
 
-def correction_pairs(words: DataFrame, rare_grams: int = 10, lead: float = 8.0) -> DataFrame:
+def correction_pairs(words: DataFrame, lead: float = 8.0) -> DataFrame:
     """Candidates of every word of ``words(word, n)`` with their features.
 
-    A word is joined through its ``rare_grams`` rarest q-grams with all q-grams
-    of the words at least ``lead`` times as frequent. A slip of up to two
-    letters spoils at most five of the q-grams, so the others find the word.
+    A word is joined with all words at least ``lead`` times as frequent that
+    share one of its ``SPOILT + 1`` rarest q-grams. Three changed parts of two
+    letters spoil at most four trigrams each, so one of these q-grams is whole
+    and no candidate within those changes is lost; shorter words are joined
+    through all their q-grams.
     """
     known = words.where("n >= 2 and word rlike '^([0-9]{1,3}-)?[\\\\p{L}][\\\\p{L}\\'’–\\\\-]+$'").select(F.col("word").alias("cand"), F.col("n").alias("cand_n"))
     index = _gram_rows(known, "cand")
     df = index.groupBy("gram").agg(F.count("*").alias("df"))
     asked = _gram_rows(words.where("length(word) >= 2 and word rlike '\\\\p{L}'"), "word").join(df, "gram")
     rank = Window.partitionBy("word").orderBy("df", "gram")
-    asked = asked.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= rare_grams).select("word", "n", "gram")
+    asked = asked.withColumn("r", F.row_number().over(rank)).where((F.col("r") <= SPOILT + 1) | (F.length("word") <= 7)).select("word", "n", "gram")
     near = (F.abs(F.length("word") - F.length("cand")) <= 2) & (F.col("cand_n") >= lead * F.greatest("n", F.lit(0.2))) & (F.col("word") != F.col("cand"))
     joined = asked.join(index, "gram").where(near).groupBy("word", "n", "cand", "cand_n").agg(F.count("*").alias("shared"))
     pairs = joined.mapInPandas(
@@ -289,23 +292,28 @@ def corrections(words: DataFrame, training_rows: int = 20_000, threshold: float
     and a change seen in several words is right if the candidate is far more
     frequent.
     What a confusion is, is learnt too: ``support`` counts the distinct words
-    in which the same characters differ against a far more frequent word.
+    in which the same characters differ against a far more frequent word, and
+    ``others`` how often these words occur but for the word itself; a frequent
+    word that stands alone with its change is a word of its own.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     pairs = written(correction_pairs(words), "scan-pairs")
-    part = pairs.where("cand_n >= 20 * n").select("word", F.explode("parts").alias("part"))
-    support = part.groupBy("part").agg(F.count_distinct("word").alias("words"))
-    lowest = pairs.select("word", "cand", F.explode("parts").alias("part")).join(support, "part", "left").groupBy("word", "cand").agg(F.log1p(F.min(F.coalesce("words", F.lit(0)))).alias("support"))
+    part = pairs.where("cand_n >= 20 * n").select("word", "n", F.explode("parts").alias("part")).distinct()
+    support = part.groupBy("part").agg(F.count("*").alias("words"), F.sum("n").alias("total"))
+    of_pair = pairs.select("word", "cand", "n", F.explode("parts").alias("part")).join(support, "part", "left")
+    rest = F.greatest(F.lit(0), F.coalesce("total", F.lit(0)) - F.col("n"))
+    lowest = of_pair.groupBy("word", "cand").agg(F.log1p(F.min(F.coalesce("words", F.lit(0)))).alias("support"), F.log1p(F.min(rest)).alias("others"))
     x = pairs.join(lowest, ["word", "cand"]).withColumn("word_log", F.log1p("n")).withColumn("cand_log", F.log1p("cand_n")).withColumn("ratio", F.log(F.col("cand_n") / F.greatest("n", F.lit(0.2))))
     odd = F.col("word").rlike(r"\p{L}[0-9@!|$]+\p{L}|^[0-9@!|$]\p{L}{3,}|\p{L}{3,}[0-9@!|$]$") & ~F.col("word").rlike(r"^[a-z]{1,3}[0-9]+|-[0-9]|[0-9]-")
     best = Window.partitionBy("word").orderBy("chunks", "change", F.desc("cand_n"), "cand")
     x = x.withColumn("odd", odd).withColumn("r", F.row_number().over(best))
     similar = ~F.col("odd") & (F.col("n") >= 3) & (F.col("ratio") < F.log(F.lit(14.0)))
     common = ~F.col("odd") & (F.col("r") == 1) & (F.col("chunks") == 1) & (F.col("support") >= F.log1p(F.lit(4))) & (F.col("ratio") >= F.log(F.lit(60.0))) & (F.col("pre") + F.col("post") >= 3)
-    label = F.when(common | F.col("odd") & (F.col("r") == 1) & (F.col("chunks") <= 2), 1.0).when(F.col("odd") & (F.col("r") > 1), 0.0).when(similar, 0.0).when(~F.col("odd") & (F.col("support") < F.log1p(F.lit(2))), 0.0)
+    own = ~F.col("odd") & (F.col("n") >= 5) & (F.col("others") < F.col("word_log"))  # a change that is seen in one word above all makes that word one of its own
+    label = F.when(own, 0.0).when(common | F.col("odd") & (F.col("r") == 1) & (F.col("chunks") <= 2), 1.0).when(F.col("odd") & (F.col("r") > 1), 0.0).when(similar, 0.0).when(~F.col("odd") & (F.col("support") < F.log1p(F.lit(2))), 0.0)
     x = written(x.withColumn("label", label), "scan-ranked")
     sample = bounded_sample(x.where("label is not null").select(*_RANK_FEATURES, "label", "word", "cand"), ["word", "cand"], training_rows)
     sample = written(sample, "scan-sample")
@@ -349,7 +357,64 @@ def _cased(raw: str, right: str) -> str:
     return right.upper() if len(raw) > 1 and raw.isupper() else right[:1].upper() + right[1:] if raw[:1].isupper() else right
 
 
-def _repaired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_JOIN_FEATURES = ["prev_stop", "prev_hyphen", "prev_comma", "prev_short", "next_small", "next_capitals", "next_numbered", "next_short"]
+
+
+def _join_features(prev: str, line: str, width: int) -> list[float]:
+    letters = [c for c in line if c.isalpha()]
+    return [
+        float(prev[-1] in ".!?:\"”’)"), float(prev[-1] in HYPHENS), float(prev[-1] in ",;"), 1 - min(1.0, len(prev) / width), float(line[0].islower()),
+        float(bool(letters) and sum(c.isupper() for c in letters) > 0.6 * len(letters)), float(bool(re.match(r"\d+(\.\d+)*\.? +[^\W\d]", line))), float(len(line) < 0.6 * width and line[-1] not in ".,;" + HYPHENS),
+    ]
+
+
+def _body_lines(text: str, furniture: set[int]) -> list[tuple[str, bool]]:
+    """Lines without furniture and blank ones, and whether a blank line stands before each."""
+    out, blank = [], True
+    for i, line in enumerate(text_lines(text)):
+        if i not in furniture and line.strip():
+            out.append((line.strip(), blank))
+            blank = False
+        elif i not in furniture:
+            blank = True
+    return out
+
+
+def _line_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for text, furniture in zip(batch["text"], batch["furniture"]):
+            lines = _body_lines(text, set(furniture) if furniture is not None else set())
+            width = max((len(x) for x, _ in lines), default=1)
+            rows += [(*_join_features(a, b, width), int(blank)) for (a, _), (b, blank) in zip(lines, lines[1:])]
+        yield pd.DataFrame(rows, columns=[*_JOIN_FEATURES, "label"])
+
+
+def paragraph_model(pages: DataFrame, training_rows: int = 20_000) -> Logistic:
+    """How likely a new paragraph begins between two lines, by their form.
+
+    It learns from where blank lines stand in the ``pages(text, furniture)``,
+    which are no feature; so it finds paragraphs that have lost their blank
+    line, and blank lines inside a sentence.
+    """
+    pairs = pages.mapInPandas(_line_pairs, ", ".join(f"{f} double" for f in _JOIN_FEATURES) + ", label int")
+    return Logistic(_JOIN_FEATURES).fit_rows(pairs, "label", training_rows)
+
+
+def paragraphs(text: str, furniture: set[int], weights: list[float], breaks: float = 2.0, joins: float = -3.0) -> list[list[str]]:
+    """Lines of each paragraph: blank lines part them but where the log odds are below ``joins``, other lines where they are above ``breaks``."""
+    lines = _body_lines(text, furniture)
+    width = max((len(x) for x, _ in lines), default=1)
+    out: list[list[str]] = []
+    for k, (line, blank) in enumerate(lines):
+        odds = weights[-1] + sum(w * x for w, x in zip(weights, _join_features(lines[k - 1][0], line, width))) if k else 0.0
+        if not k or odds > (joins if blank else breaks):
+            out.append([])
+        out[-1].append(line)
+    return out
+
+
+def _repaired(batches: Iterator[pd.DataFrame], weights: list[float]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for text, traces in zip(batch["text"], batch["traces"]):
@@ -365,8 +430,8 @@ def _repaired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 at = token.lower().find(core)
                 return token[:at] + _cased(token[at : at + len(core)], words[core]) + token[at + len(core) :]
 
-            paragraphs = []
-            for lines in _body(text, furniture):
+            whole = []
+            for lines in paragraphs(text, furniture, weights):
                 tokens: list[str] = []
                 for line in lines:
                     new = line.split()
@@ -377,8 +442,8 @@ def _repaired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         tokens[-1] = lead + _cased(tokens[-1][len(lead) :], word) + (end.group() if end else "")
                         new = new[1:]
                     tokens += new
-                paragraphs.append(" ".join(fixed(t) for t in tokens))
-            out.append(unicodedata.normalize("NFC", "\n\n".join(paragraphs)))
+                whole.append(" ".join(fixed(t) for t in tokens))
+            out.append(unicodedata.normalize("NFC", "\n\n".join(whole)))
         yield pd.DataFrame({"doc_id": batch["doc_id"], "page_index": batch["page_index"], "text": out})
 
 
@@ -386,4 +451,7 @@ def repair_pages(hits: DataFrame) -> DataFrame:
     """``(doc_id, page_index, text)``: each page as continuous paragraphs."""
     pages, traces = scan_traces(hits)
     per_page = traces.groupBy("doc_id", "page_index").agg(F.collect_set(F.struct("noise", "raw", "value")).alias("traces"))
-    return pages.join(per_page, ["doc_id", "page_index"], "left").mapInPandas(_repaired, "doc_id string, page_index int, text string")
+    whole = written(pages.join(per_page, ["doc_id", "page_index"], "left"), "scan-whole")
+    furniture = F.transform(F.filter("traces", lambda t: t["noise"].isin("running_line", "page_number")), lambda t: t["raw"].cast("int"))
+    weights = [float(w) for w in paragraph_model(whole.select("text", furniture.alias("furniture"))).weights]
+    return whole.mapInPandas(lambda batches: _repaired(batches, weights), "doc_id string, page_index int, text string")

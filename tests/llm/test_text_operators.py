@@ -117,6 +117,52 @@ def test_scan_traces_found(spark):
     assert "Reports of" not in text and "- 43 -" not in text and "\n" not in text
 
 
+def test_headers_of_three_lines(spark):
+    rnd = random.Random(12)
+    rows = []
+    for d in range(12):
+        for p in range(10):
+            body = [" ".join(rnd.choice(["under", "water", "river", "small", "valley", "healed", "clinic", "letters", "morning", "patient"]) for _ in range(8)) + "." for _ in range(9)]
+            rows.append((f"s{d}", p, "\n".join([f"Institute of Northern Care {d}", f"Annual survey of wards {d}", f"Volume {d} of the series", *body, f"Page {p + 3}"])))
+    got = scans.scan_traces(spark.createDataFrame(rows, "doc_id string, page_index int, text_excerpt string"))[1].collect()
+    heads = {(r["doc_id"], r["page_index"], r["value"]) for r in got if r["noise"] == "running_line"}
+    assert sum((f"s{d}", p, line) in heads for d in range(12) for p in range(10) for line in (f"institute of northern care {d}", f"annual survey of wards {d}", f"volume {d} of the series")) >= 0.95 * 360
+
+
+def test_frequent_words_are_no_misreadings(spark):
+    words = [("for", 9000), ("fever", 900), ("found", 700), ("por", 300), ("foot", 500), ("after", 800), ("affer", 2), ("left", 900), ("leff", 1), ("righf", 2), ("right", 900), ("tests", 300), ("fesfs", 1), ("h0me", 1), ("home", 400), ("w0rds", 1), ("words", 300), ("month", 300), ("monfh", 2)]
+    out = {r["word"]: r["right"] for r in scans.corrections(spark.createDataFrame(words, "word string, n bigint")).collect()}
+    assert "por" not in out and out["affer"] == "after" and out["monfh"] == "month"
+
+
+def test_a_candidate_is_found_whatever_it_shares(spark):
+    import itertools
+
+    base = "pseudoepitheliomatous"
+    spoilt = {base[:i] + "zz" + base[i + 2 : j] + "zz" + base[j + 2 : k] + "zz" + base[k + 2 :] for i, j, k in itertools.combinations(range(1, len(base) - 2, 3), 3)}
+    words = spark.createDataFrame([(base, 500), ("pseudomonas", 50)] + [(w, 1) for w in sorted(spoilt)], "word string, n bigint")
+    found = {r["word"] for r in scans.correction_pairs(words).where(f"cand = '{base}'").collect()}
+    assert found == spoilt
+
+
+def test_paragraphs_follow_the_line_pairs(spark):
+    rnd = random.Random(3)
+    line = lambda: " ".join(rnd.choice(["under", "water", "river", "small", "valley", "healed"]) for _ in range(8))
+    pages = []
+    for p in range(60):
+        parts = []
+        for _ in range(3):
+            parts.append("\n".join(["The " + line(), *[line() for _ in range(3)], "then it healed."]))
+        pages.append(("\n\n".join(parts), None))
+    model = scans.paragraph_model(spark.createDataFrame(pages, "text string, furniture array<int>"))
+    weights = [float(w) for w in model.weights]
+    joined = pages[0][0].replace("\n\n", "\n", 1)
+    assert len(scans.paragraphs(joined, set(), weights)) == 3
+    torn = pages[0][0].split("\n")
+    torn.insert(2, "")
+    assert len(scans.paragraphs("\n".join(torn), set(), weights)) == 3
+
+
 def test_scan_edge_cases(spark):
     schema = "doc_id string, page_index int, text_excerpt string"
     rows = [("a", 0, ""), ("a", 1, None), (None, 1, "x"), ("b", None, "x"), ("c", 2, "word " * 40_000), ("d", 3, "\r\n\r\n"), ("e", 4, "-\n-\n12"), ("e", 4, "-\n-\n12")]
