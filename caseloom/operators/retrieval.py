@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import text as T
 from caseloom.operators.ranking import ranked
-from caseloom.session import spread
+from caseloom.session import spread, written
+
+Weigh = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def postings(documents: DataFrame, id_col: str, terms: Column) -> DataFrame:
@@ -88,6 +90,97 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int
     return ranked(pairs.mapInPandas(run, f"qid {kind_q}, doc_id {kind_d}, score double"), k)
 
 
+def _lexical_block(ids: np.ndarray, sizes: np.ndarray, norms: np.ndarray, terms: np.ndarray, asked: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, weigh: Weigh) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and column of the scores above zero that are among the ``k`` best of a query, ties included, and the scores."""
+    q_sizes, q_terms, q_w = asked
+    order = np.argsort(q_terms, kind="stable")
+    vocabulary, starts = np.unique(q_terms[order], return_index=True)
+    q_of, w_of = np.repeat(np.arange(len(q_sizes)), q_sizes)[order], q_w[order]
+    stops = np.append(starts[1:], len(order))
+    scores = np.zeros((len(q_sizes), len(ids)))
+    doc = np.repeat(np.arange(len(ids)), sizes)
+    distinct = np.unique(doc * np.int64(1 << 31) + np.unique(terms, return_inverse=True)[1])
+    held = np.bincount(distinct >> 31, minlength=len(ids))
+    at = np.minimum(np.searchsorted(vocabulary, terms), max(0, len(vocabulary) - 1))
+    known = vocabulary[at] == terms if len(vocabulary) else np.zeros(len(terms), bool)
+    pair, tf = np.unique(at[known] * np.int64(len(ids)) + doc[known], return_counts=True)
+    term, doc = pair // len(ids), pair % len(ids)
+    weight = weigh(tf, sizes[doc], held[doc], norms[doc])
+    begin = np.flatnonzero(np.diff(term, prepend=-1))
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(term)]):
+        t = int(term[a])
+        scores[q_of[starts[t] : stops[t]][:, None], doc[a:b]] += w_of[starts[t] : stops[t], None] * weight[a:b]
+    scores = np.round(scores, 6)
+    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k] if scores.shape[1] > k else np.zeros((len(scores), 1))
+    row, column = np.nonzero((scores >= least) & (scores > 0))
+    return row, column, scores[row, column]
+
+
+def lexical_top_k(documents: DataFrame, asked: DataFrame, k: int, weigh: Weigh, block_rows: int = 2_000) -> DataFrame:
+    """``(qid, doc_id, score, rank)``: exact top k of every query of ``asked(qid, term, w)`` over ``documents(doc_id, t, norm)``.
+
+    The score is the sum over shared terms of w times ``weigh(tf, length,
+    distinct terms, norm)``, rounded to six places; ties go to the smaller id
+    and scores of 0 are left out. Documents and the stated queries are packed
+    into blocks as in ``dense_top_k``, so the joined postings, of which there
+    are far more than documents, are summed inside a task and never shuffled.
+    Terms are compared by 64-bit hashes; each query and term occurs once.
+    """
+    kind_q, kind_d = asked.schema["qid"].dataType.simpleString(), documents.schema["doc_id"].dataType.simpleString()
+    d = written(spread(documents).select("doc_id", F.coalesce("norm", F.lit(0.0)).alias("norm"), F.transform("t", lambda x: F.xxhash64(x)).alias("t")).where(F.size("t") > 0), "lexical-documents")
+    q = written(asked.groupBy("qid").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), F.col("w").cast("double").alias("w"))).alias("q")), "lexical-queries")
+
+    def packed(rows: DataFrame, key: str) -> DataFrame:
+        blocks = max(1, -(-rows.count() // block_rows))
+        return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(*rows.columns)).alias("r")).drop("block")
+
+    docs = packed(d, "doc_id").select(F.col("r.doc_id").alias("ids"), F.transform("r", lambda x: F.size(x["t"])).alias("sizes"), F.col("r.norm").alias("norms"), F.flatten("r.t").alias("terms"))
+    queries = packed(q, "qid").select(F.col("r.qid").alias("qids"), F.transform("r", lambda x: F.size(x["q"])).alias("q_sizes"), F.flatten("r.q").getField("t").alias("q_terms"), F.flatten("r.q").getField("w").alias("q_w"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for x in batch.itertuples(index=False):
+                row, column, score = _lexical_block(x.ids, x.sizes, x.norms, x.terms, (x.q_sizes, x.q_terms, x.q_w), k, weigh)
+                yield pd.DataFrame({"qid": x.qids[row], "doc_id": x.ids[column], "score": score})
+
+    return ranked(docs.crossJoin(queries).mapInPandas(run, f"qid {kind_q}, doc_id {kind_d}, score double"), k)
+
+
+def lexical_statistics(documents: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """``(term, df)`` of ``documents(doc_id, t)``, and their number and mean length."""
+    d = documents.where(F.size("t") > 0)
+    n = d.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"), F.sum(F.size(F.array_distinct("t"))).alias("terms")).first()
+    df = d.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return df, {"n": float(n["n"] or 0), "mean": float(n["mean"] or 1)}
+
+
+def bm25_top_k(documents: DataFrame, query_terms: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``bm25`` of ``documents(doc_id, t)`` in blocks."""
+    df, n = lexical_statistics(documents)
+    idf = written(df.withColumn("idf", F.log(F.lit(n["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "idf")
+    low = 0.25 * float(idf.agg(F.avg("idf").alias("m")).first()["m"] or 0.0)
+    asked = query_terms.join(idf, "term").select("qid", "term", (F.col("qtf") * F.when(F.col("idf") < 0, low).otherwise(F.col("idf"))).alias("w"))
+    mean = n["mean"]
+    return lexical_top_k(documents.withColumn("norm", F.lit(0.0)), asked, k, lambda tf, length, held, norm: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean)))
+
+
+def tf_idf_top_k(documents: DataFrame, query_terms: DataFrame, k: int) -> DataFrame:
+    """``tf_idf`` of ``documents(doc_id, t)`` in blocks."""
+    df, n = lexical_statistics(documents)
+    idf = written(df.select("term", (F.log((1.0 + n["n"]) / (1.0 + F.col("df"))) + 1.0).alias("idf")), "idf")
+    tf = documents.select("doc_id", F.explode("t").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    norm = tf.join(idf, "term").groupBy("doc_id").agg((1 / F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2))))).alias("norm"))
+    q = query_terms.join(idf, "term").withColumn("x", F.col("qtf") * F.col("idf"))
+    asked = q.join(q.groupBy("qid").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("qn")), "qid").select("qid", "term", (F.col("x") * F.col("idf") / F.col("qn")).alias("w"))
+    return lexical_top_k(documents.join(norm, "doc_id"), asked, k, lambda tf, length, held, norm: tf * norm)
+
+
+def overlap_top_k(documents: DataFrame, query_terms: DataFrame, k: int) -> DataFrame:
+    """Terms shared with a query over the root of a document's number of terms, in blocks."""
+    asked = query_terms.select("qid", "term", F.lit(1.0).alias("w"))
+    return lexical_top_k(documents.withColumn("norm", F.lit(0.0)), asked, k, lambda tf, length, held, norm: 1 / np.sqrt(held))
+
+
 def fixed_chunks(documents: DataFrame, id_col: str, text: str, max_words: int = 307, overlap: int = 38) -> DataFrame:
     """``(doc_id, chunk, words, chunk_text)``: word windows that overlap.
 

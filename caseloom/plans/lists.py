@@ -9,6 +9,7 @@ from caseloom.functions import text as T
 from caseloom.operators import evaluation as E
 from caseloom.operators import ranking as K
 from caseloom.operators import retrieval as S
+from caseloom.session import written
 from caseloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -61,16 +62,21 @@ def _contexts(spark: SparkSession, d: str) -> DataFrame:
     return q.select("qid", F.explode(T.tokens(F.col("g"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def _bm25(spark: SparkSession, d: str, k: int, asked=_queries) -> DataFrame:
-    return K.ranked(S.bm25(_index(spark, d), asked(spark, d)).withColumn("score", F.round("score", 6)), k)
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text is not null").select("doc_id", T.tokens(F.col("text")).alias("t"))
 
 
-def _tfidf(spark: SparkSession, d: str, k: int, asked=_queries) -> DataFrame:
-    return K.ranked(S.tf_idf(_index(spark, d), asked(spark, d)).withColumn("score", F.round("score", 6)), k)
+def _bm25(spark: SparkSession, d: str, k: int, asked=_queries, index: DataFrame | None = None) -> DataFrame:
+    return K.ranked(S.bm25(_index(spark, d) if index is None else index, asked(spark, d)).withColumn("score", F.round("score", 6)), k)
+
+
+def _tfidf(spark: SparkSession, d: str, k: int, asked=_queries, index: DataFrame | None = None) -> DataFrame:
+    return K.ranked(S.tf_idf(_index(spark, d) if index is None else index, asked(spark, d)).withColumn("score", F.round("score", 6)), k)
 
 
 def _hybrid(spark: SparkSession, d: str, asked=_queries) -> DataFrame:
-    lanes = [(_bm25(spark, d, 20, asked), 0.6), (_tfidf(spark, d, 20, asked), 0.4)]
+    index = written(_index(spark, d), "postings")  # one index for both lanes
+    lanes = [(_bm25(spark, d, 20, asked, index), 0.6), (_tfidf(spark, d, 20, asked, index), 0.4)]
     return K.ranked(K.reciprocal_rank_fusion(lanes).withColumn("score", F.round("score", 8)), 10)
 
 
@@ -82,8 +88,8 @@ def bm25_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def bm25_search_whole(spark: SparkSession, d: str) -> DataFrame:
-    """RT7, RT8, TK5: BM25 top ten of the queries' whole texts by a postings join."""
-    return _bm25(spark, d, 10, _contexts)
+    """RT7, RT8, TK5: BM25 top ten of the queries' whole texts in blocks of documents and queries."""
+    return S.bm25_top_k(_terms(spark, d), _contexts(spark, d), 10)
 
 
 @query(_INDEX + _TFIDF + " SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM tf QUALIFY rank <= 10")
@@ -95,7 +101,7 @@ def tfidf_search(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def tfidf_search_whole(spark: SparkSession, d: str) -> DataFrame:
     """RT21: tf-idf cosine top ten of the queries' whole texts."""
-    return _tfidf(spark, d, 10, _contexts)
+    return S.tf_idf_top_k(_terms(spark, d), _contexts(spark, d), 10)
 
 
 @query(_INDEX + _BM25 + _TFIDF + """,
@@ -111,7 +117,9 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def hybrid_rrf_whole(spark: SparkSession, d: str) -> DataFrame:
     """RT10, RT11, RT13, RT14, RT15, AG8: two lanes of the queries' whole texts fused by reciprocal rank."""
-    return _hybrid(spark, d, _contexts)
+    docs, asked = written(_terms(spark, d), "terms"), written(_contexts(spark, d), "asked")  # shared by both lanes
+    lanes = [(S.bm25_top_k(docs, asked, 20), 0.6), (S.tf_idf_top_k(docs, asked, 20), 0.4)]
+    return K.ranked(K.reciprocal_rank_fusion(lanes).withColumn("score", F.round("score", 8)), 10)
 
 
 _DENSE = """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),

@@ -11,6 +11,7 @@ from caseloom.operators import ranking as K
 from caseloom.operators import retrieval as S
 from caseloom.operators.relational import keep_first
 from caseloom.plans import lists as L
+from caseloom.session import written
 from caseloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -346,7 +347,7 @@ def kb_overlap(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def kb_overlap_whole(spark: SparkSession, d: str) -> DataFrame:
     """Terms shared with a query's whole text over the root of a document's number of terms."""
-    return _overlap(spark, d, L._contexts)
+    return S.overlap_top_k(L._terms(spark, d), L._contexts(spark, d), 5)
 
 
 def _overlap(spark: SparkSession, d: str, asked) -> DataFrame:
@@ -360,8 +361,8 @@ def alpha_fusion(spark: SparkSession, d: str) -> DataFrame:
     """RT22: two lanes blended by their standard scores with fixed weights."""
     w = Window.partitionBy("qid")
     lane = lambda df, n: K.ranked(df, 50).select("qid", "doc_id", K.z_score(F.col("score"), w).alias(n))
-    a = lane(S.bm25(L._index(spark, d), L._contexts(spark, d)), "a")
-    b = lane(S.tf_idf(L._index(spark, d), L._contexts(spark, d)), "b")
+    docs, asked = written(L._terms(spark, d), "terms"), written(L._contexts(spark, d), "asked")
+    a, b = lane(S.bm25_top_k(docs, asked, 50), "a"), lane(S.tf_idf_top_k(docs, asked, 50), "b")
     both = a.join(b, ["qid", "doc_id"], "full").select("qid", "doc_id", (0.7 * F.coalesce("a", F.lit(0.0)) + 0.3 * F.coalesce("b", F.lit(0.0))).alias("score"))
     return K.ranked(both, 10)
 
