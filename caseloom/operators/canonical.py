@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.session import written
+from caseloom.session import spread, written
 
 # Words that hedge or annotate a value and name nothing themselves.
 QUALIFIERS = [
@@ -134,7 +134,7 @@ def map_values(values: DataFrame, catalog: DataFrame, threshold: float = 0.35, m
     posting = written(entries.join(weights, ["list", "gram"]), "postings")
     norms = posting.groupBy("list", "entry").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("entry_norm"))
 
-    asked = open_.select("list", "form", "long", F.explode(_grams(F.col("long"))).alias("gram")).join(sizes, "list").join(weights, ["list", "gram"], "left")
+    asked = spread(open_).select("list", "form", "long", F.explode(_grams(F.col("long"))).alias("gram")).join(sizes, "list").join(weights, ["list", "gram"], "left")
     asked = asked.withColumn("w", F.coalesce("w", F.log1p("forms")))
     asked_norm = asked.groupBy("list", "form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = (
