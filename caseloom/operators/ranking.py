@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseloom.session import written
+
 
 def by_score(query: str = "qid", score: str = "score", item: str = "doc_id") -> Window:
     """The total order of every list: score down, then item."""
@@ -83,3 +85,17 @@ def diverse_texts(df: DataFrame, k: int, bound: float, pool: int = 64) -> DataFr
     rest = F.filter("l", lambda x: ~F.exists("t", lambda y: y["rank"] == x["rank"]))
     both = lists.withColumn("t", taken).select("qid", F.posexplode(F.slice(F.concat("t", rest), 1, k)).alias("p", "x"))
     return both.select("qid", "x.doc_id", "x.score", (F.col("p") + 1).alias("place"))
+
+
+def running_totals(df: DataFrame, order: Sequence[str], size: Column | None = None) -> DataFrame:
+    """``df`` with ``ahead``: the sum of ``size`` (rows by default) over all rows before each in ``order``.
+
+    The rows are parted by ranges of the order and written; every part is
+    summed by itself and shifted by the totals of the parts before it, so no
+    task sorts the whole. Equal rows count in any order.
+    """
+    parts = written(df.withColumn("_s", F.lit(1) if size is None else size).repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over one row per part
+    shift = parts.groupBy("_p").agg(F.sum("_s").alias("_t")).select("_p", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_shift"))
+    return parts.withColumn("_in", F.coalesce(F.sum("_s").over(inside), F.lit(0))).join(shift, "_p").withColumn("ahead", F.col("_in") + F.col("_shift")).drop("_s", "_p", "_in", "_shift")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from caseloom.operators.ranking import running_totals
 from caseloom.operators import relational as R
 from caseloom.sources.tables import table
 
@@ -300,10 +301,9 @@ def pearson(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _average_rank(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Distinct values with their average rank; only distinct values are ordered."""
+    """Distinct values with their average rank; only distinct values are ordered, in ranges."""
     n = rows.groupBy(value).agg(F.count("*").alias("n"))
-    ahead = F.coalesce(F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return n.select(value, (ahead + (F.col("n") + 1) / 2).alias(name))
+    return running_totals(n, [value], F.col("n")).select(value, (F.col("ahead") + (F.col("n") + 1) / 2).alias(name))
 
 
 @query("""WITH r AS (SELECT (rank() OVER (ORDER BY l_quantity)) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a,

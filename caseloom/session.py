@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
+_RUNS: list[str] = []
+
+
+@contextlib.contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder in the shared one for the tables that are ``written`` inside the ``with``, deleted at its end.
+
+    Write or fetch results inside: they are read from these tables.
+    """
+    path = f"{checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
+    _RUNS.append(path)
+    try:
+        yield path
+    finally:
+        _RUNS.remove(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and drop its lineage."""
     checkpoint_dir(df.sparkSession)
@@ -41,7 +62,7 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     columns, and its statistics give later joins a proven size.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_RUNS[-1] if _RUNS else checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

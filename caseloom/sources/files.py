@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from caseloom.operators.ranking import running_totals
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, mode: str = "strict") -> DataFrame:
     """JSON lines under a schema. ``strict`` fails on a bad line, ``skip`` leaves it out, ``keep`` adds it as ``bad_line``."""
@@ -27,7 +29,7 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
     """``(seq, id)``: distinct ids of a text file, in the order in which they first occur."""
     lines = spark.read.text(path).select(F.trim("value").alias("id"), F.monotonically_increasing_id().alias("_at")).where("id <> ''")
     first = lines.groupBy("id").agg(F.min("_at").alias("_at"))
-    return first.select(F.row_number().over(Window.orderBy("_at")).alias("seq"), "id")
+    return running_totals(first, ["_at"]).select((F.col("ahead") + 1).alias("seq"), "id")
 
 
 def unique_keyed(df: DataFrame, key: str) -> DataFrame:

@@ -147,3 +147,23 @@ def test_folds_share_out_every_stratum(spark):
     rows = spark.createDataFrame([(i, "a" if i < 900 else "b" if i < 960 else "rare") for i in range(965)], "k int, s string")
     n = {(r["stratum"], r["fold"]): r["count"] for r in sampling.stratified_folds(rows, "k", "s", 5, 30).groupBy("stratum", "fold").count().collect()}
     assert all(abs(n["a", f] - 180) <= 16 for f in range(5)) and sum(v for (s, _), v in n.items() if s == "merged") == 5
+
+
+def test_running_totals_like_one_window(spark):
+    rows = [(i * 7 % 1000, i % 13) for i in range(1000)]
+    got = {r["v"]: r["ahead"] for r in ranking.running_totals(spark.createDataFrame(rows, "v int, n int"), ["v"], F.col("n")).collect()}
+    total, want = 0, {}
+    for v, n in sorted(rows):
+        want[v] = total
+        total += n
+    assert got == want and ranking.running_totals(spark.createDataFrame([], "v int"), ["v"]).count() == 0
+
+
+def test_run_folder_is_deleted(spark):
+    import os
+
+    from caseloom import session
+
+    with session.run_folder(spark) as path:
+        assert session.written(spark.range(5), "x").count() == 5 and os.listdir(path.removeprefix("file:"))
+    assert not os.path.exists(path.removeprefix("file:")) and session.written(spark.range(3)).count() == 3
