@@ -355,5 +355,5 @@ def repair_encoding(documents: DataFrame, id_col: str = "doc_id", text: str = "t
                 yield pd.DataFrame(rows, columns=["doc_id", "recoverable", "garbled_runs", "mappings", "restored"][: len(rows[0])])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, recoverable int, garbled_runs bigint, mappings string" + ", restored string" * with_text
-    return spread(documents.where(F.col(text).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))).mapInPandas(run, schema)
+    schema = "doc_id string, recoverable int, garbled_runs bigint, mappings string" + ", restored string" * with_text
+    return spread(documents.where(F.col(text).isNotNull()).select(F.col(id_col).cast("string").alias("doc_id"), F.col(text).alias("text"))).mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))

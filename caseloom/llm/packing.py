@@ -104,7 +104,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, group_tokens: int = 4_000_0
     pieces = (
         sizes.withColumn("full", F.floor(F.col("tokens") / capacity).cast("int"))
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.when((F.col("tokens") % capacity == 0), F.col("full") - 1).otherwise(F.col("full")))))
-        .select("doc_id", "source", "cluster", "piece", (F.col("piece") * F.lit(capacity).cast("bigint")).alias("first_token"), F.least(F.lit(capacity).cast("bigint"), F.col("tokens") - F.col("piece") * capacity).alias("tokens"))
+        .select(F.col("doc_id").cast("string").alias("doc_id"), "source", "cluster", "piece", (F.col("piece") * F.lit(capacity).cast("bigint")).alias("first_token"), F.least(F.lit(capacity).cast("bigint"), F.col("tokens") - F.col("piece") * capacity).alias("tokens"))
         .withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
     )
     whole = pieces.where(F.col("tokens") == capacity).select(F.concat_ws("-", F.lit("f"), "doc_id", "piece").alias("container"), "doc_id", "piece", "first_token", "tokens")
@@ -115,8 +115,8 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, group_tokens: int = 4_000_0
         g = pdf["g"].iloc[0] if len(pdf) else 0
         return pd.DataFrame({"container": [f"{g}-{b}" for b in bins], "doc_id": pdf["doc_id"].tolist(), "piece": pdf["piece"].tolist(), "first_token": pdf["first_token"].tolist(), "tokens": pdf["tokens"].tolist()})
 
-    rest = pieces.where(F.col("tokens") < capacity).groupBy("g").applyInPandas(run, "container string, doc_id bigint, piece int, first_token bigint, tokens bigint")
-    return written(whole.union(rest), "packed")
+    rest = pieces.where(F.col("tokens") < capacity).groupBy("g").applyInPandas(run, "container string, doc_id string, piece int, first_token bigint, tokens bigint")
+    return written(whole.union(rest).withColumn("doc_id", F.col("doc_id").cast("bigint")), "packed")  # ids were text, as nulls beside them make floats of numbers
 
 
 def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -57,6 +57,7 @@ def token_sizes(documents: DataFrame, tokenizer_path: str | None = None, pattern
             })
 
     rows = documents.where(F.col(text).isNotNull() & (F.col(text) != "")).select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.lower(F.trim(F.col(source))), F.lit("")).alias("source"), F.col(text).alias("text")
+        F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.lower(F.trim(F.col(source))), F.lit("")).alias("source"), F.col(text).alias("text")
     )
-    return written(spread(rows).mapInPandas(run, "doc_id bigint, source string, cluster string, tokens bigint"), "token-sizes")
+    sizes = spread(rows).mapInPandas(run, "doc_id string, source string, cluster string, tokens bigint")  # ids as text: nulls beside them would make floats of numbers
+    return written(sizes.withColumn("doc_id", F.col("doc_id").cast("bigint")), "token-sizes")

@@ -262,6 +262,15 @@ def test_wordings_and_languages_that_training_has_not_seen(spark):
     assert set(tagger.defects([q for q, *_ in made], [a for _, a, _ in made])) <= {None, "empty"} and query
 
 
+def test_large_ids_beside_nulls_stay(spark):
+    big = 2**53 + 1
+    rows = [(big, "q", None, "x \ufffd", "s"), (None, "q", None, "y \ufffd", "s")]
+    df = spark.createDataFrame(rows, "id bigint, query string, answer string, text string, source string").coalesce(1)
+    assert {r[0] for r in pairs.find_broken_pairs(df, "id").collect()} == {big, None}
+    assert {r[0] for r in mojibake.repair_encoding(df, "id").collect()} == {big, None}
+    assert {r[0] for r in tokens.token_sizes(df, id_col="id").collect()} == {big, None}
+
+
 def test_answers_that_state_nothing():
     for text in [None, "", " \n\t", "N/A", "null", "Rank 1:\nRank 2:", "Reasoning:", "**Rank 1:** none", "<answer></answer>"]:
         assert pairs.states_nothing(text), text
