@@ -276,6 +276,7 @@ def correction_pairs(words: DataFrame, lead: float = 8.0) -> DataFrame:
     asked = asked.withColumn("r", F.row_number().over(rank)).where((F.col("r") <= SPOILT + 1) | (F.length("word") <= 7)).select("word", "n", "gram")
     near = (F.abs(F.length("word") - F.length("cand")) <= 2) & (F.col("cand_n") >= lead * F.greatest("n", F.lit(0.2))) & (F.col("word") != F.col("cand"))
     joined = asked.join(index, "gram").where(near).groupBy("word", "n", "cand", "cand_n").agg(F.count("*").alias("shared"))
+    joined = joined.where(F.levenshtein("word", "cand", 6) >= 0)  # three parts of two letters are six edits at most
     pairs = joined.mapInPandas(
         _pair_features,
         "word string, cand string, n bigint, cand_n bigint, parts array<string>, chunks double, change double, pre double, post double, length double, shared double",
