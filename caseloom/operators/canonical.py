@@ -143,7 +143,7 @@ def map_values(values: DataFrame, catalog: DataFrame, threshold: float = 0.35, m
         .groupBy("list", "form", "long", "entry_id", "entry")
         .agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
     )
-    scored = dots.join(asked_norm, ["list", "form"]).join(norms, ["list", "entry"]).withColumn("score", F.col("dot") / (F.col("norm") * F.col("entry_norm")))
+    scored = dots.join(asked_norm, ["list", "form"]).join(norms, ["list", "entry"]).withColumn("score", F.col("dot") / (F.col("norm") * F.col("entry_norm"))).where(F.col("score") >= threshold - margin)  # lower ones neither pass nor stand in the way
     a, b = F.replace("long", F.lit(" "), F.lit("")), F.replace("entry", F.lit(" "), F.lit(""))
     apart = F.levenshtein(a, b)
     slips = F.when(_letters(a) == _letters(b), F.ceil(apart / 2).cast("int")).otherwise(apart)
