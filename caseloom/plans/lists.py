@@ -89,7 +89,7 @@ def bm25_search(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def bm25_search_whole(spark: SparkSession, d: str) -> DataFrame:
     """RT7, RT8, TK5: BM25 top ten of the queries' whole texts in blocks of documents and queries."""
-    return S.bm25_top_k(_terms(spark, d), _contexts(spark, d), 10)
+    return S.bm25_top_k(written(_terms(spark, d), "terms"), _contexts(spark, d), 10)
 
 
 @query(_INDEX + _TFIDF + " SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM tf QUALIFY rank <= 10")
@@ -101,7 +101,7 @@ def tfidf_search(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def tfidf_search_whole(spark: SparkSession, d: str) -> DataFrame:
     """RT21: tf-idf cosine top ten of the queries' whole texts."""
-    return S.tf_idf_top_k(_terms(spark, d), _contexts(spark, d), 10)
+    return S.tf_idf_top_k(written(_terms(spark, d), "terms"), _contexts(spark, d), 10)
 
 
 @query(_INDEX + _BM25 + _TFIDF + """,
