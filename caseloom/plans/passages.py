@@ -86,8 +86,8 @@ def answer_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """SC39: an answer without its query in front, from the last "final answer" on, its sentences once each."""
     a = table(spark, d, "answer_records").where("answer is not null").select("answer_id", "query", "answer").distinct()
     bare = F.when(F.col("query").isNotNull() & (F.col("query") != "") & F.startswith("answer", F.col("query")), F.expr("substring(answer, length(query) + 1)")).otherwise(F.col("answer"))
-    t = F.trim(F.regexp_replace(bare, r"(?is)^.*final answer\s*:\s*", ""))
-    parts = F.filter(F.transform(F.split(F.lower("t"), r"[.!?\n]+"), lambda x: F.trim(x)), lambda x: x != "")
+    t = T.trimmed(F.regexp_replace(bare, r"(?isu)^.*final answer[ \t\n\f\r]*:[ \t\n\f\r]*", ""))
+    parts = F.filter(F.transform(F.split(F.lower("t"), r"[.!?\n]+"), T.trimmed), lambda x: x != "")
     return a.select("answer_id", t.alias("t")).select("answer_id", F.length("t").cast("bigint").alias("chars"), F.array_join(F.array_sort(F.array_distinct(parts)), "|").alias("sentences"))
 
 
