@@ -233,7 +233,7 @@ def phase_override(spark: SparkSession, d: str) -> DataFrame:
     """JN20, EV42: three phases merged by key, the latest that says something wins, and whether the first two are there."""
     a = table(spark, d, "answer_records").groupBy("answer_id").agg(F.max("answer_format_valid").alias("v1"))
     f = table(spark, d, "format_analyses").groupBy("answer_id").agg(F.max("answer_format_valid").alias("v2"), F.lit(True).alias("there"))
-    r = table(spark, d, "answer_records").where("format_retry_count > 0").groupBy("answer_id").agg(F.max(F.length(F.trim("answer")) > 0).alias("v3"))
+    r = table(spark, d, "answer_records").where("format_retry_count > 0").groupBy("answer_id").agg(F.max(F.length(T.trimmed(F.col("answer"))) > 0).alias("v3"))
     j = a.join(f, "answer_id", "left").join(r, "answer_id", "left")
     phase = F.when(F.col("v3").isNotNull(), 3).when(F.col("v2").isNotNull(), 2).when(F.col("v1").isNotNull(), 1).otherwise(0)
     return j.select("answer_id", F.coalesce("v3", "v2", "v1").alias("valid"), phase.alias("phase"), (F.coalesce("there", F.lit(False)) & F.col("v1").isNotNull()).alias("complete"))
