@@ -137,36 +137,46 @@ class Languages:
     trigram; a language without texts has none.
     """
 
-    def __init__(self, texts: list[str], smooth: float = 0.3, sweeps: int = 2):
+    def __init__(self, texts: list[str] = (), smooth: float = 0.3, sweeps: int = 2):
+        self.smooth = smooth
+        self.settle(np.zeros((len(SEEDS), TRIGRAMS)))
+        for sweep in range(sweeps if len(texts) else 0):
+            self.settle(self.counts(texts, sweep == 0))
+
+    def settle(self, counts: np.ndarray) -> None:
+        """Take the profiles from ``counts`` of trigrams by language; languages without any have none."""
+        self.present = np.flatnonzero(counts.sum(axis=1))
+        c = counts[self.present] + self.smooth
+        self.profiles = np.column_stack([np.log(c / c.sum(axis=1, keepdims=True)), np.zeros(len(c))]).astype(np.float32)
+        self.kinds = [list(SEEDS)[k] for k in self.present]
+        if not len(self.present):
+            self.profiles, self.kinds = np.zeros((1, TRIGRAMS + 1), np.float32), ["none"]
+
+    def counts(self, texts: list[str], seeded: bool) -> np.ndarray:
+        """Trigrams by language of ``texts``: those that closed-class words pick, or those that fit the profiles."""
         w = Words(texts)
         n = len(texts)
-        of_word = np.searchsorted(w.starts_of_texts, w.starts, side="right") - 1
-        votes = np.zeros((n, len(SEEDS)))
-        for k, words in enumerate(SEEDS.values()):
-            others = {x for j, other in enumerate(SEEDS.values()) if j != k for x in other.split()}
-            known = np.sort(np.array([text_hash(x) for x in words.split() if x not in others], np.uint64))
-            votes[:, k] = np.bincount(of_word[_among(_runs(w.hashes, 1), known)], minlength=n)
-        best = votes.argmax(axis=1)
-        top = votes[np.arange(n), best]
-        sure = (top >= 4) & (top >= 3 * (np.sort(votes, axis=1)[:, -2]))
-        group = np.where(sure, best, -1)
         owner = np.searchsorted(w.starts_of_texts, np.arange(len(w.trigrams)), side="right") - 1
         keep = w.trigrams < TRIGRAMS
         owner, ids = owner[keep], w.trigrams[keep]
-        for _ in range(sweeps):
-            kinds = np.unique(group[group >= 0])
-            rows = []
-            for k in kinds:
-                c = np.bincount(ids[group[owner] == k], minlength=TRIGRAMS) + smooth
-                rows.append(np.append(np.log(c / c.sum()), 0.0))
-            self.profiles = np.array(rows, np.float32).reshape(len(kinds), TRIGRAMS + 1)
-            self.kinds = [list(SEEDS)[k] for k in kinds]
-            if not len(kinds):
-                self.profiles, self.kinds = np.zeros((1, TRIGRAMS + 1), np.float32), ["none"]
-                break
+        if seeded:
+            of_word = np.searchsorted(w.starts_of_texts, w.starts, side="right") - 1
+            votes = np.zeros((n, len(SEEDS)))
+            for k, words in enumerate(SEEDS.values()):
+                others = {x for j, other in enumerate(SEEDS.values()) if j != k for x in other.split()}
+                known = np.sort(np.array([text_hash(x) for x in words.split() if x not in others], np.uint64))
+                votes[:, k] = np.bincount(of_word[_among(_runs(w.hashes, 1), known)], minlength=n)
+            best = votes.argmax(axis=1)
+            top = votes[np.arange(n), best]
+            sure = (top >= 4) & (top >= 3 * (np.sort(votes, axis=1)[:, -2]))
+            group = np.where(sure, best, -1)
+        elif len(self.present):
             fit = np.array([np.bincount(owner, row[ids], n) for row in self.profiles])
-            group = np.where(np.bincount(owner, minlength=n) >= 30, kinds[fit.argmax(axis=0)], -1)
-        self.groups = group
+            group = np.where(np.bincount(owner, minlength=n) >= 30, self.present[fit.argmax(axis=0)], -1)
+        else:
+            group = np.full(n, -1)
+        kind = group[owner]
+        return np.bincount(kind[kind >= 0] * TRIGRAMS + ids[kind >= 0], minlength=len(SEEDS) * TRIGRAMS).reshape(len(SEEDS), TRIGRAMS)
 
     def of(self, texts: list[str]) -> np.ndarray:
         """The profile that fits each text best."""
@@ -345,11 +355,10 @@ def encode(queries: list[str], answers: list[str], languages: Languages, names:
     return Encoded(lengths, ids[order], np.bincount(where, minlength=c), spans[:, 0] - a.starts_of_texts[owner], spans[:, 1] - spans[:, 0], np.maximum(n, (spans[:, 1] - label_end) // 10), rank, named | worded)  # scripts without blanks have long words
 
 
-def typical_fit(texts: list[str], languages: Languages) -> float:
-    """The median over ``texts`` of the mean log probability of their trigrams in the language that fits them best."""
+def best_fits(texts: list[str], languages: Languages) -> np.ndarray:
+    """The mean log probability of the trigrams of each of ``texts`` in the language that fits it best; short texts have none."""
     w = Words([t.lower() for t in texts])
     logs, count = languages.sums(w.trigrams)
     s, e = np.minimum(w.starts_of_texts[:-1], len(w.trigrams)), np.minimum(w.starts_of_texts[1:], len(w.trigrams))
     size = count[e] - count[s]
-    best = (logs[:, e] - logs[:, s]).max(axis=0)[size > 30] / size[size > 30]
-    return float(np.median(best)) if len(best) else -8.0
+    return (logs[:, e] - logs[:, s]).max(axis=0)[size > 30] / size[size > 30]

@@ -20,9 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.clauses import BINS, PLACEHOLDER, WIDTH, Encoded, Languages, Names, encode, typical_fit
+from caseloom.llm.clauses import BINS, PLACEHOLDER, SEEDS, TRIGRAMS, WIDTH, Encoded, Languages, Names, best_fits, encode
 from caseloom.llm.crf import ChainCRF
-from caseloom.llm.models import bounded_sample
 from caseloom.session import spread, written
 
 TAGS = ["answer", "refusal", "echo", "foreign", "unfinished"]
@@ -291,31 +290,65 @@ def rank_names(pairs: DataFrame, answer: str = "answer", least_share: float = 1e
     return [r["name"] for r in rows if not PLACEHOLDER.match(r["name"])]
 
 
-def fit_tagger(pairs: DataFrame, training_rows: int = 4_000, first_rows: int = 1_500, most_clauses: int = 20, seed: int = 11) -> Tagger:
-    """Fit on at most ``training_rows`` pairs of ``pairs(query, answer)``, the first by a hash of query and answer.
+def _slices(frames: Iterator[pd.DataFrame], columns: list[str], slice_chars: int = 1_500_000) -> Iterator[pd.DataFrame]:
+    """The rows of ``frames`` in parts of about ``slice_chars`` characters."""
+    for whole in frames:
+        chars = sum(whole[c].str.len().fillna(0) for c in columns).cumsum().to_numpy()
+        for _, part in whole.groupby(chars // slice_chars, sort=False):
+            yield part
 
-    A first field learns from spoilt pairs of ``first_rows`` of those that name diseases in rank
-    lines. It then tags the whole sample: pairs that it finds sound and that
+
+def learnt_languages(texts: DataFrame, sweeps: int = 2) -> Languages:
+    """The profiles of all ``texts(text)``, counted in tasks; only the sums reach the driver."""
+    out = Languages()
+    for sweep in range(sweeps):
+        seen = texts.sparkSession.sparkContext.broadcast(out)
+
+        def run(frames: Iterator[pd.DataFrame], seeded: bool = sweep == 0, seen=seen) -> Iterator[pd.DataFrame]:
+            total = np.zeros(len(SEEDS) * TRIGRAMS, np.int64)
+            for part in _slices(frames, ["text"]):
+                total += seen.value.counts([t.lower() for t in part["text"]], seeded).ravel()
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"at": at, "n": total[at]})
+
+        rows = texts.mapInPandas(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()
+        counts = np.zeros(len(SEEDS) * TRIGRAMS)
+        counts[[r["at"] for r in rows]] = [r["n"] for r in rows]
+        out.settle(counts.reshape(len(SEEDS), TRIGRAMS))
+    return out
+
+
+def typical_fit(texts: DataFrame, languages: Languages) -> float:
+    """The median over all ``texts(text)`` of how well their language fits them, to three places."""
+    known = texts.sparkSession.sparkContext.broadcast(languages)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _slices(frames, ["text"]):
+            yield pd.DataFrame({"fit": np.round(best_fits(part["text"].tolist(), known.value), 3)})
+
+    rows = texts.mapInPandas(run, "fit double").groupBy("fit").agg(F.count("*").alias("n")).orderBy("fit").collect()
+    sums = np.cumsum([r["n"] for r in rows])
+    return float(np.mean([rows[int(np.searchsorted(sums, k, side="right"))]["fit"] for k in ((sums[-1] - 1) // 2, sums[-1] // 2)])) if rows else -8.0
+
+
+def common_words(queries: DataFrame, share: float = 0.005) -> list[str]:
+    """Words that more than ``share`` of all ``queries(text)`` hold."""
+    words = queries.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))).alias("word"))
+    return [r["word"] for r in words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > share * queries.count()).collect()]
+
+
+def fit_share(sample: list[tuple[str, str]], known: list[str], tagger: Tagger, most_clauses: int, random: np.random.Generator) -> tuple[ChainCRF, np.ndarray]:
+    """The field that the pairs of one share teach, and how often it saw each feature.
+
+    A first field learns from spoilt pairs of those that name diseases in rank
+    lines. It then tags the whole share: pairs that it finds sound and that
     name a disease are spoilt anew, its refusals are kept as examples of their wording, the other broken
     ones are left out; the second field learns from these.
     """
-    known = rank_names(pairs.where("answer is not null"))
-    rows = bounded_sample(pairs.where("answer is not null").select("query", "answer"), ["query", "answer"], training_rows).collect()
-    sample = [(r["query"] or "", r["answer"]) for r in rows if not states_nothing(r["answer"])]
-    texts = [t.lower() for p in sample for t in p if len(t) < 20_000]
-    languages = Languages(texts)
-    asked: dict[str, int] = {}
-    for q, _ in sample:
-        for w in set(_WORD.findall(q.lower())):
-            asked[w] = asked.get(w, 0) + 1
-    names = Names(known, (w for w, n in asked.items() if n > 0.005 * len(sample)))
-    tagger = Tagger(ChainCRF(WIDTH, len(TAGS)), languages, names, typical_fit([q for q, _ in sample if q], languages))
     listed = set(known)
     sure = [p for p in sample if any(" ".join(_WORD.findall(v.lower())) in listed for v in _RANK.findall(p[1]))] or sample
-    random = np.random.default_rng(seed)
-    sure = sure[:first_rows]
-    examples = [Example(q, a) for q, a in sure] + spoilt(sure, languages, known, random)
-    tagger.field.fit(*_training(examples, tagger, most_clauses), epochs=6, free=FREE, least=LEAST)
+    examples = [Example(q, a) for q, a in sure] + spoilt(sure, tagger.languages, known, random)
+    tagger.field = ChainCRF(WIDTH, len(TAGS)).fit(*_training(examples, tagger, most_clauses), epochs=6 if len(sure) <= 1_500 else 3, free=FREE, least=LEAST)
     sound, refused = [], []
     for at in range(0, len(sample), 500):
         part = sample[at : at + 500]
@@ -328,8 +361,56 @@ def fit_tagger(pairs: DataFrame, training_rows: int = 4_000, first_rows: int = 1
             elif d == "refusal":
                 starts = [*x.start[s : s + n].tolist(), len(a) + 1]
                 refused.append(Example(q, a, REFUSAL, spans=tuple((starts[k], starts[k + 1], int(tags[s + k])) for k in range(n))))
-    examples = [Example(q, a) for q, a in sound] + 2 * refused + spoilt(sound, languages, known, random)
-    tagger.field = ChainCRF(WIDTH, len(TAGS)).fit(*_training(examples, tagger, most_clauses), epochs=9, free=FREE, least=LEAST)
+    examples = [Example(q, a) for q, a in sound] + 2 * refused + spoilt(sound, tagger.languages, known, random)
+    training = _training(examples, tagger, most_clauses)
+    return ChainCRF(WIDTH, len(TAGS)).fit(*training, epochs=9, free=FREE, least=LEAST), np.bincount(training[0], minlength=WIDTH)
+
+
+def fit_tagger(pairs: DataFrame, share_rows: int = 4_000, most_clauses: int = 20, seed: int = 11) -> Tagger:
+    """Fit on all distinct pairs of ``pairs(query, answer)``.
+
+    They are dealt by hash into shares of about ``share_rows``; every share
+    teaches a field of its own in a task, and the fields are averaged, the
+    weights of a feature by how often each of them saw it. Languages, names,
+    common words and the typical fit are counted over all pairs before.
+    """
+    spark = pairs.sparkSession
+    known = rank_names(pairs.where("answer is not null"))
+    digest = F.xxhash64("query", "answer")  # as in bounded samples: null and empty queries differ
+    sample = written(pairs.where("answer is not null").select("query", "answer").distinct().withColumn("digest", digest), "distinct-pairs")
+    said = sample.where(F.col("answer").rlike(r"[\p{L}\p{N}]"))
+    queries = spread(said.select(F.coalesce("query", F.lit("")).alias("text")))
+    languages = learnt_languages(queries.unionAll(spread(said.select(F.col("answer").alias("text")))))
+    tagger = Tagger(ChainCRF(WIDTH, len(TAGS)), languages, Names(known, common_words(queries)), typical_fit(queries, languages))
+    shares = max(1, -(-sample.count() // share_rows))
+    given = spark.sparkContext.broadcast((known, tagger))
+
+    def learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        known, tagger = given.value
+        rows = rows.sort_values(["digest", "answer"])
+        of = [(q or "", a) for q, a in zip(rows["query"], rows["answer"]) if not states_nothing(a)]
+        field, seen = fit_share(of, known, tagger, most_clauses, np.random.default_rng(seed + int(key[0])))
+        n = float(seen.sum())
+        parts = [field.emit * seen[:, None], seen, field.step * n, field.start * n, field.end * n, [n]]
+        return pd.DataFrame({"sums": [np.concatenate([np.ravel(p) for p in parts]).astype(np.float64).tobytes()]})
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = [np.frombuffer(x, np.float64) for frame in frames for x in frame["sums"]]
+        if sums:
+            yield pd.DataFrame({"sums": [np.sum(sums, axis=0).tobytes()]})
+
+    share = F.pmod("digest", F.lit(shares)).alias("share")
+    dealt = sample.select("query", "answer", "digest", share).repartition(min(4 * shares, 50 * spark.sparkContext.defaultParallelism), "share")
+    fields = written(dealt.groupBy("share").applyInPandas(learn, "sums binary").mapInPandas(add, "sums binary"), "fields")  # all at once, then fetched one by one
+    total = 0.0
+    for row in fields.toLocalIterator():
+        total = total + np.frombuffer(row["sums"], np.float64)
+    if np.ndim(total):
+        k = len(TAGS)
+        emit, seen, step, start, end, n = np.split(total, np.cumsum([WIDTH * k, WIDTH, k * k, k, k]))
+        n = max(float(n[0]), 1.0)
+        tagger.field.emit = (emit.reshape(WIDTH, k) / np.maximum(seen, 1)[:, None]).astype(np.float32)
+        tagger.field.step, tagger.field.start, tagger.field.end = step.reshape(k, k) / n, start / n, end / n
     return tagger
 
 
@@ -346,12 +427,10 @@ def find_broken_pairs(records: DataFrame, id_col: str = "answer_id", query: str
     tagger = spark.sparkContext.broadcast(fit_tagger(pairs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            chars = (whole["answer"].str.len().fillna(0) + whole["query"].str.len().fillna(0)).cumsum().to_numpy()
-            for _, batch in whole.groupby(chars // slice_chars, sort=False):
-                found = tagger.value.defects(batch["query"].tolist(), batch["answer"].tolist())
-                rows = [(k, d) for k, d in zip(batch["answer_id"].tolist(), found) if d]
-                yield pd.DataFrame(rows, columns=["answer_id", "defect"])
+        for batch in _slices(batches, ["answer", "query"], slice_chars):
+            found = tagger.value.defects(batch["query"].tolist(), batch["answer"].tolist())
+            rows = [(k, d) for k, d in zip(batch["answer_id"].tolist(), found) if d]
+            yield pd.DataFrame(rows, columns=["answer_id", "defect"])
 
     kind = records.schema[id_col].dataType.simpleString()
     return spread(pairs).mapInPandas(run, "answer_id string, defect string").withColumn("answer_id", F.col("answer_id").cast(kind))

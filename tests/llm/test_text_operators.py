@@ -377,3 +377,19 @@ def test_registered_queries_run(spark):
 
     for name in ("p1_found", "p6_report", "p7_report", "p8_found"):
         assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_all_pairs_teach_the_field(spark):
+    made = made_pairs(4, 1500)
+    tagger = pairs.fit_tagger(spark.createDataFrame([(q, a) for q, a, _ in made], "query string, answer string"), share_rows=500)
+    got = tagger.defects([q for q, *_ in made], [a for _, a, _ in made])
+    for kind in {k for *_, k in made if k}:
+        held = [g for g, (*_, k) in zip(got, made) if k == kind]
+        assert sum(g == kind for g in held) >= 0.9 * len(held), kind
+    assert sum(g is not None and k is None for g, (*_, k) in zip(got, made)) <= 0.01 * len(made)
+
+
+def test_every_text_counts_for_the_languages(spark):
+    rows = [(f"The ulcer of patient {i} was on the arm and it has been there for {i} days.",) for i in range(9_000)] + [("Die Wunde ist nicht verheilt und wurde mit der Salbe auf dem Arm für eine Woche von dem Arzt behandelt.",)] * 2
+    found = pairs.learnt_languages(spark.createDataFrame(rows, "text string").repartition(4))
+    assert found.kinds == ["en", "de"]
