@@ -11,7 +11,8 @@ import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import cached_property
 
 import numpy as np
 
@@ -74,19 +75,43 @@ class Words:
             _CLASSES.append(_word_classes())
         self.text = "\n".join(texts) + "\n"
         self.starts_of_texts = np.cumsum([0] + [len(t) + 1 for t in texts])
-        codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind = _CLASSES[0][np.minimum(codes, 65535)]
-        word = (kind > 0).astype(np.int8)
-        edge = np.diff(word, prepend=0, append=0)
-        self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        power, inverse = _powers(len(codes))
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)], out=sums[1:])
-        self.hashes = _mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
-        letters = np.where(kind == 2, codes, 32).astype(np.uint32)
-        triple = letters[:-2] * np.uint32(0x9E3779B1) + letters[1:-1] * np.uint32(0x85EBCA6B) + letters[2:] * np.uint32(0xC2B2AE35) if len(letters) > 2 else np.zeros(0, np.uint32)
-        valid = (kind[:-2] == 2).astype(np.int8) + (kind[1:-1] == 2) + (kind[2:] == 2) >= 2 if len(letters) > 2 else np.zeros(0, bool)
-        self.trigrams = np.where(valid, (triple >> np.uint32(17)).astype(np.int32), TRIGRAMS)  # the last id is none
+        self.codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.kind = _CLASSES[0][np.minimum(self.codes, 65535)]
+
+    @cached_property
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        change = np.flatnonzero(np.diff(self.kind > 0, prepend=False, append=False))
+        return change[::2], change[1::2]
+
+    @property
+    def starts(self) -> np.ndarray:
+        return self.bounds[0]
+
+    @property
+    def ends(self) -> np.ndarray:
+        return self.bounds[1]
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        power, inverse = _powers(len(self.codes))
+        sums = np.zeros(len(self.codes) + 1, np.uint64)
+        np.cumsum((self.codes.astype(np.uint64) + np.uint64(1)) * power[: len(self.codes)], out=sums[1:])
+        return _mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+
+    @cached_property
+    def trigrams(self) -> np.ndarray:
+        if len(self.codes) < 3:
+            return np.zeros(0, np.int32)
+        letter = self.kind == 2
+        letters = np.where(letter, self.codes, np.uint32(32))
+        triple = letters[:-2] * np.uint32(0x9E3779B1) + letters[1:-1] * np.uint32(0x85EBCA6B) + letters[2:] * np.uint32(0xC2B2AE35)
+        a, b, c = letter[:-2], letter[1:-1], letter[2:]
+        return np.where((a & (b | c)) | (b & c), (triple >> np.uint32(17)).astype(np.int32), np.int32(TRIGRAMS))  # the last id is none
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray]:
+        """The trigrams of each text, from and to."""
+        at = np.minimum(self.starts_of_texts, len(self.trigrams))
+        return at[:-1], at[1:]
 
     def pairs(self) -> np.ndarray:
         """Hash of every word with the next one."""
@@ -152,44 +177,56 @@ class Languages:
         if not len(self.present):
             self.profiles, self.kinds = np.zeros((1, TRIGRAMS + 1), np.float32), ["none"]
 
-    def counts(self, texts: list[str], seeded: bool) -> np.ndarray:
-        """Trigrams by language of ``texts``: those that closed-class words pick, or those that fit the profiles."""
+    def counts(self, texts: list[str], seeded: bool, times: np.ndarray | None = None) -> np.ndarray:
+        """Trigrams by language of ``texts``, each given so many ``times``: those that closed-class words pick, or those that fit the profiles."""
         w = Words(texts)
         n = len(texts)
-        owner = np.searchsorted(w.starts_of_texts, np.arange(len(w.trigrams)), side="right") - 1
-        keep = w.trigrams < TRIGRAMS
-        owner, ids = owner[keep], w.trigrams[keep]
+        s, e = w.spans()
         if seeded:
-            of_word = np.searchsorted(w.starts_of_texts, w.starts, side="right") - 1
-            votes = np.zeros((n, len(SEEDS)))
-            for k, words in enumerate(SEEDS.values()):
-                others = {x for j, other in enumerate(SEEDS.values()) if j != k for x in other.split()}
-                known = np.sort(np.array([text_hash(x) for x in words.split() if x not in others], np.uint64))
-                votes[:, k] = np.bincount(of_word[_among(_runs(w.hashes, 1), known)], minlength=n)
+            votes = self._votes(w, n)
             best = votes.argmax(axis=1)
             top = votes[np.arange(n), best]
             sure = (top >= 4) & (top >= 3 * (np.sort(votes, axis=1)[:, -2]))
             group = np.where(sure, best, -1)
         elif len(self.present):
-            fit = np.array([np.bincount(owner, row[ids], n) for row in self.profiles])
-            group = np.where(np.bincount(owner, minlength=n) >= 30, self.present[fit.argmax(axis=0)], -1)
+            logs, size = self.totals(w.trigrams, s, e)
+            group = np.where(size >= 30, self.present[logs.argmax(axis=0)], -1)
         else:
             group = np.full(n, -1)
-        kind = group[owner]
-        return np.bincount(kind[kind >= 0] * TRIGRAMS + ids[kind >= 0], minlength=len(SEEDS) * TRIGRAMS).reshape(len(SEEDS), TRIGRAMS)
+        out = np.zeros((len(SEEDS), TRIGRAMS + 1))
+        of = np.repeat(group, e - s)
+        weight = None if times is None else np.repeat(np.asarray(times, float), e - s)
+        for k in np.unique(group[group >= 0]):
+            on = of == k
+            out[k] = np.bincount(w.trigrams[on], None if weight is None else weight[on], TRIGRAMS + 1)
+        return out[:, :TRIGRAMS]
+
+    @staticmethod
+    def _votes(w: Words, n: int) -> np.ndarray:
+        """How many closed-class words of each language that no other has stand in each text."""
+        own = [(text_hash(x), k) for k, words in enumerate(SEEDS.values()) for x in words.split() if all(x not in other.split() for j, other in enumerate(SEEDS.values()) if j != k)]
+        known, kind = np.array([h for h, _ in sorted(own)], np.uint64), np.array([k for _, k in sorted(own)])
+        at = np.minimum(np.searchsorted(known, w.hashes), len(known) - 1)
+        hit = np.flatnonzero(known[at] == w.hashes)
+        of_word = np.searchsorted(w.starts_of_texts, w.starts[hit], side="right") - 1
+        return np.bincount(of_word * len(SEEDS) + kind[at[hit]], minlength=n * len(SEEDS)).reshape(n, len(SEEDS))
 
     def of(self, texts: list[str]) -> np.ndarray:
         """The profile that fits each text best."""
         w = Words([t.lower() for t in texts])
-        logs, _ = self.sums(w.trigrams)
-        at = np.minimum(w.starts_of_texts, len(w.trigrams))
-        return (logs[:, at[1:]] - logs[:, at[:-1]]).argmax(axis=0)
+        return self.totals(w.trigrams, *w.spans())[0].argmax(axis=0)
 
-    def sums(self, trigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Running log probability per language, and running count of trigrams."""
-        logs = np.zeros((len(self.profiles), len(trigrams) + 1))
-        np.cumsum(self.profiles[:, trigrams], axis=1, out=logs[:, 1:])
-        return logs, np.concatenate([[0], np.cumsum(trigrams < TRIGRAMS)])
+    def totals(self, trigrams: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability per language, and count, of the trigrams of each span; spans may be empty."""
+        count = np.zeros(len(trigrams) + 1, np.int64)
+        np.cumsum(trigrams < TRIGRAMS, out=count[1:])
+        out = np.zeros((len(self.profiles), len(starts)))
+        there = ends > starts
+        if there.any():
+            edges = np.column_stack([starts[there], ends[there]]).ravel()
+            for k, row in enumerate(self.profiles):
+                out[k, there] = np.add.reduceat(np.append(row.astype(float)[trigrams], 0.0), edges)[::2]
+        return out, count[ends] - count[starts]
 
 
 class Names:
@@ -231,16 +268,53 @@ class Encoded:
     rank: np.ndarray  # 0 none, 1 a rank line without, 2 with a value
     named: np.ndarray
 
+    @staticmethod
+    def joined(parts: list[Encoded]) -> Encoded:
+        return Encoded(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Encoded)))
+
+    def head(self, pairs: int) -> Encoded:
+        """The first ``pairs``."""
+        clauses = int(self.lengths[:pairs].sum())
+        ends = {"lengths": pairs, "ids": int(self.sizes[:clauses].sum())}
+        return Encoded(*(getattr(self, f.name)[: ends.get(f.name, clauses)] for f in fields(Encoded)))
+
 
 def _sum(owner: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, x, n)
 
 
+def _untailed(text: str) -> str:
+    """``text`` without citations, marks and blanks at its end."""
+    last = text[-1:]
+    return _TAIL.sub("", text) if last in "]*_`\u200b\ufeff" or last.isspace() else text
+
+
+_FORMS: dict[str, tuple[int, int, int, int] | None] = {}
+
+
+def _form(clause: str) -> tuple[int, int, int, int] | None:
+    """Length of the label, rank (0 none), full stop and a rank line without a value; None for citations. Clauses recur, so the last ones are kept."""
+    if clause in _FORMS:
+        return _FORMS[clause]
+    if len(_FORMS) >= 50_000:
+        _FORMS.clear()
+    form = None
+    if not _CITED.fullmatch(clause):
+        label = _LABEL.match(clause)
+        end = label.end() if label else 0
+        rank = (int(label["number"]) or 1) if label and label["rank"] else 0
+        stop = clause[-1] in ".!?。" or clause[-1] in "\"”’)]*`_" and _STOP.search(clause, max(0, len(clause) - 6)) is not None
+        form = end, rank, int(stop), int(rank > 0 and PLACEHOLDER.match(clause, end) is not None)
+    if len(clause) <= 500:
+        _FORMS[clause] = form
+    return form
+
+
 def _tail_flags(text: str, rank: int, value: str, names: Names) -> list[int]:
     """Features of how a response ends."""
-    tail = _TAIL.sub("", text)
     if rank:
         return [FLAG[f"rank{min(rank, 3)}_{names.state(value)}"]]
+    tail = _untailed(text)
     if _DOTS.search(tail):
         return [FLAG["end_dots"]]
     if _STOP.search(tail):
@@ -252,29 +326,62 @@ def _tail_flags(text: str, rank: int, value: str, names: Names) -> list[int]:
     return [FLAG[kind]] + [2 * BINS + zlib.crc32(x.encode("utf-8", "replace")) % BINS for x in seen]
 
 
-def encode(queries: list[str], answers: list[str], languages: Languages, names: Names, typical_fit: float, hidden: np.ndarray | None = None) -> Encoded:
-    """Features of the clauses of the pairs; ``hidden`` is a language profile per pair that is not to be used, or -1."""
+class Keys:
+    """A set of hashes; a table of their first bits spares most searches for others."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys)
+        bits = max(len(keys).bit_length() + 3, 8)
+        self.shift = np.uint64(64 - bits)
+        self.first = np.zeros(1 << bits, bool)
+        self.first[self.keys >> self.shift] = True
+
+    def hold(self, keys: np.ndarray) -> np.ndarray:
+        out = self.first[keys >> self.shift]
+        some = np.flatnonzero(out)
+        out[some] = _among(keys[some], self.keys)
+        return out
+
+
+class Queries:
+    """Distinct queries: their language, and the words and pairs of words that each holds, to look them up together."""
+
+    def __init__(self, queries: Iterable[str], languages: Languages, size: int = 500):
+        self.index: dict[str, int] = {}
+        for q in queries:
+            self.index.setdefault(q, len(self.index))
+        texts, keys, twos, own = list(self.index), [], [], []
+        for first in range(0, len(texts), size):
+            w = Words([x.lower() for x in texts[first : first + size]])
+            of = first + np.searchsorted(w.starts_of_texts, w.starts, side="right") - 1
+            keys.append(_mix(w.hashes ^ _salt(of)))
+            twos.append(_mix(w.pairs() ^ _salt(of[:-1])))
+            own.append(languages.totals(w.trigrams, *w.spans())[0].argmax(axis=0))
+        self.words, self.pairs = (Keys(np.concatenate([np.zeros(0, np.uint64), *x])) for x in (keys, twos))
+        self.own = np.concatenate([np.zeros(0, int), *own])
+
+
+def _salt(k: np.ndarray) -> np.ndarray:
+    return k.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def encode(queries: list[str], answers: list[str], languages: Languages, names: Names, typical_fit: float, hidden: np.ndarray | None = None, known: Queries | None = None) -> Encoded:
+    """Features of the clauses of the pairs; ``hidden`` is a language profile per pair that is not to be used, or -1; ``known`` are queries that hold all of ``queries``."""
     a = Words([x.lower() for x in answers])
-    distinct: dict[str, int] = {}
-    q_of = np.array([distinct.setdefault(q, len(distinct)) for q in queries], np.int64)
-    q = Words([x.lower() for x in distinct])
+    known = Queries(queries, languages) if known is None else known
+    q_of = np.array([known.index[q] for q in queries], np.int64)
     text = a.text
 
-    spans, label_end, rank_no, stops = [], [], [], []
+    found: list[int] = []
     for m in _CLAUSE.finditer(text):
-        s, e = m.span()
-        if _CITED.fullmatch(text, s, e):
-            continue
-        label = _LABEL.match(text, s, e)
-        spans.append((s, e))
-        label_end.append(label.end() if label else s)
-        rank_no.append((int(label["number"]) or 1) if label and label["rank"] else 0)
-        stops.append(text[e - 1] in ".!?。" or text[e - 1] in "\"”’)]*`_" and _STOP.search(text, max(s, e - 6), e) is not None)
-    spans = np.array(spans, np.int64).reshape(-1, 2)
-    label_end, rank_no, stops = np.array(label_end, np.int64), np.array(rank_no, np.int64), np.array(stops, bool)
+        if (form := _form(m[0])) is not None:
+            found += m.span()
+            found += form
+    found = np.array(found, np.int64).reshape(-1, 6)
+    spans, label_end, rank_no, stops, blank = found[:, :2], found[:, 0] + found[:, 2], found[:, 3], found[:, 4] > 0, found[:, 5] > 0
     w1 = np.searchsorted(a.starts, spans[:, 1])
     keep = w1 > np.searchsorted(a.starts, spans[:, 0])
-    spans, label_end, rank_no, stops, w1 = spans[keep], label_end[keep], rank_no[keep], stops[keep], w1[keep]
+    spans, label_end, rank_no, stops, blank, w1 = spans[keep], label_end[keep], rank_no[keep], stops[keep], blank[keep], w1[keep]
     w0 = np.searchsorted(a.starts, label_end)
     n, c = w1 - w0, len(spans)
     owner = np.searchsorted(a.starts_of_texts, spans[:, 0], side="right") - 1
@@ -286,20 +393,14 @@ def encode(queries: list[str], answers: list[str], languages: Languages, names:
     inner = np.ones(len(clause), bool)
     inner[np.cumsum(n)[n > 0] - 1] = False  # the last word of a clause begins no pair
     two = a.pairs()
-    salt = lambda k: k.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    q_word = np.searchsorted(q.starts_of_texts, q.starts, side="right") - 1
-    q_two = q.pairs()
-    single = _sum(clause, _among(_mix(a.hashes[at] ^ salt(q_of[owner[clause]])), np.unique(_mix(q.hashes ^ salt(q_word)))), c) / np.maximum(n, 1)
+    single = _sum(clause, known.words.hold(_mix(a.hashes[at] ^ _salt(q_of)[owner][clause])), c) / np.maximum(n, 1)
     in_two = at[inner]
     of_two = clause[inner]
-    double = _sum(of_two, _among(_mix(two[in_two] ^ salt(q_of[owner[of_two]])), np.unique(_mix(q_two ^ salt(q_word[:-1])))) if len(q_two) else np.zeros(len(of_two)), c) / np.maximum(n - 1, 1)
+    double = _sum(of_two, known.pairs.hold(_mix(two[in_two] ^ _salt(q_of)[owner][of_two])), c) / np.maximum(n - 1, 1)
 
-    logs, _ = languages.sums(q.trigrams)
-    own_of = (logs[:, np.minimum(q.starts_of_texts[1:], len(q.trigrams))] - logs[:, np.minimum(q.starts_of_texts[:-1], len(q.trigrams))]).argmax(axis=0) if len(distinct) else np.zeros(0, int)
-    logs, count = languages.sums(a.trigrams)
     s, e = np.minimum(label_end, len(a.trigrams)), np.minimum(np.maximum(spans[:, 1] - 2, label_end), len(a.trigrams))
-    fits, tri = logs[:, e] - logs[:, s], count[e] - count[s]
-    own = own_of[q_of[owner]]
+    fits, tri = languages.totals(a.trigrams, s, e)
+    own = known.own[q_of[owner]]
     mine = fits[own, np.arange(c)]
     others = fits.copy()
     others[own, np.arange(c)] = -np.inf
@@ -314,18 +415,15 @@ def encode(queries: list[str], answers: list[str], languages: Languages, names:
     fit = np.where(tri > 8, mine / np.maximum(tri, 1) - typical_fit, 0.0)
 
     named = np.zeros(c, bool)
-    for k, known in names.runs.items():
+    for k, runs in names.runs.items():
         if k <= len(a.hashes):
-            hit = _among(_runs(a.hashes, k), known)
+            hit = _among(_runs(a.hashes, k), runs)
             first = np.flatnonzero(hit[at[at < len(hit)]])
             ok = at[first] + k <= w1[clause[first]]
             named[clause[first][ok]] = True
     worded = np.zeros(c, bool)
     worded[clause[_among(a.hashes[at], names.words)]] = True
-    placeholder = np.zeros(c, bool)
-    for i in np.flatnonzero(rank_no > 0).tolist():
-        placeholder[i] = n[i] == 0 or PLACEHOLDER.match(text, label_end[i], spans[i, 1]) is not None
-    rank = np.where(rank_no > 0, np.where(placeholder, 1, 2), 0)
+    rank = np.where(rank_no > 0, np.where((n == 0) | blank, 1, 2), 0)
 
     first_of = np.cumsum(lengths) - lengths
     index = np.arange(c) - first_of[owner]
@@ -338,27 +436,37 @@ def encode(queries: list[str], answers: list[str], languages: Languages, names:
         np.where(any_name, FLAG["text_name"], FLAG["text_no_name"]), np.where(any_rank, FLAG["text_rank"], FLAG["text_no_rank"]), np.where(stops, FLAG["stop"], FLAG["no_stop"]),
         FLAG["state0"] + 12 * (double < 0.4) + 6 * any_name + 3 * any_rank + np.digitize(n, [4, 9]),  # what the text holds, for short and long clauses of own words or not
     ]
-    where, ids = [clause, of_two], [(a.hashes[at] % np.uint64(BINS)).astype(np.int64), (two[in_two] % np.uint64(BINS)).astype(np.int64) + BINS]
+    some = [(FLAG[f], np.flatnonzero(on)) for f, on in (("name", named), ("name_word", worded), ("rank", rank_no > 0), ("label", (label_end > spans[:, 0]) & plain), ("first", index == 0), ("last", last), ("only", lengths[owner] == 1), ("short", n < 4), ("long", n > 15))]
+    tails: list[int] = []
+    counts: list[int] = []
+    ends = np.flatnonzero(last)
+    for from_, label, to, no in zip(spans[ends, 0].tolist(), label_end[ends].tolist(), spans[ends, 1].tolist(), rank_no[ends].tolist()):
+        got = _tail_flags(text[from_:to], no, " ".join(_WORD.findall(_untailed(text[label:to]))) if no else "", names)
+        tails += got
+        counts.append(len(got))
+    inside = np.maximum(n - 1, 0)
+    sizes = n + inside + len(flags)
+    for _, hit in some:
+        sizes[hit] += 1
+    sizes[ends] += np.array(counts, np.int64)
+    ids = np.empty(int(sizes.sum()), np.int32)
+    free = np.cumsum(sizes) - sizes  # where the next feature of each clause goes
+    for many, of in ((n, a.hashes[at] % np.uint64(BINS)), (inside, two[in_two] % np.uint64(BINS) + np.uint64(BINS))):
+        ids[np.arange(len(of)) + np.repeat(free - (np.cumsum(many) - many), many)] = of
+        free += many
     for f in flags:
-        where.append(np.arange(c))
-        ids.append(f)
-    for f, on in (("name", named), ("name_word", worded), ("rank", rank_no > 0), ("label", (label_end > spans[:, 0]) & plain), ("first", index == 0), ("last", last), ("only", lengths[owner] == 1), ("short", n < 4), ("long", n > 15)):
-        hit = np.flatnonzero(on)
-        where.append(hit)
-        ids.append(np.full(len(hit), FLAG[f]))
-    for i in np.flatnonzero(last).tolist():
-        got = _tail_flags(text[spans[i, 0] : spans[i, 1]], int(rank_no[i]), " ".join(_WORD.findall(_TAIL.sub("", text[label_end[i] : spans[i, 1]]))) if rank_no[i] else "", names)
-        where.append(np.full(len(got), i))
-        ids.append(np.array(got))
-    where, ids = np.concatenate(where), np.concatenate(ids)
-    order = np.argsort(where, kind="stable")
-    return Encoded(lengths, ids[order], np.bincount(where, minlength=c), spans[:, 0] - a.starts_of_texts[owner], spans[:, 1] - spans[:, 0], np.maximum(n, (spans[:, 1] - label_end) // 10), rank, named | worded)  # scripts without blanks have long words
+        ids[free] = f
+        free += 1
+    for f, hit in some:
+        ids[free[hit]] = f
+        free[hit] += 1
+    counts = np.array(counts, np.int64)
+    ids[np.arange(len(tails)) + np.repeat(free[ends] - (np.cumsum(counts) - counts), counts)] = tails
+    return Encoded(lengths, ids, sizes, spans[:, 0] - a.starts_of_texts[owner], spans[:, 1] - spans[:, 0], np.maximum(n, (spans[:, 1] - label_end) // 10), rank, named | worded)  # scripts without blanks have long words
 
 
 def best_fits(texts: list[str], languages: Languages) -> np.ndarray:
-    """The mean log probability of the trigrams of each of ``texts`` in the language that fits it best; short texts have none."""
+    """The mean log probability of the trigrams of each of ``texts`` in the language that fits it best; NaN for short texts."""
     w = Words([t.lower() for t in texts])
-    logs, count = languages.sums(w.trigrams)
-    s, e = np.minimum(w.starts_of_texts[:-1], len(w.trigrams)), np.minimum(w.starts_of_texts[1:], len(w.trigrams))
-    size = count[e] - count[s]
-    return (logs[:, e] - logs[:, s]).max(axis=0)[size > 30] / size[size > 30]
+    logs, size = languages.totals(w.trigrams, *w.spans())
+    return np.where(size > 30, logs.max(axis=0) / np.maximum(size, 1), np.nan)

@@ -1,7 +1,6 @@
 """A linear-chain conditional random field over sparse binary features.
 
-Fitted on a bounded sample and then decoded inside Spark tasks, many sequences
-at a time.
+Fitted and decoded inside Spark tasks, many sequences at a time.
 """
 
 from __future__ import annotations
@@ -15,16 +14,11 @@ def _padded(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers from each start on, one after another."""
     return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
-def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
-
 class ChainCRF:
     def __init__(self, features: int, labels: int):
         self.emit = np.zeros((features, labels), np.float32)
@@ -34,7 +28,7 @@ class ChainCRF:
         """Emission scores of items with the flat feature ``ids``, ``sizes`` of them each (at least one)."""
         if len(sizes) == 0:
             return np.zeros((0, self.emit.shape[1]))
-        return np.add.reduceat(self.emit[ids], np.cumsum(sizes) - sizes, axis=0).astype(float)
+        return np.add.reduceat(self.emit.take(ids, axis=0), np.cumsum(sizes) - sizes, axis=0).astype(float)
 
     def decode(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The best label of every item; ``lengths`` are items per sequence, none empty."""
@@ -71,65 +65,77 @@ class ChainCRF:
         """
         if len(labels) == 0:
             return self
+        live, ids = np.unique(ids, return_inverse=True)  # weights of features that no item has stay as they are
         item_at = np.concatenate([[0], np.cumsum(sizes)])
         seq_at = np.concatenate([[0], np.cumsum(lengths)])
-        parts = [self.emit.astype(float), self.step, self.start, self.end]
+        parts = [self.emit[live].astype(float), self.step, self.start, self.end]
         squares = [np.full_like(p, 1e-8) for p in parts]
         random = np.random.default_rng(seed)
-        kept = []
+        total, kept = [np.zeros_like(p) for p in parts], 0
         for epoch in range(epochs):
             order = random.permutation(len(lengths))
             for block in (order[i : i + batch] for i in range(0, len(order), batch)):
-                items = _ranges(seq_at[block], lengths[block])
-                flat = _ranges(item_at[items], sizes[items])
+                items = ranges(seq_at[block], lengths[block])
+                flat = ranges(item_at[items], sizes[items])
                 grads = self._gradient(parts, ids[flat], sizes[items], lengths[block], labels[items])
                 if free is not None:
-                    grads[0] *= free
+                    grads[0] *= free[live]
                 for p, g, v in zip(parts, grads, squares):
                     g = g + ridge * p
                     v += g * g
                     p -= rate * g / np.sqrt(v)
                 if least is not None:
-                    np.maximum(parts[0], least, out=parts[0])
+                    np.maximum(parts[0], least[live], out=parts[0])
             if epoch >= epochs // 3:
-                kept.append([p.copy() for p in parts])
-        parts = [np.mean(p, axis=0) for p in zip(*kept)]  # steadier than the last one
-        self.emit, self.step, self.start, self.end = parts[0].astype(np.float32), *parts[1:]
+                kept += 1
+                for t, p in zip(total, parts):
+                    t += p
+        emit, self.step, self.start, self.end = (t / kept for t in total)  # steadier than the last one
+        self.emit[live] = emit
         return self
 
     @staticmethod
     def _gradient(parts: list[np.ndarray], ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
+        """Gradient of the mean negative log likelihood.
+
+        The items are taken by their place in the sequence, the longest
+        sequences first, so that each step of the forward and the backward
+        pass is one range of rows; every row is scaled to the sum one.
+        """
         emit, step, start, end = parts
+        n, k, moves, ones = len(lengths), len(start), np.exp(step), np.ones((len(start), 1))
         rows, cols = _padded(lengths)
-        n, longest, k = len(lengths), int(lengths.max()), len(start)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        real = np.zeros((n, longest), bool)
-        real[rows, cols] = True
-        gold = np.zeros((n, longest), int)
-        gold[rows, cols] = labels
-        pair, last = real[:, 1:] & real[:, :-1], lengths - 1
-        grid = np.zeros((n, longest, k))
-        grid[rows, cols] = np.add.reduceat(emit[ids], np.cumsum(sizes) - sizes, axis=0)
-        ahead, behind = np.zeros((n, longest, k)), np.zeros((n, longest, k))
-        ahead[:, 0] = grid[:, 0] + start
-        for t in range(1, longest):
-            moved = _logsumexp(ahead[:, t - 1, :, None] + step, 1) + grid[:, t]
-            ahead[:, t] = np.where(real[:, t, None], moved, ahead[:, t - 1])
-        whole = _logsumexp(ahead[:, -1] + end, 1)
-        behind[:, -1] = end
-        for t in range(longest - 2, -1, -1):
-            moved = _logsumexp(step[None] + (grid[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
-            behind[:, t] = np.where(real[:, t + 1, None], moved, end)
-        single = np.exp(ahead + behind - whole[:, None, None]) * real[:, :, None]
-        steps = np.zeros((k, k))
+        rank = np.empty(n, int)
+        rank[np.argsort(-lengths, kind="stable")] = np.arange(n)
+        at = np.cumsum([0, *np.bincount(cols)])
+        place = at[cols] + rank[rows]
+        scores = np.add.reduceat(emit.take(ids, axis=0), np.cumsum(sizes) - sizes, axis=0)
+        fits = np.empty_like(scores)
+        fits[place] = np.exp(scores - scores.max(axis=1, keepdims=True))
+        ahead, behind = np.empty_like(fits), np.empty_like(fits)
+        behind[:] = np.exp(end - end.max())
+        ahead[:n] = fits[:n] * np.exp(start - start.max())
+        ahead[:n] /= ahead[:n].sum(axis=1, keepdims=True)
+        longest = len(at) - 1
         for t in range(1, longest):
-            on = pair[:, t - 1]
-            if on.any():
-                joint = ahead[on, t - 1, :, None] + step + (grid[on, t] + behind[on, t])[:, None, :] - whole[on, None, None]
-                steps += np.exp(joint).sum(axis=0)
-        miss = single - np.eye(k)[gold] * real[:, :, None]
-        item = miss[rows, cols][owner]
-        grad_emit = np.column_stack([np.bincount(ids, item[:, j], len(emit)) for j in range(k)])
-        gold_steps = np.zeros((k, k))
-        np.add.at(gold_steps, (gold[:, :-1][pair], gold[:, 1:][pair]), 1)
-        return [grad_emit / n, (steps - gold_steps) / n, miss[:, 0].sum(axis=0) / n, miss[np.arange(n), last].sum(axis=0) / n]
+            now = ahead[at[t - 1] : at[t - 1] + at[t + 1] - at[t]] @ moves
+            now *= fits[at[t] : at[t + 1]]
+            now /= now @ ones
+            ahead[at[t] : at[t + 1]] = now
+        for t in range(longest - 1, 0, -1):
+            now = (fits[at[t] : at[t + 1]] * behind[at[t] : at[t + 1]]) @ moves.T
+            now /= now @ ones
+            behind[at[t - 1] : at[t - 1] + len(now)] = now
+        miss = ahead * behind
+        miss /= miss.sum(axis=1, keepdims=True)
+        before = np.arange(at[1], at[-1]) - np.repeat(np.diff(at)[:-1], np.diff(at)[1:])
+        left, right = ahead[before], fits[at[1] :] * behind[at[1] :]
+        steps = moves * (left.T @ (right / ((left @ moves) * right).sum(axis=1, keepdims=True)))
+        gold = np.empty(len(labels), int)
+        gold[place] = labels
+        steps -= np.bincount(gold[before] * k + gold[at[1] :], minlength=k * k).reshape(k, k)
+        miss[np.arange(len(gold)), gold] -= 1
+        item = np.repeat(miss[place].T, sizes, axis=1)
+        grad_emit = np.column_stack([np.bincount(ids, of, len(emit)) for of in item])
+        ends = place[np.cumsum(lengths) - 1]
+        return [grad_emit / n, steps / n, miss[:n].sum(axis=0) / n, miss[ends].sum(axis=0) / n]

@@ -20,8 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.clauses import BINS, PLACEHOLDER, SEEDS, TRIGRAMS, WIDTH, Encoded, Languages, Names, best_fits, encode
-from caseloom.llm.crf import ChainCRF
+from caseloom.llm.clauses import BINS, PLACEHOLDER, SEEDS, TRIGRAMS, WIDTH, Encoded, Languages, Names, Queries, best_fits, encode
+from caseloom.llm.crf import ChainCRF, ranges
 from caseloom.session import spread, written
 
 TAGS = ["answer", "refusal", "echo", "foreign", "unfinished"]
@@ -91,6 +91,8 @@ class Example:
     last: int | None = None
     spans: tuple[tuple[int, int, int], ...] = ()
     hidden: int = -1  # language profile that is not to be known
+    of: int = -1  # the pair it was made of
+    other: int = -1  # the pair that its answer was taken from, where that is another one
 
 
 def _reworded(text: str, random: np.random.Generator, share: float) -> str:
@@ -110,8 +112,10 @@ def _slip(text: str, random: np.random.Generator) -> str:
     return text[:i] + (text[i + 1 :] if x < 0.3 else text[i] + text[i:] if x < 0.6 else text[i + 1] + text[i] + text[i + 2 :])
 
 
-def spoilt(pairs: list[tuple[str, str]], languages: Languages, names: list[str], random: np.random.Generator) -> list[Example]:
-    """Examples of every tag made of ``pairs``, taken to be sound.
+def spoilt(pairs: list[tuple[str, str]], lang: np.ndarray, sure: np.ndarray, names: list[str], random: np.random.Generator) -> list[Example]:
+    """Examples of every tag made of ``pairs``, taken to be sound; ``lang`` is the language of each query.
+
+    Pairs that are ``sure`` to be sound get answers of such pairs only.
 
     Cut answers, parts of the query as answer, answers to a query of another
     language, declining sentences with and without a lead, and sound ones in
@@ -119,61 +123,61 @@ def spoilt(pairs: list[tuple[str, str]], languages: Languages, names: list[str],
     name, with a hedge.
     """
     out: list[Example] = []
-    lang = np.concatenate([languages.of([q for q, _ in pairs[i : i + 500]]) for i in range(0, len(pairs), 500)]) if pairs else np.zeros(0, int)
-    by_lang = {int(k): np.flatnonzero(lang == k) for k in np.unique(lang)}
-    for i, (query, answer) in enumerate(pairs):
+    below = lambda n: int(random.random() * n)
+    pick = lambda of: of[below(len(of))]
+    by_lang = {on: {int(k): np.flatnonzero((lang == k) & (sure | (not on))).tolist() for k in np.unique(lang[sure | (not on)])} for on in (True, False)}
+    for i, ((query, answer), on) in enumerate(zip(pairs, sure.tolist())):
+        made = len(out)
         text = answer.rstrip()
         x = random.random()
         if len(text) > 12:  # a cut anywhere but behind a full stop
-            cut = int(random.integers(max(1, len(text) // 8), len(text) - 1)) if random.random() < 0.9 else int(random.integers(5, min(40, len(text) - 1)))
+            least, most = (max(1, len(text) // 8), len(text) - 1) if random.random() < 0.9 else (5, min(40, len(text) - 1))
+            cut = least + below(most - least)
             if not re.search(r"[.!?\]]\W*$", text[:cut]) and text[:cut].strip() and re.match(r"[\w\s]", text[cut:]):
                 dots = random.random()
                 out.append(Example(query, text[:cut] + ("..." if dots < 0.04 else "…" if dots < 0.08 else "-" if dots < 0.1 else ""), last=UNFINISHED))
         if random.random() < 0.12 and (marks := list(_LISTED.finditer(text))):  # a cut in the list: behind a label, or a line that is not the last
-            m = marks[random.integers(len(marks))]
+            m = pick(marks)
             end = m.end(1) if random.random() < 0.5 or m is marks[-1] else m.end()
             out.append(Example(query, text[:end], last=UNFINISHED))
         if x < 0.05 and re.search(r"\w\.$", text):
             out.append(Example(query, text[:-1]))
-        sentences = [m.span() for m in _SENTENCE.finditer(query) if m.group().strip()]
-        if sentences and random.random() < 0.35:
-            a = int(random.integers(0, len(sentences)))
-            b = len(sentences) if random.random() < 0.5 else int(random.integers(a, len(sentences))) + 1
+        if random.random() < 0.35 and (sentences := [m.span() for m in _SENTENCE.finditer(query) if m.group().strip()]):
+            a = below(len(sentences))
+            b = len(sentences) if random.random() < 0.5 else a + below(len(sentences) - a) + 1
             a = 0 if random.random() < 0.5 else a
             part = query[sentences[a][0] : sentences[b - 1][1]].strip()
             if part:
                 part = _reworded(part, random, 0.12) if random.random() < 0.4 else part
                 part = re.sub(r"[.,;:!?]", "", part) if random.random() < 0.2 else part
                 out.append(Example(query, part, ECHO, ECHO))
-        others = [k for k in by_lang if k != lang[i]]
-        if others and random.random() < 0.35:
-            k = others[int(random.integers(len(others)))]
-            j = int(by_lang[k][random.integers(len(by_lang[k]))])
-            out.append(Example(query, pairs[j][1], FOREIGN, hidden=k if random.random() < 0.5 else -1))
+        if random.random() < 0.35 and (others := [k for k in by_lang[on] if k != lang[i]]):
+            k = pick(others)
+            j = pick(by_lang[on][k])
+            out.append(Example(query, pairs[j][1], FOREIGN, hidden=k if random.random() < 0.5 else -1, other=j))
             out.append(Example(pairs[j][0], answer, FOREIGN, hidden=int(lang[i]) if random.random() < 0.5 else -1))
         if random.random() < 0.5:
-            pick = lambda of: of[random.integers(len(of))]
             x, does = random.random(), pick(_DO)
             decline = f"{pick(_STARTS)} {pick(_VERBS).format(does)}." if x < 0.55 else pick(_DECLINES).format(does) if x < 0.75 else pick(_DECLINED)
             decline = decline.replace("'", "’") if random.random() < 0.2 else decline
             decline = f"{pick(_LABELS)}: {decline}" if random.random() < 0.1 else decline
             lead = ""
             if random.random() < 0.5:  # after words of this or another query
-                of = (query if random.random() < 0.5 else pairs[random.integers(len(pairs))][0]).split()
-                start = int(random.integers(max(1, len(of) - 6)))
-                words = " ".join(of[start : start + int(random.integers(3, 9))]).strip(".!?:")
+                of = (query if random.random() < 0.5 else pick(pairs)[0]).split()
+                start = below(max(1, len(of) - 6))
+                words = " ".join(of[start : start + 3 + below(6)]).strip(".!?:")
                 lead = f"{pick(_LEADS)} {words}. " if words else ""
             fill = pick(_FILLS)
-            head = "".join(f"Rank {k + 1}: {fill}\n" for k in range(random.integers(1, 4))) if random.random() < 0.25 else ""
+            head = "".join(f"Rank {k + 1}: {fill}\n" for k in range(1 + below(3))) if random.random() < 0.25 else ""
             tail = " " + pick(_AFTER) if random.random() < 0.4 else ""
             out.append(Example(query, head + lead + decline + tail, REFUSAL, REFUSAL, spans=((len(head), len(head) + len(lead), ANSWER),) if lead else ()))
         x = random.random()
         if x < 0.05 and names:
-            name = names[random.integers(len(names))]
+            name = pick(names)
             name = _slip(name, random) if random.random() < 0.5 else name
-            out.append(Example(query, ["{}.", "{}", "Likely {}.", "{} [1].", "Probable {}."][random.integers(5)].format(name[:1].upper() + name[1:])))
+            out.append(Example(query, pick(["{}.", "{}", "Likely {}.", "{} [1].", "Probable {}."]).format(name[:1].upper() + name[1:])))
         elif x < 0.12:
-            out.append(Example(query, _HEDGES[random.integers(len(_HEDGES))] + " " + text))
+            out.append(Example(query, pick(_HEDGES) + " " + text))
         elif x < 0.2:
             lines = [line for line in text.split("\n") if _RANK.match(line)]
             rest = "\n".join(line for line in text.split("\n") if not _RANK.match(line)).strip()
@@ -181,6 +185,8 @@ def spoilt(pairs: list[tuple[str, str]], languages: Languages, names: list[str],
                 out.append(Example(query, "\n".join(lines)))
             elif rest:
                 out.append(Example(query, rest))
+        for e in out[made:]:
+            e.of = i
     return out
 
 
@@ -190,8 +196,8 @@ class Tagger:
     def __init__(self, field: ChainCRF, languages: Languages, names: Names, typical: float):
         self.field, self.languages, self.names, self.typical = field, languages, names, typical
 
-    def encode(self, queries: list[str], answers: list[str], hidden: np.ndarray | None = None) -> Encoded:
-        return encode(queries, answers, self.languages, self.names, self.typical, hidden)
+    def encode(self, queries: list[str], answers: list[str], hidden: np.ndarray | None = None, known: Queries | None = None) -> Encoded:
+        return encode(queries, answers, self.languages, self.names, self.typical, hidden, known)
 
     def tags(self, x: Encoded) -> np.ndarray:
         out = np.zeros(len(x.sizes), int)
@@ -240,39 +246,39 @@ def pair_defects(x: Encoded, tags: np.ndarray) -> list[str | None]:
     return out
 
 
-def _training(examples: list[Example], tagger: Tagger, most_clauses: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features and tags of the examples; of longer ones the last ``most_clauses`` clauses.
+def _labels(examples: list[Example], x: Encoded) -> np.ndarray:
+    """The tags of the clauses of the examples."""
+    first = np.cumsum(x.lengths) - x.lengths
+    rest, rank = (np.repeat(np.array(of, int), x.lengths) for of in ([e.rest for e in examples], [e.rank for e in examples]))
+    labels = np.where((x.rank > 0) | (x.words == 0), rank, rest)
+    for e, start, n in zip(examples, first.tolist(), x.lengths.tolist()):
+        for a, b, tag in e.spans:
+            at = x.start[start : start + n]
+            labels[start : start + n][(a <= at) & (at < b)] = tag
+        if n and e.last is not None:
+            labels[start + n - 1] = e.last
+    return labels
+
+
+def _training(x: Encoded, labels: np.ndarray, chosen: np.ndarray, most_clauses: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features and tags of the ``chosen`` examples; of longer ones the last ``most_clauses`` clauses.
 
     Words and pairs of words are features only if some clause that declines has
     them, and last words only if eight examples end so: others would be learnt
     by heart, with the defects that the pairs had before they were spoilt.
     """
-    ids, sizes, lengths, labels = [], [], [], []
-    for at in range(0, len(examples), 500):
-        part = examples[at : at + 500]
-        x = tagger.encode([e.query for e in part], [e.answer for e in part], np.array([e.hidden for e in part]))
-        item = np.concatenate([[0], np.cumsum(x.sizes)])
-        first = np.cumsum(x.lengths) - x.lengths
-        for e, start, n in zip(part, first.tolist(), x.lengths.tolist()):
-            if not n:
-                continue
-            tags = [e.rank if x.rank[k] or x.words[k] == 0 else e.rest for k in range(start, start + n)]
-            for a, b, tag in e.spans:
-                tags = [tag if a <= x.start[start + k] < b else t for k, t in enumerate(tags)]
-            if e.last is not None:
-                tags[-1] = e.last
-            m = min(n, most_clauses)
-            ids.append(x.ids[item[start + n - m] : item[start + n]])
-            sizes.append(x.sizes[start + n - m : start + n])
-            lengths.append(m)
-            labels += tags[-m:]
-    if not ids:
+    chosen = chosen[x.lengths[chosen] > 0]
+    if not len(chosen):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, int), np.zeros(0, int)
-    ids, sizes, labels = np.concatenate(ids), np.concatenate(sizes), np.array(labels, int)
-    declining = np.repeat(labels == REFUSAL, sizes)
-    seen = np.bincount(ids, minlength=WIDTH)
-    kept = (ids >= 3 * BINS) | np.where(ids < 2 * BINS, np.isin(ids, np.unique(ids[declining])), seen[ids] >= 8)
-    return ids[kept], np.add.reduceat(kept.astype(np.int64), np.cumsum(sizes) - sizes), np.array(lengths, int), labels
+    lengths = np.minimum(x.lengths[chosen], most_clauses)
+    clauses = ranges(np.cumsum(x.lengths)[chosen] - lengths, lengths)
+    sizes, labels = x.sizes[clauses], labels[clauses]
+    ids = x.ids[ranges((np.cumsum(x.sizes) - x.sizes)[clauses], sizes)]
+    declining, seen = np.zeros(WIDTH, bool), np.bincount(ids, minlength=WIDTH)
+    declining[ids[np.repeat(labels == REFUSAL, sizes)]] = True
+    form = np.arange(WIDTH)
+    kept = np.where(form < 2 * BINS, declining, (form >= 3 * BINS) | (seen >= 8))[ids]
+    return ids[kept], np.add.reduceat(kept.astype(np.int64), np.cumsum(sizes) - sizes), lengths, labels
 
 
 def rank_names(pairs: DataFrame, answer: str = "answer", least_share: float = 1e-5, least: int = 3, most: int = 200_000) -> list[str]:
@@ -299,17 +305,18 @@ def _slices(frames: Iterator[pd.DataFrame], columns: list[str], slice_chars: int
 
 
 def learnt_languages(texts: DataFrame, sweeps: int = 2) -> Languages:
-    """The profiles of all ``texts(text)``, counted in tasks; only the sums reach the driver."""
+    """The profiles of all ``texts(text)``, each given ``n`` times if there is such a column; counted in tasks, only the sums reach the driver."""
     out = Languages()
+    texts = texts if "n" in texts.columns else texts.withColumn("n", F.lit(1))
     for sweep in range(sweeps):
         seen = texts.sparkSession.sparkContext.broadcast(out)
 
         def run(frames: Iterator[pd.DataFrame], seeded: bool = sweep == 0, seen=seen) -> Iterator[pd.DataFrame]:
-            total = np.zeros(len(SEEDS) * TRIGRAMS, np.int64)
+            total = np.zeros(len(SEEDS) * TRIGRAMS)
             for part in _slices(frames, ["text"]):
-                total += seen.value.counts([t.lower() for t in part["text"]], seeded).ravel()
+                total += seen.value.counts([t.lower() for t in part["text"]], seeded, part["n"].to_numpy()).ravel()
             at = np.flatnonzero(total)
-            yield pd.DataFrame({"at": at, "n": total[at]})
+            yield pd.DataFrame({"at": at, "n": total[at].astype(np.int64)})
 
         rows = texts.mapInPandas(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()
         counts = np.zeros(len(SEEDS) * TRIGRAMS)
@@ -319,50 +326,58 @@ def learnt_languages(texts: DataFrame, sweeps: int = 2) -> Languages:
 
 
 def typical_fit(texts: DataFrame, languages: Languages) -> float:
-    """The median over all ``texts(text)`` of how well their language fits them, to three places."""
+    """The median over all ``texts(text, n)``, each ``n`` times, of how well their language fits them, to three places."""
     known = texts.sparkSession.sparkContext.broadcast(languages)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _slices(frames, ["text"]):
-            yield pd.DataFrame({"fit": np.round(best_fits(part["text"].tolist(), known.value), 3)})
+            fits = best_fits(part["text"].tolist(), known.value)
+            yield pd.DataFrame({"fit": np.round(fits, 3), "n": part["n"].to_numpy()})[np.isfinite(fits)]
 
-    rows = texts.mapInPandas(run, "fit double").groupBy("fit").agg(F.count("*").alias("n")).orderBy("fit").collect()
+    rows = texts.mapInPandas(run, "fit double, n bigint").groupBy("fit").agg(F.sum("n").alias("n")).orderBy("fit").collect()
     sums = np.cumsum([r["n"] for r in rows])
     return float(np.mean([rows[int(np.searchsorted(sums, k, side="right"))]["fit"] for k in ((sums[-1] - 1) // 2, sums[-1] // 2)])) if rows else -8.0
 
 
 def common_words(queries: DataFrame, share: float = 0.005) -> list[str]:
-    """Words that more than ``share`` of all ``queries(text)`` hold."""
-    words = queries.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))).alias("word"))
-    return [r["word"] for r in words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > share * queries.count()).collect()]
+    """Words that more than ``share`` of all ``queries(text, n)`` hold, each ``n`` times."""
+    words = queries.select("n", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))).alias("word"))
+    total = queries.agg(F.sum("n")).first()[0] or 0
+    return [r["word"] for r in words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > share * total).collect()]
 
 
 def fit_share(sample: list[tuple[str, str]], known: list[str], tagger: Tagger, most_clauses: int, random: np.random.Generator) -> tuple[ChainCRF, np.ndarray]:
     """The field that the pairs of one share teach, and how often it saw each feature.
 
-    A first field learns from spoilt pairs of those that name diseases in rank
-    lines. It then tags the whole share: pairs that it finds sound and that
-    name a disease are spoilt anew, its refusals are kept as examples of their wording, the other broken
-    ones are left out; the second field learns from these.
+    Every pair is spoilt, and all are encoded once. A first field learns from
+    the pairs that name diseases in rank lines and what was made of them. It
+    then tags the whole share: the second field learns from the pairs that it
+    finds sound and that name a disease, what was made of them, and the
+    refusals with the tags found; the other broken ones are left out.
     """
+    if not sample:
+        return ChainCRF(WIDTH, len(TAGS)), np.zeros(WIDTH, int)
     listed = set(known)
-    sure = [p for p in sample if any(" ".join(_WORD.findall(v.lower())) in listed for v in _RANK.findall(p[1]))] or sample
-    examples = [Example(q, a) for q, a in sure] + spoilt(sure, tagger.languages, known, random)
-    tagger.field = ChainCRF(WIDTH, len(TAGS)).fit(*_training(examples, tagger, most_clauses), epochs=6 if len(sure) <= 1_500 else 3, free=FREE, least=LEAST)
-    sound, refused = [], []
-    for at in range(0, len(sample), 500):
-        part = sample[at : at + 500]
-        x = tagger.encode([q for q, _ in part], [a for _, a in part])
-        tags = tagger.tags(x)
-        first = np.cumsum(x.lengths) - x.lengths
-        for (q, a), d, s, n in zip(part, pair_defects(x, tags), first.tolist(), x.lengths.tolist()):
-            if d is None and x.named[s : s + n].any():
-                sound.append((q, a))
-            elif d == "refusal":
-                starts = [*x.start[s : s + n].tolist(), len(a) + 1]
-                refused.append(Example(q, a, REFUSAL, spans=tuple((starts[k], starts[k + 1], int(tags[s + k])) for k in range(n))))
-    examples = [Example(q, a) for q, a in sound] + 2 * refused + spoilt(sound, tagger.languages, known, random)
-    training = _training(examples, tagger, most_clauses)
+    sure = np.array([any(" ".join(_WORD.findall(v.lower())) in listed for v in _RANK.findall(a)) for _, a in sample], bool)
+    sure |= not sure.any()
+    queries = Queries([q for q, _ in sample], tagger.languages)
+    examples = [Example(q, a, of=i) for i, (q, a) in enumerate(sample)]
+    examples += spoilt(sample, queries.own[[queries.index[q] for q, _ in sample]], sure, known, random)
+    x = Encoded.joined([tagger.encode([e.query for e in part], [e.answer for e in part], np.array([e.hidden for e in part]), queries) for part in (examples[i : i + 500] for i in range(0, len(examples), 500))])
+    labels, of, other = _labels(examples, x), np.array([e.of for e in examples], int), np.array([e.other for e in examples], int)
+    made_of = lambda good: good[of] & ((other < 0) | good[other])
+    training = _training(x, labels, np.flatnonzero(made_of(sure)), most_clauses)
+    tagger.field = ChainCRF(WIDTH, len(TAGS)).fit(*training, epochs=6 if sure.sum() <= 1_500 else 3, free=FREE, least=LEAST)
+    whole = x.head(len(sample))
+    tags = tagger.tags(whole)
+    defects = pair_defects(whole, tags)
+    names = np.bincount(np.repeat(np.arange(len(sample)), whole.lengths), whole.named, len(sample)) > 0
+    sound = np.array([d is None for d in defects], bool) & names
+    refused = np.array([d == "refusal" for d in defects], bool)
+    labels[: len(tags)] = np.where(np.repeat(refused, whole.lengths), tags, labels[: len(tags)])
+    chosen = np.flatnonzero(made_of(sound))
+    pairs = chosen < len(sample)
+    training = _training(x, labels, np.concatenate([chosen[pairs], *2 * [np.flatnonzero(refused)], chosen[~pairs]]), most_clauses)
     return ChainCRF(WIDTH, len(TAGS)).fit(*training, epochs=9, free=FREE, least=LEAST), np.bincount(training[0], minlength=WIDTH)
 
 
@@ -379,8 +394,8 @@ def fit_tagger(pairs: DataFrame, share_rows: int = 4_000, most_clauses: int = 20
     digest = F.xxhash64("query", "answer")  # as in bounded samples: null and empty queries differ
     sample = written(pairs.where("answer is not null").select("query", "answer").distinct().withColumn("digest", digest), "distinct-pairs")
     said = sample.where(F.col("answer").rlike(r"[\p{L}\p{N}]"))
-    queries = spread(said.select(F.coalesce("query", F.lit("")).alias("text")))
-    languages = learnt_languages(queries.unionAll(spread(said.select(F.col("answer").alias("text")))))
+    queries = spread(written(said.groupBy(F.coalesce("query", F.lit("")).alias("text")).agg(F.count("*").alias("n")), "distinct-queries"))
+    languages = learnt_languages(queries.unionAll(spread(said.select(F.col("answer").alias("text"), F.lit(1).cast("bigint").alias("n")))))
     tagger = Tagger(ChainCRF(WIDTH, len(TAGS)), languages, Names(known, common_words(queries)), typical_fit(queries, languages))
     shares = max(1, -(-sample.count() // share_rows))
     given = spark.sparkContext.broadcast((known, tagger))

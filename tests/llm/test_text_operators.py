@@ -389,6 +389,70 @@ def test_all_pairs_teach_the_field(spark):
     assert sum(g is not None and k is None for g, (*_, k) in zip(got, made)) <= 0.01 * len(made)
 
 
+def test_a_share_is_encoded_once(monkeypatch):
+    import numpy as np
+
+    from caseloom.llm import clauses
+
+    sample = [(q, a) for q, a, k in made_pairs(7, 300) if k is None]
+    tagger = pairs.Tagger(crf.ChainCRF(clauses.WIDTH, len(pairs.TAGS)), clauses.Languages([t.lower() for p in sample for t in p]), clauses.Names([n.lower() for n in NAMES]), -7.0)
+    seen, encode = [], pairs.encode
+    monkeypatch.setattr(pairs, "encode", lambda queries, answers, *rest: seen.extend(zip(queries, answers)) or encode(queries, answers, *rest))
+    field, counts = pairs.fit_share(sample, [n.lower() for n in NAMES], tagger, 20, np.random.default_rng(1))
+    assert all(seen.count(p) == 1 for p in sample) and field.emit.any() and counts.any()
+
+
+def test_features_do_not_hang_on_the_queries_beside_them():
+    import numpy as np
+
+    from caseloom.llm import clauses
+
+    sample = [(q, a or "") for q, a, _ in made_pairs(8, 120)] + [("", "Lupus."), ("x", ""), ("", "")]
+    queries, answers = [q for q, _ in sample], [a for _, a in sample]
+    languages, names = clauses.Languages([t.lower() for t in queries]), clauses.Names([n.lower() for n in NAMES])
+    whole = clauses.encode(queries, answers, languages, names, -7.0)
+    known = clauses.Queries(queries, languages, size=7)
+    parts = clauses.Encoded.joined([clauses.encode(queries[i : i + 10], answers[i : i + 10], languages, names, -7.0, known=known) for i in range(0, len(sample), 10)])
+    assert all(np.array_equal(a, b) for a, b in zip(vars(whole).values(), vars(parts).values()))
+    assert all(np.array_equal(a[: len(b)], b) for a, b in zip(vars(whole).values(), vars(whole.head(9)).values()))
+
+
+def test_gradient_of_the_field():
+    import itertools
+
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    parts = [rnd.normal(size=(4, 3)), rnd.normal(size=(3, 3)), rnd.normal(size=3), rnd.normal(size=3)]
+    lengths, sizes = np.array([1, 4, 3]), np.array([1, 2, 1, 3, 1, 1, 2, 1])
+    ids, labels = rnd.integers(0, 4, sizes.sum()), rnd.integers(0, 3, 8)
+    items = np.split(ids, np.cumsum(sizes)[:-1])
+
+    def loss():
+        emit, step, start, end = parts
+        total, at = 0.0, 0
+        for n in lengths:
+            score = lambda p, at=at, n=n: start[p[0]] + end[p[-1]] + sum(emit[items[at + i], x].sum() for i, x in enumerate(p)) + sum(step[a, b] for a, b in itertools.pairwise(p))
+            total += np.log(sum(np.exp(score(p)) for p in itertools.product(range(3), repeat=int(n)))) - score(tuple(labels[at : at + n]))
+            at += n
+        return total / len(lengths)
+
+    for part, gradient in zip(parts, crf.ChainCRF._gradient(parts, ids, sizes, lengths, labels)):
+        for at in np.ndindex(part.shape):
+            part[at] += 1e-5
+            up = loss()
+            part[at] -= 2e-5
+            down = loss()
+            part[at] += 1e-5
+            assert gradient[at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_repeated_queries_count_as_often_as_they_stand(spark):
+    rows = [("the patient had an ulcer on the arm",)] * 3 + [("the biopsy was taken from the border",)]
+    counted = spark.createDataFrame(rows, "text string").groupBy("text").count().withColumnRenamed("count", "n")
+    assert sorted(pairs.common_words(counted, share=0.5)) == ["an", "arm", "had", "on", "patient", "the", "ulcer"]
+
+
 def test_every_text_counts_for_the_languages(spark):
     rows = [(f"The ulcer of patient {i} was on the arm and it has been there for {i} days.",) for i in range(9_000)] + [("Die Wunde ist nicht verheilt und wurde mit der Salbe auf dem Arm für eine Woche von dem Arzt behandelt.",)] * 2
     found = pairs.learnt_languages(spark.createDataFrame(rows, "text string").repartition(4))
